@@ -164,9 +164,8 @@ def hard_truncate_utf8(text, max_bytes, note: str = K.TRUNCATION_NOTE) -> Column
 
 def recency_importance(created_at, importance, now_ms) -> Column:
     """exp(-age_days / 30) * (0.5 + importance), age from whole seconds; not clamped."""
-    now_s = F.lit(int(now_ms) // 1000) if isinstance(now_ms, int) else _c(now_ms).cast("long") // 1000
-    created_s = F.expr("0") + _c(created_at).cast("long")  # keep a Column
-    age_days = (now_s - _div_trunc(created_s, 1000)) / F.lit(86400.0)
+    now_s = F.lit(int(now_ms) // 1000) if isinstance(now_ms, int) else _div_trunc(_c(now_ms).cast("long"), 1000)
+    age_days = (now_s - _div_trunc(_c(created_at).cast("long"), 1000)) / F.lit(86400.0)
     return F.exp(-age_days / F.lit(K.DECAY_DAYS)) * (F.lit(0.5) + _c(importance))
 
 
@@ -189,3 +188,27 @@ def format_importance(importance) -> Column:
 
 def utf8_len(text) -> Column:
     return F.octet_length(_c(text))
+
+
+# --------------------------------------------------------------------------------------------
+# ids
+# --------------------------------------------------------------------------------------------
+
+_BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # digits of conv(x, 10|16, 32)
+
+
+def _crockford(base32_digits: Column, width: int) -> Column:
+    return F.translate(F.lpad(base32_digits, width, "0"), _BASE32, K.CROCKFORD)
+
+
+def ulid_time_part(ts_ms) -> Column:
+    """10 Crockford base-32 characters of a 48-bit millisecond time."""
+    return _crockford(F.conv(_c(ts_ms).cast("string"), 10, 32), 10)
+
+
+def assign_ulid_col(ts_ms, key_cols: list[str]) -> Column:
+    """26-char ULID: time part + 80 bits taken from SHA-256 of the row key (stable across task retries)."""
+    h = F.sha2(F.concat_ws("\u0001", *[F.coalesce(_c(k).cast("string"), F.lit("\u0000")) for k in key_cols]), 256)
+    hi = _crockford(F.conv(F.substring(h, 1, 10), 16, 32), 8)
+    lo = _crockford(F.conv(F.substring(h, 11, 10), 16, 32), 8)
+    return F.concat(ulid_time_part(ts_ms), hi, lo)
