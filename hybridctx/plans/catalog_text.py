@@ -1 +1,46 @@
-"""Catalog entries."""
+"""Catalog entries: tokenizers, word pieces and token budgets over the documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hybridctx.functions.columns import basic_tokenize, fts_tokenize
+from hybridctx.operators import text as tx
+from hybridctx.plans import fixtures as fx
+from hybridctx.plans.registry import register
+from hybridctx.plans.sqlparts import tok
+
+BASIC_SQL = "regexp_extract_all(lower(text), '([!-/:-@\\[-`{-~]|[^\\s!-/:-@\\[-`{-~]+)')"
+
+
+@register("fts_tokenize", f"SELECT doc_id, {tok('text')} AS tokens FROM documents")
+def q_fts_tokenize(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id", fts_tokenize("text").alias("tokens"))
+
+
+@register("basic_tokenize", f"SELECT doc_id, len({BASIC_SQL}) AS n_tokens, {BASIC_SQL} AS tokens FROM documents")
+def q_basic_tokenize(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    t = basic_tokenize("text")
+    return d.select("doc_id", F.size(t).cast("long").alias("n_tokens"), t.alias("tokens"))
+
+
+@register("token_budget_report", f"""SELECT lang, count(*) AS n_docs,
+  sum(CASE WHEN len({BASIC_SQL}) + 2 > 256 THEN 1 ELSE 0 END) AS n_over_budget,
+  max(len({BASIC_SQL})) AS max_tokens FROM documents GROUP BY lang""")
+def q_token_budget_report(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    r = tx.token_budget_report(d, "text", "lang")
+    return r.select("lang", F.col("n_docs").cast("long").alias("n_docs"),
+                    F.col("n_over_budget").cast("long").alias("n_over_budget"),
+                    F.col("max_tokens").cast("long").alias("max_tokens"))
+
+
+@register("wordpiece_corpus", None)
+def q_wordpiece_corpus(spark, sf_dir):
+    """Word pieces of every document with a vocabulary built from the same corpus (rows check + pytest)."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = tx.corpus_vocabulary(d, "text")
+    w = tx.wordpiece_corpus(d, "doc_id", "text", vocab)
+    return w.select("doc_id", F.size("ids").alias("n_ids"), "ids")
