@@ -1 +1,52 @@
-"""Catalog entries."""
+"""Catalog entries: the streaming jobs run to completion (availableNow) over the driver tables.
+
+Each entry writes under the session's checkpoint folder (a fresh sub-folder per run) and returns the
+final table; pytest checks that it equals the batch operator's result.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from hybridctx import constants as K
+from hybridctx.plans import fixtures as fx
+from hybridctx.plans.registry import register
+from hybridctx.session import scratch_dir
+from hybridctx.streaming import streams as ss
+
+
+def _run_dir(spark, name):
+    return scratch_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("remember_stream", None)
+def q_remember_stream(spark, sf_dir):
+    base = _run_dir(spark, "remember")
+    src = fx.candidates_from(ss.stream_table(spark, sf_dir, "conversations"))
+    q = ss.remember_stream(src, fx.fx_known_workspaces(spark, sf_dir), f"{base}/sink", f"{base}/quarantine",
+                           f"{base}/_checkpoint", lambda epoch: K.FIXTURE_NOW_MS, ["conv_id", "turn"])
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/sink").select("conv_id", "turn", "workspace_id", "id", "created_at")
+
+
+@register("hydration_log_stream", None)
+def q_hydration_log_stream(spark, sf_dir):
+    base = _run_dir(spark, "hydration-log")
+    src = fx.hydration_events_from(ss.stream_table(spark, sf_dir, "conversations"))
+    q = ss.hydration_log_stream(src, f"{base}/log", f"{base}/_checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/log").select("workspace_id", "session_id", "hydrated_at", "context_hash")
+
+
+@register("index_refresh_stream", None)
+def q_index_refresh_stream(spark, sf_dir):
+    base = _run_dir(spark, "postings")
+    docs = ss.stream_table(spark, sf_dir, "documents")
+    mem = fx.memories_from(docs, fx.table(spark, sf_dir, "events"))
+    q = ss.index_refresh_stream(mem, f"{base}/postings", f"{base}/_checkpoint")
+    q.awaitTermination()
+    p = spark.read.parquet(f"{base}/postings")
+    return p.select("workspace_id", "memory_id", F.col("col").cast("int").alias("col"),
+                    F.col("pos").cast("long").alias("pos"), "term")

@@ -17,8 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fx_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return memories_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "events"))
+
+
+def memories_from(documents: DataFrame, events: DataFrame) -> DataFrame:
+    d = documents.select("doc_id", "source", "text")
+    e = events.select("event_id", "ts", "event_type")
     j = d.join(e, e.event_id == d.doc_id * 5)
     ms = epoch_ms("ts")
     i = F.col("doc_id")
@@ -70,7 +74,10 @@ def fx_memories_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    return candidates_from(table(spark, sf_dir, "conversations"))
+
+
+def candidates_from(c: DataFrame) -> DataFrame:
     cid = F.col("conv_id")
     return c.select(
         cid, "turn",
@@ -110,7 +117,10 @@ def fx_workspaces_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_hydration_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    return hydration_events_from(table(spark, sf_dir, "conversations"))
+
+
+def hydration_events_from(c: DataFrame) -> DataFrame:
     cid = F.col("conv_id")
     return c.select(
         F.concat(F.lit("src"), (cid % 20).cast("string")).alias("workspace_id"),
