@@ -29,14 +29,22 @@ def rrf_fuse(lists: list[DataFrame], c: int = K.RRF_C) -> DataFrame:
 
 
 def fetch_candidates(fused: DataFrame, memories: DataFrame, queries: DataFrame | None = None,
-                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS * 40) -> DataFrame:
-    """Join fused ids to live rows of the same workspace; per-query type filter applied here (after the cuts)."""
+                     broadcast_fused: bool | None = None,
+                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join fused ids to live rows of the same workspace; per-query type filter applied here (after the cuts).
+
+    The fused side holds at most 2 x 20 rows per query, so its size is bounded by the query count: it is
+    broadcast when the queries are (checked on the cheap query table, not on the fused plan).
+    """
     cols = [WS, KEY, "type", "content", "tags", "importance", "created_at"]
     live = live_memories(memories).select(*cols)
     f = fused
     if queries is not None and "types" in queries.columns:
         f = f.join(queries.select("qid", "types"), "qid")
-    side = F.broadcast(f) if row_count_at_most(f, max_broadcast_rows) else f
+    if broadcast_fused is None:
+        broadcast_fused = row_count_at_most(queries.select("qid"), max_broadcast_rows) if queries is not None \
+            else row_count_at_most(f, max_broadcast_rows * 2 * K.BRANCH_TOPK)
+    side = F.broadcast(f) if broadcast_fused else f
     j = live.join(side, [WS, KEY])
     return filter_types_per_row(j) if "types" in j.columns else j
 
@@ -49,11 +57,11 @@ def recall(queries: DataFrame, memories: DataFrame, now_ms: int, postings: DataF
     txt = fts_topk(queries, memories, branch_k, postings, stats).select("qid", WS, KEY,
                                                                         F.col("fts_rank").alias("rank"))
     fused = rrf_fuse([vec, txt])
-    cands = fetch_candidates(fused, memories, queries)
+    small = row_count_at_most(queries.select("qid"), DEFAULT_MAX_BROADCAST_ROWS)
+    cands = fetch_candidates(fused, memories, queries, broadcast_fused=small)
     scored = cands.withColumn("score", F.col("rrf") * recency_importance("created_at", "importance", now_ms))
     k = queries.select("qid", "k")
-    ranked = top_n_per(scored.join(F.broadcast(k) if row_count_at_most(k, DEFAULT_MAX_BROADCAST_ROWS) else k,
-                                   "qid"),
+    ranked = top_n_per(scored.join(F.broadcast(k) if small else k, "qid"),
                        ["qid"], [F.col("score").desc(), F.col(KEY).asc()], "k", "rank")
     return ranked.select("qid", "rank", KEY, "type", "content", split_tags("tags").alias("tags"),
                          "created_at", "score")

@@ -34,8 +34,10 @@ def corpus_vocabulary(docs: DataFrame, text: str, min_doc_frac: float = 0.01, ex
                          .select(F.concat(F.lit("##"), F.substring("w", -3, 3)).alias("token")))
             .unionByName(docs.sparkSession.createDataFrame([(s,) for s in SPECIALS], "token string"))
             .distinct())
-    # the vocabulary is a small lookup table (a model vocabulary has about 30k entries)
-    return toks.withColumn("id", (F.row_number().over(Window.orderBy("token")) - 1).cast("int"))
+    # the vocabulary is a small lookup table (a model vocabulary has about 30k entries); it is read several
+    # times (pieces, special ids, length bounds), so its lineage is cut with a reliable checkpoint
+    ranked = toks.withColumn("id", (F.row_number().over(Window.orderBy("token")) - 1).cast("int"))
+    return ranked.checkpoint()
 
 
 def special_id(vocab: DataFrame, token: str):
@@ -47,9 +49,15 @@ def wordpiece_words(words: DataFrame, vocab: DataFrame, unk_id, max_word: int =
     """(w, ids) for distinct words: greedy longest-prefix pieces ('##' continuations); unsegmentable or
     longer than max_word characters -> [unk]."""
     L = F.length("w")
+    # pieces longer than the longest vocabulary entry of their kind cannot match: bound the substrings
+    max_head = vocab.where(~F.col("token").startswith("##")).select(F.max(F.length("token"))).scalar()
+    max_tail = vocab.where(F.col("token").startswith("##")).select(F.max(F.length("token")) - 2).scalar()
+    span = F.when(F.col("start") == 0, F.coalesce(max_head, F.lit(0))).otherwise(F.coalesce(max_tail, F.lit(0)))
     subs = (words.where(L <= max_word)
             .select("w", F.explode(F.sequence(F.lit(0), L - 1)).alias("start"))
-            .select("w", "start", F.explode(F.sequence(F.col("start") + 1, F.length("w"))).alias("end")))
+            .select("w", "start", F.least(F.length("w"), F.col("start") + span).alias("_last"))
+            .where(F.col("_last") > F.col("start"))
+            .select("w", "start", F.explode(F.sequence(F.col("start") + 1, F.col("_last"))).alias("end")))
     piece = F.when(F.col("start") == 0, F.substring("w", 1, F.col("end"))).otherwise(
         F.concat(F.lit("##"), F.substring("w", F.col("start") + 1, F.col("end") - F.col("start"))))
     subs = subs.select("w", "start", "end", piece.alias("token"))
