@@ -123,7 +123,7 @@ def refresh_index(postings: DataFrame, inserted: DataFrame | None = None,
         ids = touched[0]
         for t in touched[1:]:
             ids = ids.unionByName(t)
-        out = out.join(ids.distinct(), KEY, "left_anti")
+        out = out.join(ids.distinct(), KEY, "left_anti").select(*postings.columns)
     for new in (inserted, updated):
         if new is not None:
             out = out.unionByName(build_postings(new))
