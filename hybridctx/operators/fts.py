@@ -22,6 +22,7 @@ from hybridctx import constants as K
 from hybridctx.functions.columns import fts_tokenize
 from hybridctx.operators.sizing import broadcast_if_small
 from hybridctx.operators.store import top_n_per
+from hybridctx.session import reliable_checkpoint
 
 WS, KEY = "workspace_id", "memory_id"
 CONTENT_COL, TAGS_COL = 0, 1
@@ -35,24 +36,42 @@ def tokenized_memories(memories: DataFrame) -> DataFrame:
     return t.withColumn("dl", F.size("content_tokens") + F.size("tags_tokens"))
 
 
-def build_postings(memories: DataFrame) -> DataFrame:
-    """(workspace_id, memory_id, col, pos, term): content is col 0, tags col 1, positions per column."""
-    t = tokenized_memories(memories)
+def _explode_postings(t: DataFrame, extra: list[str]) -> DataFrame:
     cols = F.array(F.struct(F.lit(CONTENT_COL).alias("col"), F.col("content_tokens").alias("toks")),
                    F.struct(F.lit(TAGS_COL).alias("col"), F.col("tags_tokens").alias("toks")))
-    per_col = t.select(WS, KEY, F.inline(cols))
-    return per_col.select(WS, KEY, "col", F.posexplode("toks").alias("pos", "term"))
+    per_col = t.select(WS, KEY, *extra, F.inline(cols))
+    return per_col.select(WS, KEY, "col", F.posexplode("toks").alias("pos", "term"), *extra)
 
 
-def corpus_stats(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(workspace stats: workspace_id, n_docs, total_tokens, avgdl) and (doc stats: ws, memory_id, dl, live)."""
-    t = tokenized_memories(memories)
+def build_postings(memories: DataFrame) -> DataFrame:
+    """(workspace_id, memory_id, col, pos, term): content is col 0, tags col 1, positions per column."""
+    return _explode_postings(tokenized_memories(memories), [])
+
+
+def _stats_from_tokenized(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = t.select(WS, KEY, "dl", F.col("archived_at").isNull().alias("live"))
     ws = (docs.groupBy(WS).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_tokens"))
           .withColumn("avgdl", F.col("total_tokens").cast("double") / F.col("n_docs")))
     return ws, docs
 
 
+def corpus_stats(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(workspace stats: workspace_id, n_docs, total_tokens, avgdl) and (doc stats: ws, memory_id, dl, live)."""
+    return _stats_from_tokenized(tokenized_memories(memories))
+
+
+def build_index(memories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokenise the corpus once and return (postings with dl and live, workspace stats, doc stats).
+
+    The tokenised rows are materialised with a reliable checkpoint (in spark.checkpoint.dir), so postings
+    and statistics read them instead of tokenising the text again. A deployment keeps these tables
+    (written by build_postings / index_refresh_stream) and passes them to fts_topk and recall instead.
+    """
+    t = reliable_checkpoint(tokenized_memories(memories).withColumn("live", F.col("archived_at").isNull()))
+    ws, docs = _stats_from_tokenized(t)
+    return _explode_postings(t, ["dl", "live"]), ws, docs
+
+
 def parse_fts_query(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """(qid, workspace_id, phrase_no, offset, term, n_terms, n_phrases) for every non-empty phrase."""
     pieces = queries.select("qid", WS, F.posexplode(F.split(F.col(text), " ")).alias("phrase_no", "piece"))
@@ -68,21 +87,28 @@ def parse_fts_query(queries: DataFrame, text: str = "query_text") -> DataFrame:
 def phrase_hits(qterms: DataFrame, postings: DataFrame) -> DataFrame:
     """(qid, workspace_id, phrase_no, memory_id, tf): occurrences of each phrase per row (both columns)."""
     j = postings.join(broadcast_if_small(qterms), [WS, "term"])
+    # row attributes carried by the postings (dl, live) ride along: they are fixed per row
+    carry = [c for c in ("dl", "live") if c in postings.columns]
     # (query, phrase, offset) is unique and a posting has one term, so a full phrase occurrence at
     # (row, col, start) is exactly n_terms joined rows.
-    occ = (j.groupBy("qid", WS, "phrase_no", KEY, "col", (F.col("pos") - F.col("offset")).alias("start"))
+    occ = (j.groupBy("qid", WS, "phrase_no", KEY, *carry, "col", (F.col("pos") - F.col("offset")).alias("start"))
            .agg(F.count(F.lit(1)).alias("_n"), F.max("n_terms").alias("n_terms"))
            .where(F.col("_n") == F.col("n_terms")))
-    return occ.groupBy("qid", WS, "phrase_no", KEY).agg(F.count(F.lit(1)).alias("tf"))
+    return occ.groupBy("qid", WS, "phrase_no", KEY, *carry).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(hits: DataFrame, qterms: DataFrame, ws_stats: DataFrame, doc_stats: DataFrame) -> DataFrame:
-    """(qid, workspace_id, memory_id, live, score) for rows matching every phrase of the query."""
+def bm25_scores(hits: DataFrame, qterms: DataFrame, ws_stats: DataFrame, doc_stats: DataFrame | None) -> DataFrame:
+    """(qid, workspace_id, memory_id, live, score) for rows matching every phrase of the query.
+
+    When the hits carry dl and live (postings from build_index) no doc-stats join is needed.
+    """
     n_hit = hits.groupBy("qid", "phrase_no").agg(F.count(F.lit(1)).alias("n_hit"))
     phrases = qterms.select("qid", "n_phrases").distinct()
+    # one row per workspace: broadcast when the workspace count is within the bound (checked)
     x = (hits.join(n_hit, ["qid", "phrase_no"])
-         .join(F.broadcast(ws_stats.select(WS, "n_docs", "avgdl")), WS)
-         .join(doc_stats.select(WS, KEY, "dl", "live"), [WS, KEY]))
+         .join(broadcast_if_small(ws_stats.select(WS, "n_docs", "avgdl"), 2_000_000), WS))
+    if not {"dl", "live"} <= set(hits.columns):
+        x = x.join(doc_stats.select(WS, KEY, "dl", "live"), [WS, KEY])
     n, N = F.col("n_hit").cast("double"), F.col("n_docs").cast("double")
     idf0 = F.log((N - n + 0.5) / (n + 0.5))
     idf = F.when(idf0 <= 0.0, F.lit(K.BM25_IDF_FLOOR)).otherwise(idf0)
@@ -103,9 +129,12 @@ def fts_topk(queries: DataFrame, memories: DataFrame, k: int = K.BRANCH_TOPK,
     Output: (qid, workspace_id, memory_id, fts_rank, score).
     """
     qterms = parse_fts_query(queries, text)
-    ws_stats, doc_stats = stats if stats is not None else corpus_stats(memories)
+    if postings is None:
+        postings, ws_stats, doc_stats = build_index(memories)
+    else:
+        ws_stats, doc_stats = stats if stats is not None else corpus_stats(memories)
     # the broadcast join to the query terms sits right after the explode: only matching postings move
-    hits = phrase_hits(qterms, postings if postings is not None else build_postings(memories))
+    hits = phrase_hits(qterms, postings)
     scores = bm25_scores(hits, qterms, ws_stats, doc_stats).where("live").drop("live")
     return top_n_per(scores, ["qid"], [F.round("score", 12).desc(), F.col(KEY).asc()], k, "fts_rank")
 

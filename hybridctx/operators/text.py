@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hybridctx import constants as K
 from hybridctx.functions.columns import basic_tokenize
 from hybridctx.operators.sizing import broadcast_if_small
+from hybridctx.session import reliable_checkpoint
 
 SPECIALS = ["[CLS]", "[SEP]", "[UNK]"]
 
@@ -37,7 +38,7 @@ def corpus_vocabulary(docs: DataFrame, text: str, min_doc_frac: float = 0.01, ex
     # the vocabulary is a small lookup table (a model vocabulary has about 30k entries); it is read several
     # times (pieces, special ids, length bounds), so its lineage is cut with a reliable checkpoint
     ranked = toks.withColumn("id", (F.row_number().over(Window.orderBy("token")) - 1).cast("int"))
-    return ranked.checkpoint()
+    return reliable_checkpoint(ranked)
 
 
 def special_id(vocab: DataFrame, token: str):

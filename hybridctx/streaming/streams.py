@@ -8,11 +8,10 @@ only the workspace partitions the batch touched (after a reliable checkpoint cut
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hybridctx.operators.fts import build_postings
 from hybridctx.operators.store import log_hydration
-from hybridctx.schemas import MEMORY_SCHEMA, conform
+from hybridctx.session import reliable_checkpoint
 from hybridctx.sources.io import remember_batch
 
 
@@ -36,7 +35,6 @@ def remember_stream(source: DataFrame, workspaces: DataFrame, sink: str, quarant
 
     def run(batch: DataFrame, epoch_id: int):
         ok, rej = remember_batch(batch, workspaces, now_ms_of_epoch(epoch_id), embedder, key_cols)
-        ok = ok.select(*[c for c in ok.columns])
         ok.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
         rej.write.mode("overwrite").parquet(f"{quarantine}/epoch={epoch_id}")
 
@@ -51,7 +49,7 @@ def merge_hydration_log(spark: SparkSession, target: str, batch: DataFrame, seq:
     current = None
     if _exists(spark, target):
         current = spark.read.parquet(target).join(touched, "workspace_id", "left_semi")
-    merged = log_hydration(current, batch, seq).checkpoint()
+    merged = reliable_checkpoint(log_hydration(current, batch, seq))
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("workspace_id").parquet(target))
 
@@ -74,7 +72,7 @@ def refresh_postings(spark: SparkSession, target: str, changed: DataFrame) -> No
         old = (spark.read.parquet(target).join(touched_ws, "workspace_id", "left_semi")
                .join(changed.select("memory_id").distinct(), "memory_id", "left_anti"))
         new = old.unionByName(new)
-    new = new.checkpoint()
+    new = reliable_checkpoint(new)
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("workspace_id").parquet(target))
 
@@ -97,6 +95,3 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
         r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(sf_dir)
 
-
-__all__ = ["remember_stream", "hydration_log_stream", "index_refresh_stream", "merge_hydration_log",
-           "refresh_postings", "stream_table", "MEMORY_SCHEMA", "conform", "F"]
