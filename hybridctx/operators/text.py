@@ -22,11 +22,13 @@ def corpus_vocabulary(docs: DataFrame, text: str, min_doc_frac: float = 0.01, ex
     """Vocabulary built from the corpus: specials, every character and ##character (except the excluded
     ones), every word in at least min_doc_frac of the documents and ##(its last three letters).
     id = rank by token text (from 0). Output: (token, id)."""
-    words = docs.select(F.monotonically_increasing_id().alias("_d"), F.explode(basic_tokenize(text)).alias("w"))
+    # document frequency: words made unique inside each document (no shuffle), then counted map-side
+    df = (docs.select(F.explode(F.array_distinct(basic_tokenize(text))).alias("w"))
+          .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    df = words.distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     frequent = df.where(F.col("n") >= F.lit(min_doc_frac) * n_docs).select("w")
-    chars = words.select(F.explode(F.split("w", "")).alias("c")).where(F.col("c") != "").distinct()
+    chars = (df.select(F.explode(F.array_distinct(F.split("w", ""))).alias("c"))
+             .where(F.col("c") != "").distinct())
     chars = chars.where(~F.col("c").isin(list(exclude_chars)))
     toks = (chars.select(F.col("c").alias("token"))
             .unionByName(chars.select(F.concat(F.lit("##"), "c").alias("token")))
