@@ -23,8 +23,9 @@ def corpus_vocabulary(docs: DataFrame, text: str, min_doc_frac: float = 0.01, ex
     ones), every word in at least min_doc_frac of the documents and ##(its last three letters).
     id = rank by token text (from 0). Output: (token, id)."""
     # document frequency: words made unique inside each document (no shuffle), then counted map-side
-    df = (docs.select(F.explode(F.array_distinct(basic_tokenize(text))).alias("w"))
-          .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    # (one row per distinct word; read by four branches below, so materialised once)
+    df = reliable_checkpoint(docs.select(F.explode(F.array_distinct(basic_tokenize(text))).alias("w"))
+                             .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     frequent = df.where(F.col("n") >= F.lit(min_doc_frac) * n_docs).select("w")
     chars = (df.select(F.explode(F.array_distinct(F.split("w", ""))).alias("c"))
@@ -48,9 +49,8 @@ def special_id(vocab: DataFrame, token: str):
     return F.coalesce(vocab.where(F.col("token") == token).select(F.max("id")).scalar(), F.lit(0))
 
 
-def wordpiece_words(words: DataFrame, vocab: DataFrame, unk_id, max_word: int = K.WORDPIECE_MAX_WORD) -> DataFrame:
-    """(w, ids) for distinct words: greedy longest-prefix pieces ('##' continuations); unsegmentable or
-    longer than max_word characters -> [unk]."""
+def _segment(words: DataFrame, vocab: DataFrame, max_word: int) -> DataFrame:
+    """(w, ids, ok) for distinct words with at least one matching piece; ok = the greedy walk finished."""
     L = F.length("w")
     # pieces longer than the longest vocabulary entry of their kind cannot match: bound the substrings
     max_head = vocab.where(~F.col("token").startswith("##")).select(F.max(F.length("token"))).scalar()
@@ -63,33 +63,43 @@ def wordpiece_words(words: DataFrame, vocab: DataFrame, unk_id, max_word: int =
             .select("w", "start", F.explode(F.sequence(F.col("start") + 1, F.col("_last"))).alias("end")))
     piece = F.when(F.col("start") == 0, F.substring("w", 1, F.col("end"))).otherwise(
         F.concat(F.lit("##"), F.substring("w", F.col("start") + 1, F.col("end") - F.col("start"))))
-    subs = subs.select("w", "start", "end", piece.alias("token"))
-    edges = subs.join(broadcast_if_small(vocab.select("token", "id"), 2_000_000), "token")
-    best = edges.groupBy("w", "start").agg(F.max_by(F.struct("end", "id"), "end").alias("e"))
-    emap = best.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("start", "e"))).alias("m"))
+    edges = subs.select("w", "start", "end", piece.alias("token")) \
+        .join(broadcast_if_small(vocab.select("token", "id"), 2_000_000), "token")
+    # one group per distinct word; its edge list is bounded by length x longest piece
+    per_word = edges.groupBy("w").agg(F.collect_list(F.struct("start", "end", "id")).alias("_e"))
     init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("ids"), F.lit(True).alias("ok"))
 
     def step(acc, _):
-        e = F.try_element_at(F.col("m"), acc["pos"])
+        # longest piece starting at the current position (ends are unique per start)
+        here = F.filter("_e", lambda x: x["start"] == acc["pos"])
+        best = F.element_at(F.array_sort(F.transform(here, lambda x: F.struct((-x["end"]).alias("k"), x["end"]
+                                                                              .alias("end"), x["id"].alias("id")))), 1)
         done = (acc["pos"] >= F.length("w")) | ~acc["ok"]
-        return F.when(done, acc).when(e.isNull(), F.struct(acc["pos"].alias("pos"), acc["ids"].alias("ids"),
-                                                            F.lit(False).alias("ok"))) \
-            .otherwise(F.struct(e["end"].alias("pos"), F.concat(acc["ids"], F.array(e["id"])).alias("ids"),
+        return F.when(done, acc).when(best.isNull(), F.struct(acc["pos"].alias("pos"), acc["ids"].alias("ids"),
+                                                               F.lit(False).alias("ok"))) \
+            .otherwise(F.struct(best["end"].alias("pos"), F.concat(acc["ids"], F.array(best["id"])).alias("ids"),
                                 F.lit(True).alias("ok")))
 
-    walked = words.join(emap, "w", "left").select(
-        "w", F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("w"), F.lit(1))), init, step).alias("r"))
-    unk = F.array(unk_id)
-    return walked.select("w", F.when(F.col("r.ok") & (F.length("w") <= max_word) & (F.size("r.ids") > 0),
-                                     F.col("r.ids")).otherwise(unk).alias("ids"))
+    r = F.aggregate(F.sequence(F.lit(1), F.length("w")), init, step)
+    return per_word.select("w", r["ids"].alias("ids"), r["ok"].alias("ok"))
+
+
+def wordpiece_words(words: DataFrame, vocab: DataFrame, unk_id, max_word: int = K.WORDPIECE_MAX_WORD) -> DataFrame:
+    """(w, ids) for distinct words: greedy longest-prefix pieces ('##' continuations); unsegmentable or
+    longer than max_word characters -> [unk]."""
+    seg = _segment(words, vocab, max_word)
+    return words.join(seg, "w", "left").select(
+        "w", F.when(F.col("ok") & (F.size("ids") > 0), F.col("ids")).otherwise(F.array(unk_id)).alias("ids"))
 
 
 def wordpiece_corpus(docs: DataFrame, key: str, text: str, vocab: DataFrame,
                      max_len: int = K.WORDPIECE_MAX_LEN) -> DataFrame:
     """(key, ids): [CLS] word pieces [SEP], at most max_len ids in total. Missing specials get id 0."""
     words = docs.select(key, F.posexplode(basic_tokenize(text)).alias("wpos", "w"))
-    pieces = wordpiece_words(words.select("w").distinct(), vocab, special_id(vocab, "[UNK]"))
-    per_word = words.join(pieces, "w")
+    seg = _segment(words.select("w").distinct(), vocab, K.WORDPIECE_MAX_WORD)
+    unk = F.array(special_id(vocab, "[UNK]"))
+    per_word = words.join(seg, "w", "left").select(
+        key, "wpos", F.when(F.col("ok") & (F.size("ids") > 0), F.col("ids")).otherwise(unk).alias("ids"))
     w = Window.partitionBy(key).orderBy("wpos").rowsBetween(Window.unboundedPreceding, -1)
     room = max_len - 2
     per_word = per_word.withColumn("_before", F.coalesce(F.sum(F.size("ids")).over(w), F.lit(0)))
