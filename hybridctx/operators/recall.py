@@ -50,14 +50,16 @@ def fetch_candidates(fused: DataFrame, memories: DataFrame, queries: DataFrame |
 
 
 def recall(queries: DataFrame, memories: DataFrame, now_ms: int, postings: DataFrame | None = None,
-           stats=None, branch_k: int = K.BRANCH_TOPK) -> DataFrame:
+           stats=None, branch_k: int = K.BRANCH_TOPK,
+           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """queries: (qid, workspace_id, query_text, query_vec, k, types). memories: live and archived rows with
     an optional embedding. Output: (qid, rank, memory_id, type, content, tags, created_at, score)."""
-    vec = vector_topk(queries, memories, branch_k).select("qid", WS, KEY, F.col("vec_rank").alias("rank"))
+    vec = vector_topk(queries, memories, branch_k, max_broadcast_rows).select(
+        "qid", WS, KEY, F.col("vec_rank").alias("rank"))
     txt = fts_topk(queries, memories, branch_k, postings, stats).select("qid", WS, KEY,
                                                                         F.col("fts_rank").alias("rank"))
     fused = rrf_fuse([vec, txt])
-    small = row_count_at_most(queries.select("qid"), DEFAULT_MAX_BROADCAST_ROWS)
+    small = row_count_at_most(queries.select("qid"), max_broadcast_rows)
     cands = fetch_candidates(fused, memories, queries, broadcast_fused=small)
     scored = cands.withColumn("score", F.col("rrf") * recency_importance("created_at", "importance", now_ms))
     k = queries.select("qid", "k")
