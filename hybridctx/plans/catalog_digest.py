@@ -229,10 +229,8 @@ def q_pack_byte_budget(spark, sf_dir):
     out = None
     for s in dg.SCOPES:
         d = dg.context_digest(m, ws, repos, commits, s, NOW)
-        n = dg.format_lines(m, s, NOW).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_candidates"))
-        x = d.join(n, "workspace_id", "left").select(
-            "workspace_id", F.lit(s).alias("scope"), F.col("n_lines").cast("long").alias("n_lines"), "truncated",
-            F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"))
+        x = d.select("workspace_id", F.lit(s).alias("scope"), F.col("n_lines").cast("long").alias("n_lines"),
+                     "truncated", F.col("n_candidates").cast("long").alias("n_candidates"))
         out = x if out is None else out.unionByName(x)
     return out
 
