@@ -38,9 +38,15 @@ def corpus_vocabulary(docs: DataFrame, text: str, min_doc_frac: float = 0.01, ex
                          .select(F.concat(F.lit("##"), F.substring("w", -3, 3)).alias("token")))
             .unionByName(docs.sparkSession.createDataFrame([(s,) for s in SPECIALS], "token string"))
             .distinct())
-    # the vocabulary is a small lookup table (a model vocabulary has about 30k entries); it is read several
-    # times (pieces, special ids, length bounds), so its lineage is cut with a reliable checkpoint
-    ranked = toks.withColumn("id", (F.row_number().over(Window.orderBy("token")) - 1).cast("int"))
+    # id = rank by token text, as a two-level rank: row number inside the partition of the first character
+    # plus the number of tokens under smaller first characters (a running sum over one row per character)
+    toks = toks.withColumn("_first", F.substring("token", 1, 1))
+    per_first = toks.groupBy("_first").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = per_first.withColumn("_off", F.sum("_n").over(
+        Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1))).select("_first", "_off")
+    local = F.row_number().over(Window.partitionBy("_first").orderBy("token"))
+    ranked = (toks.withColumn("_local", local).join(F.broadcast(offsets), "_first")
+              .select("token", (F.coalesce("_off", F.lit(0)) + F.col("_local") - 1).cast("int").alias("id")))
     return reliable_checkpoint(ranked)
 
 

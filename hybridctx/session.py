@@ -45,7 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
-    local = tempfile.mkdtemp(prefix="hybridctx-ckpt-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (needed to cut lineage)")
+    local = tempfile.mkdtemp(prefix="hybridctx-ckpt-")  # local mode only (tests, single machine)
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
