@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hybridctx import constants as K
 from hybridctx.functions.columns import fts_tokenize
-from hybridctx.operators.sizing import broadcast_if_small
+from hybridctx.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small, row_count_at_most
 from hybridctx.operators.store import top_n_per
 from hybridctx.session import reliable_checkpoint
 
@@ -102,8 +102,14 @@ def bm25_scores(hits: DataFrame, qterms: DataFrame, ws_stats: DataFrame, doc_sta
 
     When the hits carry dl and live (postings from build_index) no doc-stats join is needed.
     """
+    # one row per query phrase / per query: broadcast (checked) so a phrase matching a third of a hot
+    # workspace is never gathered into one shuffle partition by (qid, phrase_no)
+    # (n_hit has at most one row per query phrase: the bound is checked on the small query-term table)
+    small = row_count_at_most(qterms.select("qid", "phrase_no").distinct(), DEFAULT_MAX_BROADCAST_ROWS * 16)
     n_hit = hits.groupBy("qid", "phrase_no").agg(F.count(F.lit(1)).alias("n_hit"))
     phrases = qterms.select("qid", "n_phrases").distinct()
+    if small:
+        n_hit, phrases = F.broadcast(n_hit), F.broadcast(phrases)
     # one row per workspace: broadcast when the workspace count is within the bound (checked)
     x = (hits.join(n_hit, ["qid", "phrase_no"])
          .join(broadcast_if_small(ws_stats.select(WS, "n_docs", "avgdl"), 2_000_000), WS))

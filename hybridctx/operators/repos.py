@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hybridctx.operators.digest import recent_commits  # noqa: F401  (re-export)
+from hybridctx.operators.sizing import broadcast_if_small
 
 WS = "workspace_id"
 
@@ -28,7 +29,8 @@ def resolve_workspace(paths: DataFrame, roots: DataFrame, path: str = "path", ro
     parts = F.split(F.col(path), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     cand = paths.select("*", F.explode(prefixes).alias("_anc"))
-    r = roots.select(F.col(root).alias("_anc")).distinct()
+    # known roots are few next to the paths: broadcast (checked) so a root shared by many paths is not skewed
+    r = broadcast_if_small(roots.select(F.col(root).alias("_anc")).distinct(), 1_000_000)
     hit = cand.join(r, "_anc").groupBy(*paths.columns).agg(F.max_by("_anc", F.length("_anc")).alias("_root"))
     return paths.join(hit, paths.columns, "left").select(
         *paths.columns, F.coalesce("_root", F.col(path)).alias("workspace_root"))
