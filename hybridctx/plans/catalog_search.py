@@ -199,7 +199,7 @@ FROM qs FULL OUTER JOIN per_q ON per_q.qid = qs.qid""", True, {
     "results": RECALL_BODY,
     "rel": RELEVANT_SQL,
     "per_q": """SELECT r.qid, count(*) AS n_results,
-  sum(CASE WHEN rel.memory_id IS NOT NULL THEN 1 ELSE 0 END) AS n_found,
+  CAST(sum(CASE WHEN rel.memory_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_found,
   min(CASE WHEN rel.memory_id IS NOT NULL THEN r.rank END) AS first_rank
   FROM results r LEFT JOIN rel ON rel.qid = r.qid AND rel.memory_id = r.memory_id GROUP BY r.qid""",
     "qs": "SELECT DISTINCT qid FROM rel"}))

@@ -27,7 +27,7 @@ def q_basic_tokenize(spark, sf_dir):
 
 
 @register("token_budget_report", f"""SELECT lang, count(*) AS n_docs,
-  sum(CASE WHEN len({BASIC_SQL}) + 2 > 256 THEN 1 ELSE 0 END) AS n_over_budget,
+  CAST(sum(CASE WHEN len({BASIC_SQL}) + 2 > 256 THEN 1 ELSE 0 END) AS BIGINT) AS n_over_budget,
   max(len({BASIC_SQL})) AS max_tokens FROM documents GROUP BY lang""")
 def q_token_budget_report(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")

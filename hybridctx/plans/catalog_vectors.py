@@ -92,7 +92,8 @@ FROM (SELECT d.workspace_id, min(len(CASE WHEN d.dim = 32 THEN v.embedding[1:32]
   GROUP BY d.workspace_id)""", "fx_vectors", "fx_dim_mix"))
 def q_embedding_dim_guard(spark, sf_dir):
     g = vx.embedding_dim_guard(_dim_mixed(spark, sf_dir), 64)
-    return g.select("workspace_id", "min_dim", "max_dim", F.col("n_vectors").cast("long").alias("n_vectors"),
+    return g.select("workspace_id", F.col("min_dim").cast("long").alias("min_dim"),
+                    F.col("max_dim").cast("long").alias("max_dim"), F.col("n_vectors").cast("long").alias("n_vectors"),
                     "ok", "message")
 
 

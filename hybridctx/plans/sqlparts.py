@@ -44,7 +44,7 @@ SELECT workspace_id, memory_id, 0 AS col, unnest(range(len(ct))) AS pos, unnest(
 UNION ALL
 SELECT workspace_id, memory_id, 1 AS col, unnest(range(len(tt))) AS pos, unnest(tt) AS term FROM toks""",
     "doc_stats": """SELECT workspace_id, memory_id, len(ct) + len(tt) AS dl, archived_at IS NULL AS live FROM toks""",
-    "ws_stats": """SELECT workspace_id, count(*) AS n_docs, sum(dl) AS total_tokens,
+    "ws_stats": """SELECT workspace_id, count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS total_tokens,
   CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl FROM doc_stats GROUP BY workspace_id""",
     "pieces": """SELECT qid, workspace_id, unnest(range(len(string_split(query_text, ' ')))) AS phrase_no,
   unnest(string_split(query_text, ' ')) AS piece FROM q""",
