@@ -147,7 +147,11 @@ def fts_topk(queries: DataFrame, memories: DataFrame, k: int = K.BRANCH_TOPK,
 
 def refresh_index(postings: DataFrame, inserted: DataFrame | None = None,
                   deleted_ids: DataFrame | None = None, updated: DataFrame | None = None) -> DataFrame:
-    """Keep postings equal to the table: deletes remove, inserts add, an update is remove + add."""
+    """Keep postings equal to the table: deletes remove, inserts add, an update is remove + add.
+
+    The result indexes (old rows - updated - deleted) + (inserted + updated - deleted): a row inserted
+    and deleted in the same refresh is not indexed.
+    """
     touched = []
     if deleted_ids is not None:
         touched.append(deleted_ids.select(KEY))
@@ -159,7 +163,10 @@ def refresh_index(postings: DataFrame, inserted: DataFrame | None = None,
         for t in touched[1:]:
             ids = ids.unionByName(t)
         out = out.join(ids.distinct(), KEY, "left_anti").select(*postings.columns)
+    gone = deleted_ids.select(KEY).distinct() if deleted_ids is not None else None
     for new in (inserted, updated):
         if new is not None:
-            out = out.unionByName(build_postings(new))
+            if gone is not None:
+                new = new.join(gone, KEY, "left_anti")
+            out = out.unionByName(build_postings(new).select(*postings.columns))
     return out

@@ -33,8 +33,8 @@ JOIN mem m ON m.workspace_id = f.workspace_id AND m.memory_id = f.memory_id
 WHERE m.archived_at IS NULL AND (q.types IS NULL OR len(q.types) = 0 OR list_contains(q.types, m.type))"""
 
 
-def _search_sql(body: str, upto: list[str]) -> str:
-    extra = {"mem": MEM_SQL, "q": Q_SQL}
+def _search_sql(body: str, upto: list[str], mem_where: str | None = None) -> str:
+    extra = {"mem": MEM_SQL + (f" WHERE {mem_where}" if mem_where else ""), "q": Q_SQL}
     extra.update(ctes(upto))
     return with_fixtures(body, *FX, extra=extra)
 
@@ -214,3 +214,16 @@ def q_recall_eval(spark, sf_dir):
     return e.select("qid", F.col("n_results").cast("long").alias("n_results"),
                     F.col("n_relevant_found").cast("long").alias("n_relevant_found"),
                     F.col("hit").cast("int").alias("hit"), F.round("rr", 9).alias("rr"))
+
+
+@register("refresh_index", _search_sql("SELECT workspace_id, memory_id, col, pos, term FROM postings",
+                                      ["toks", "postings"], mem_where="m.memory_id % 13 <> 0"))
+def q_refresh_index(spark, sf_dir):
+    """Index of (rows with id % 3 <> 0) refreshed with the other rows inserted and ids % 13 = 0 deleted."""
+    m = fx.fx_memories(spark, sf_dir)
+    base = fts.build_postings(m.where(F.col("memory_id") % 3 != 0))
+    ins = m.where(F.col("memory_id") % 3 == 0)
+    dele = m.where(F.col("memory_id") % 13 == 0).select("memory_id")
+    p = fts.refresh_index(base, inserted=ins, deleted_ids=dele)
+    return p.select("workspace_id", "memory_id", F.col("col").cast("int").alias("col"),
+                    F.col("pos").cast("long").alias("pos"), "term")
