@@ -8,6 +8,7 @@ only the workspace partitions the batch touched (after a reliable checkpoint cut
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hybridctx.operators.fts import build_postings
 from hybridctx.operators.store import log_hydration
@@ -31,7 +32,15 @@ def remember_stream(source: DataFrame, workspaces: DataFrame, sink: str, quarant
     """
     s = source
     if event_time is not None:
-        s = s.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(key_cols)
+        # a watermark needs TIMESTAMP; a TIMESTAMP_NTZ event time is cast (a uniform zone shift does not
+        # change which rows fall inside the watermark)
+        wm = event_time
+        if dict(s.dtypes)[event_time] == "timestamp_ntz":
+            wm = "_event_ts"
+            s = s.withColumn(wm, F.col(event_time).cast("timestamp"))
+        s = s.withWatermark(wm, watermark).dropDuplicatesWithinWatermark(key_cols)
+        if wm != event_time:
+            s = s.drop(wm)
 
     def run(batch: DataFrame, epoch_id: int):
         ok, rej = remember_batch(batch, workspaces, now_ms_of_epoch(epoch_id), embedder, key_cols)
