@@ -205,6 +205,6 @@ _TYPES = ", ".join(f"'{w}'" for w in K.GEN_TYPES)
   CAST(doc_id % 10 AS DOUBLE) / 10.0::DOUBLE AS importance, {K.FIXTURE_NOW_MS} - doc_id * 1000 AS created_at
 FROM documents""")
 def q_generate_memories(spark, sf_dir):
-    ids = fx.table(spark, sf_dir, "documents").select("doc_id")
+    ids = fx.table(spark, sf_dir, "documents", spread=False).select("doc_id")
     g = io.generate_memories_for(ids, id_col="doc_id")
     return g.select("memory_id", "type", "content", "importance", "created_at")

@@ -26,13 +26,13 @@ def _row_groups(path: str) -> int | None:
         return None
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """A driver table. A text table stored as fewer row groups than there are cores is read by one task
     only (a row group is the unit of a parquet split), so it is hash-spread on its key before the
     CPU-heavy text work. Tables laid out in many row groups (any large table) are left as scanned."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
-    if name in TEXT_TABLES:
+    if spread and name in TEXT_TABLES:
         par = spark.sparkContext.defaultParallelism
         groups = _row_groups(path)
         if groups is not None and groups < par:
@@ -115,7 +115,7 @@ def candidates_from(c: DataFrame) -> DataFrame:
 
 def fx_known_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known workspace ids for the candidate fixture: the document sources."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("id")).distinct()
+    return table(spark, sf_dir, "documents", spread=False).select(F.col("source").alias("id")).distinct()
 
 
 def fx_workspaces_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +218,6 @@ def fx_digest_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     src20..src22 hold no memories and, at every scale, no repository row: they exercise the empty cases.
     """
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", spread=False)  # key column only: no text work to spread
     ws = c.select(F.concat(F.lit("src"), (F.col("conv_id") % 23).cast("string")).alias("id")).distinct()
     return ws.select("id", F.col("id").alias("name"))
