@@ -17,6 +17,7 @@ from hybridctx.operators.fts import fts_topk
 from hybridctx.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
 from hybridctx.operators.store import filter_types_per_row, live_memories, top_n_per
 from hybridctx.operators.vectors import vector_topk
+from hybridctx.session import reliable_checkpoint
 
 WS, KEY = "workspace_id", "memory_id"
 
@@ -53,7 +54,12 @@ def recall(queries: DataFrame, memories: DataFrame, now_ms: int, postings: DataF
            stats=None, branch_k: int = K.BRANCH_TOPK,
            max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """queries: (qid, workspace_id, query_text, query_vec, k, types). memories: live and archived rows with
-    an optional embedding. Output: (qid, rank, memory_id, type, content, tags, created_at, score)."""
+    an optional embedding. Output: (qid, rank, memory_id, type, content, tags, created_at, score).
+
+    The query table feeds both branches, the candidate fetch, the per-query k and the size checks, so it
+    is materialised once (reliable checkpoint) instead of being re-planned and recomputed by each.
+    """
+    queries = reliable_checkpoint(queries)
     vec = vector_topk(queries, memories, branch_k, max_broadcast_rows).select(
         "qid", WS, KEY, F.col("vec_rank").alias("rank"))
     txt = fts_topk(queries, memories, branch_k, postings, stats).select("qid", WS, KEY,
