@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from hybridctx.llm import exact_dedup as exact
-from hybridctx.llm import mixing
+from hybridctx.llm import mixing, packing, token_counts
 from hybridctx.llm.common import table
 
+#: Ids that end a document in a packed sequence.
+END_ID = 2
+
+
+def op2_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
 
 def op3_pareto_mix(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(
@@ -16,6 +25,11 @@ def op6_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_pack_sequences(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"),
+                        packing.document_ids(public_tokenizers.path("word_bpe_49k.json"), END_ID))
+
+
 EXACT_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
@@ -24,6 +38,8 @@ FROM t JOIN g ON t.x = g.x
 """
 
 ENTRIES = {
+    "op2_token_counts": (op2_token_counts, None),
     "op3_pareto_mix": (op3_pareto_mix, mixing.MIX_SQL),
     "op6_exact_dedup": (op6_exact_dedup, EXACT_SQL),
+    "op8_pack_sequences": (op8_pack_sequences, None),
 }
