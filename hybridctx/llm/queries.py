@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 
 from hybridctx.llm import exact_dedup as exact
-from hybridctx.llm import mixing, packing, token_counts
+from hybridctx.llm import mixing, packing, token_counts, warc
 from hybridctx.llm.common import table
 
 #: Ids that end a document in a packed sequence.
 END_ID = 2
 
 
+def op1_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,6 +34,15 @@ def op8_pack_sequences(spark, sf_dir):
                         packing.document_ids(public_tokenizers.path("word_bpe_49k.json"), END_ID))
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT p.page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN g.top IS NULL OR g.top = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN g.top <> p.page_id THEN g.top END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
 EXACT_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
@@ -38,6 +51,7 @@ FROM t JOIN g ON t.x = g.x
 """
 
 ENTRIES = {
+    "op1_warc_round_trip": (op1_warc_round_trip, WARC_SQL),
     "op2_token_counts": (op2_token_counts, None),
     "op3_pareto_mix": (op3_pareto_mix, mixing.MIX_SQL),
     "op6_exact_dedup": (op6_exact_dedup, EXACT_SQL),
