@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from hybridctx.llm import exact_dedup as exact
-from hybridctx.llm import mixing, packing, token_counts, warc
+from hybridctx.llm import line_dedup, mixing, packing, token_counts, warc
 from hybridctx.llm.common import table
 
 #: Ids that end a document in a packed sequence.
@@ -34,6 +35,11 @@ def op8_pack_sequences(spark, sf_dir):
                         packing.document_ids(public_tokenizers.path("word_bpe_49k.json"), END_ID))
 
 
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
@@ -51,6 +57,7 @@ FROM t JOIN g ON t.x = g.x
 """
 
 ENTRIES = {
+    "op9_line_dedup": (op9_line_dedup, line_dedup.LINES_SQL),
     "op1_warc_round_trip": (op1_warc_round_trip, WARC_SQL),
     "op2_token_counts": (op2_token_counts, None),
     "op3_pareto_mix": (op3_pareto_mix, mixing.MIX_SQL),
