@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from hybridctx.llm import exact_dedup as exact
-from hybridctx.llm import line_dedup, mixing, packing, token_counts, warc
+from hybridctx.llm import line_dedup, mixing, packing, token_counts, vector_search, warc
 from hybridctx.llm.common import table
 
 #: Ids that end a document in a packed sequence.
@@ -35,6 +35,10 @@ def op8_pack_sequences(spark, sf_dir):
                         packing.document_ids(public_tokenizers.path("word_bpe_49k.json"), END_ID))
 
 
+def op7_pivot_topk(spark, sf_dir):
+    return vector_search.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -49,6 +53,15 @@ SELECT p.page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_dig
 FROM p LEFT JOIN g ON p.h = g.h
 """
 
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 EXACT_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
@@ -57,6 +70,7 @@ FROM t JOIN g ON t.x = g.x
 """
 
 ENTRIES = {
+    "op7_pivot_topk": (op7_pivot_topk, TOPK_SQL),
     "op9_line_dedup": (op9_line_dedup, line_dedup.LINES_SQL),
     "op1_warc_round_trip": (op1_warc_round_trip, WARC_SQL),
     "op2_token_counts": (op2_token_counts, None),
