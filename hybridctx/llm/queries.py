@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from hybridctx.llm import exact_dedup as exact
-from hybridctx.llm import line_dedup, mixing, packing, token_counts, vector_search, warc
+from hybridctx.llm import line_dedup, mixing, packing, quality, token_counts, vector_search, warc
 from hybridctx.llm.common import table
 
 #: Ids that end a document in a packed sequence.
@@ -26,6 +26,10 @@ def op3_pareto_mix(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_pairwise_quality(spark, sf_dir):
+    return quality.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -70,6 +74,7 @@ FROM t JOIN g ON t.x = g.x
 """
 
 ENTRIES = {
+    "op4_pairwise_quality": (op4_pairwise_quality, None),
     "op7_pivot_topk": (op7_pivot_topk, TOPK_SQL),
     "op9_line_dedup": (op9_line_dedup, line_dedup.LINES_SQL),
     "op1_warc_round_trip": (op1_warc_round_trip, WARC_SQL),
