@@ -49,3 +49,19 @@ def unit_draw(key: Column, salt: str = "") -> Column:
 def unit_draw_sql(key: str, salt: str = "") -> str:
     """unit_draw for DuckDB."""
     return f"((('0x' || substr(md5('{salt}' || {key}), 1, 13))::BIGINT)::DOUBLE + 0.5) / {float(2 ** 52)!r}"
+
+
+#: Buckets of the id filter below: its broadcast has at most this many integers at any size of input.
+ID_BUCKETS = 1 << 18
+
+
+def split_by_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among ids, rows whose key surely is not), without a shuffle of df.
+
+    Both sides are told apart by a broadcast of the hash buckets that hold an id: ID_BUCKETS numbers at most. A
+    hit is no proof (join the first part exactly); null keys go to the second part unless ids holds a null."""
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(ID_BUCKETS)).cast("int")
+    hit = stored(ids.select(bucket(id_col).alias("__bucket")).distinct(), "id-buckets")
+    marked = df.withColumn("__bucket", bucket(key))
+    return (marked.join(F.broadcast(hit), "__bucket", "left_semi").drop("__bucket"),
+            marked.join(F.broadcast(hit), "__bucket", "left_anti").drop("__bucket"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from hybridctx.llm import exact_dedup as exact
-from hybridctx.llm import line_dedup, mixing, packing, quality, token_counts, vector_search, warc
+from hybridctx.llm import line_dedup, mixing, near_dup, packing, quality, token_counts, vector_search, warc
 from hybridctx.llm.common import table
 
 #: Ids that end a document in a packed sequence.
@@ -30,6 +30,10 @@ def op4_pairwise_quality(spark, sf_dir):
     return quality.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_bottom_k_near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -74,6 +78,7 @@ FROM t JOIN g ON t.x = g.x
 """
 
 ENTRIES = {
+    "op5_bottom_k_near_dup": (op5_bottom_k_near_dup, None),
     "op4_pairwise_quality": (op4_pairwise_quality, None),
     "op7_pivot_topk": (op7_pivot_topk, TOPK_SQL),
     "op9_line_dedup": (op9_line_dedup, line_dedup.LINES_SQL),
