@@ -27,6 +27,9 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     and later reads prune columns. Used where a result holds texts or is read several times."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    # the shuffle files behind a finished step go when the driver collects its references; left alone that is
+    # after half an hour, and the steps of a long run would pile up on the executors' disks
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +55,7 @@ def unit_draw_sql(key: str, salt: str = "") -> str:
 
 
 #: Buckets of the id filter below: its broadcast has at most this many integers at any size of input.
-ID_BUCKETS = 1 << 18
+ID_BUCKETS = 1 << 20
 
 
 def split_by_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:

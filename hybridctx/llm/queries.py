@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from hybridctx.llm import exact_dedup as exact
-from hybridctx.llm import line_dedup, mixing, near_dup, packing, quality, token_counts, vector_search, warc
+from hybridctx.llm import line_dedup, mixing, near_dup, packing, quality, substring_dedup, token_counts, vector_search, warc
 from hybridctx.llm.common import table
 
 #: Ids that end a document in a packed sequence.
@@ -52,6 +52,11 @@ def op9_line_dedup(spark, sf_dir):
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_de_bruijn_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
@@ -78,6 +83,7 @@ FROM t JOIN g ON t.x = g.x
 """
 
 ENTRIES = {
+    "op10_de_bruijn_dedup": (op10_de_bruijn_dedup, None),
     "op5_bottom_k_near_dup": (op5_bottom_k_near_dup, None),
     "op4_pairwise_quality": (op4_pairwise_quality, None),
     "op7_pivot_topk": (op7_pivot_topk, TOPK_SQL),
