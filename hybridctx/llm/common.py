@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridctx.session import ensure_checkpoint_dir, reliable_checkpoint
+from hybridctx.session import ensure_checkpoint_dir
 
 #: Words are maximal runs of anything but ASCII white space (RE2, Java and Python agree on this text).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -17,9 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made by this driver in the shared checkpoint folder, with the session that can delete them.
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared checkpoint folder; release() or the driver's end deletes it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Delete the intermediate tables made so far. Call it when their results have been written."""
+    while _made:
+        spark, path = _made.pop()
+        if spark.sparkContext._jsc is not None:  # a stopped session can't delete any more
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+atexit.register(release)
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
@@ -33,9 +52,9 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (cleaned with the session's reference tracking) for small iteration state."""
-    return reliable_checkpoint(df)
+def row_key(df: DataFrame) -> Column:
+    """64-bit hash of a whole row; null and empty differ. Equal rows have equal keys."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").isNull() for c in df.columns])
 
 
 def word_count(text: Column) -> Column:

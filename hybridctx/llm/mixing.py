@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridctx.llm.common import WORD_PATTERN, stored, unit_draw, unit_draw_sql, word_count
+from hybridctx.llm.common import WORD_PATTERN, row_key, stored, unit_draw, unit_draw_sql, word_count
 
 SALT = "mix:"
 
@@ -52,18 +52,20 @@ def source_targets(sources: DataFrame, cap: float = 3.0, weights: tuple[int, ...
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                importance: str | None = None, cap: float = 3.0,
-                weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """One row per input row: id_col, source, size, source_size, target, copies, taken (= size x copies)."""
+                importance: str | None = None, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3),
+                carry: str | None = None) -> DataFrame:
+    """One row per input row: id_col, source, size, source_size, target, copies, taken (= size x copies), and the
+    column `carry` if one is named."""
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                        word_count(F.col(text_col)).alias("size"),
                        unit_draw(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), SALT).alias("u"),
-                       *([F.coalesce(F.col(importance).cast("double"), F.lit(1.0)).alias("imp")] if importance else []))
+                       *([F.coalesce(F.col(importance).cast("double"), F.lit(1.0)).alias("imp")] if importance else []),
+                       *([F.col(carry).alias("carried")] if carry else []))
     base = stored(base.withColumn("rid", F.monotonically_increasing_id()), "mix-base")
     t = _source_plan(base, cap, weights)
     return _sample(base, t, importance is not None).select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies",
-        (F.col("size") * F.col("copies")).alias("taken"))
+        (F.col("size") * F.col("copies")).alias("taken"), *([F.col("carried").alias(carry)] if carry else []))
 
 
 def _source_plan(base: DataFrame, cap: float, weights: tuple[int, ...]) -> DataFrame:
@@ -116,13 +118,17 @@ def _sample(base: DataFrame, t: DataFrame, weighted: bool) -> DataFrame:
 
 def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as it is taken (rows that repeat an id are merged
-    before they are sampled)."""
-    one = docs.dropDuplicates([id_col])
-    copies = mix_sources(one, id_col, text_col, source_col, **options).where("copies > 0") \
-        .select(F.col(id_col).alias("__mix_id"), "copies")
-    out = one.join(copies, F.col(id_col).eqNullSafe(F.col("__mix_id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))) \
+    """The mix itself: the columns of docs, each row as often as it is taken. Rows that are equal in every column
+    share their copies, as evenly as whole copies can be."""
+    keyed = docs.withColumn("__row", row_key(docs))
+    copies = mix_sources(keyed, id_col, text_col, source_col, carry="__row", **options) \
+        .groupBy("__row").agg(F.sum("copies").alias("__total"), F.count(F.lit(1)).alias("__rows"))
+    # the join leaves equal rows side by side, so numbering them needs no further shuffle
+    side = Window.partitionBy("__row").orderBy("__row")
+    out = keyed.join(copies, "__row").withColumn("__k", F.row_number().over(side))
+    mine = F.floor(F.col("__total") / F.col("__rows")) + (F.col("__k") <= F.col("__total") % F.col("__rows")).cast("int")
+    return out.withColumn("__copies", mine).where("__copies > 0") \
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))) \
         .select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
