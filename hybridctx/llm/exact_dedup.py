@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,11 +51,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The input rows that stay, all columns; rows that repeat the id and text that stays count once."""
-    marked = exact_dedup(docs, id_col, text_col, keep)
-    stays = marked.where("kept").select(F.col(id_col).alias("__stay_id"), F.col("text_sha256").alias("__stay_sha")) \
-        .distinct()
-    out = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    out = out.join(stays, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__sha") == F.col("__stay_sha")),
-                   "left_semi")
-    return out.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    """The input rows that stay, all columns; of rows that repeat the id and text that stays, one does."""
+    def key(c, sha):  # narrow key of (id, text); a group's copies have different ids, so no key is hot
+        return F.xxhash64(c, c.isNull(), sha)
+
+    stays = exact_dedup(docs, id_col, text_col, keep).where("kept") \
+        .select(key(F.col(id_col), F.col("text_sha256")).alias("__stay")).distinct()
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    out = docs.withColumn("__stay", key(F.col(id_col), sha)).join(stays, "__stay", "left_semi")
+    # the join leaves equal rows side by side, so numbering them needs no further shuffle
+    side = Window.partitionBy("__stay").orderBy("__stay")
+    return out.withColumn("__k", F.row_number().over(side)).where("__k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
