@@ -18,7 +18,7 @@ from hybridctx.session import reliable_checkpoint
 SPECIALS = ["[CLS]", "[SEP]", "[UNK]"]
 
 
-def corpus_vocabulary(docs: DataFrame, text: str, min_doc_frac: float = 0.01, exclude_chars: str = "q") -> DataFrame:
+def corpus_vocabulary(docs: DataFrame, text: str, min_doc_frac: float = 0.01, exclude_chars: str = "") -> DataFrame:
     """Vocabulary built from the corpus: specials, every character and ##character (except the excluded
     ones), every word in at least min_doc_frac of the documents and ##(its last three letters).
     id = rank by token text (from 0). Output: (token, id)."""
@@ -30,7 +30,8 @@ def corpus_vocabulary(docs: DataFrame, text: str, min_doc_frac: float = 0.01, ex
     frequent = df.where(F.col("n") >= F.lit(min_doc_frac) * n_docs).select("w")
     chars = (df.select(F.explode(F.array_distinct(F.split("w", ""))).alias("c"))
              .where(F.col("c") != "").distinct())
-    chars = chars.where(~F.col("c").isin(list(exclude_chars)))
+    if exclude_chars:
+        chars = chars.where(~F.col("c").isin(list(exclude_chars)))
     toks = (chars.select(F.col("c").alias("token"))
             .unionByName(chars.select(F.concat(F.lit("##"), "c").alias("token")))
             .unionByName(frequent.select(F.col("w").alias("token")))
@@ -90,18 +91,11 @@ def _segment(words: DataFrame, vocab: DataFrame, max_word: int) -> DataFrame:
     return per_word.select("w", r["ids"].alias("ids"), r["ok"].alias("ok"))
 
 
-def wordpiece_words(words: DataFrame, vocab: DataFrame, unk_id, max_word: int = K.WORDPIECE_MAX_WORD) -> DataFrame:
-    """(w, ids) for distinct words: greedy longest-prefix pieces ('##' continuations); unsegmentable or
-    longer than max_word characters -> [unk]."""
-    seg = _segment(words, vocab, max_word)
-    return words.join(seg, "w", "left").select(
-        "w", F.when(F.col("ok") & (F.size("ids") > 0), F.col("ids")).otherwise(F.array(unk_id)).alias("ids"))
-
-
 def wordpiece_corpus(docs: DataFrame, key: str, text: str, vocab: DataFrame,
                      max_len: int = K.WORDPIECE_MAX_LEN) -> DataFrame:
     """(key, ids): [CLS] word pieces [SEP], at most max_len ids in total. Missing specials get id 0."""
-    words = docs.select(key, F.posexplode(basic_tokenize(text)).alias("wpos", "w"))
+    # every word gives at least one piece, so only the first max_len - 2 words can reach the output
+    words = docs.select(key, F.posexplode(F.slice(basic_tokenize(text), 1, max_len - 2)).alias("wpos", "w"))
     seg = _segment(words.select("w").distinct(), vocab, K.WORDPIECE_MAX_WORD)
     unk = F.array(special_id(vocab, "[UNK]"))
     per_word = words.join(seg, "w", "left").select(

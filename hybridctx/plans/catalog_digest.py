@@ -35,7 +35,7 @@ def _lit(s: str) -> str:
 
 NEWEST = "created_at DESC, memory_id DESC"
 BASE = {
-    "dmem": """SELECT memory_id, workspace_id, type, headline AS content, tags, importance, created_at, archived_at
+    "dmem": """SELECT memory_id, workspace_id, type, content, tags, importance, created_at, archived_at
 FROM fx_memories""",
     "pool": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY {NEWEST}) AS pool_rank
   FROM dmem WHERE archived_at IS NULL) WHERE pool_rank <= 1000""",
@@ -81,8 +81,16 @@ FROM ws w LEFT JOIN fx_repos r ON r.workspace_id = w.workspace_id LEFT JOIN rcl
 }
 
 
-def _digest_ctes(scope: str, max_bytes: int, title_prefix: str = K.TITLE_PREFIX) -> dict[str, str]:
-    """CTEs ending in `digest_<scope>` (workspace_id, digest, n_lines, truncated)."""
+def hard_cut(text: str, max_bytes) -> str:
+    """DuckDB: the longest prefix of whole characters within max_bytes - note, and the note."""
+    room = f"greatest({max_bytes} - {len(K.TRUNCATION_NOTE.encode('utf-8'))}, 0)"
+    fits = f"list_max(list_filter(range(0, {room} + 1), lambda k: strlen(substr({text}, 1, k)) <= {room}))"
+    return f"(substr({text}, 1, {fits}) || {_lit(K.TRUNCATION_NOTE)})"
+
+
+def _digest_ctes(scope: str, max_bytes: int, title_prefix: str = K.TITLE_PREFIX, tag: str = "") -> dict[str, str]:
+    """CTEs ending in `digest_<scope><tag>` (workspace_id, digest, n_lines, truncated)."""
+    t = scope + tag
     title = f"({_q(title_prefix)} || w.name || chr(10))"
     none = _lit(K.NONE_LINE + "\n")
 
@@ -111,21 +119,20 @@ def _digest_ctes(scope: str, max_bytes: int, title_prefix: str = K.TITLE_PREFIX)
   dense_rank() OVER (PARTITION BY workspace_id ORDER BY section) AS ne,
   count(*) OVER (PARTITION BY workspace_id) AS n
 FROM lines_{scope}""",
-        f"f0_{scope}": f"""SELECT w.workspace_id, w.name, strlen({md0}) AS f0 FROM ws w {join_branch}""",
-        f"pack_{scope}": f"""SELECT f.workspace_id, f.f0,
+        f"f0_{t}": f"""SELECT w.workspace_id, w.name, strlen({md0}) AS f0 FROM ws w {join_branch}""",
+        f"pack_{t}": f"""SELECT f.workspace_id, f.f0,
   coalesce(max(i.n), 0) AS n,
   CASE WHEN coalesce(max(i.n), 0) = 0 THEN f.f0 ELSE f.f0 + max(i.cum) - 7 * max(i.ne) END AS f_all,
   count(i.ord) FILTER (WHERE i.ord < i.n AND f.f0 + i.cum - 7 * i.ne + {nb} <= {max_bytes}) AS feasible
-FROM f0_{scope} f LEFT JOIN items_{scope} i ON i.workspace_id = f.workspace_id GROUP BY f.workspace_id, f.f0""",
-        f"keep_{scope}": f"""SELECT workspace_id, n, f0,
+FROM f0_{t} f LEFT JOIN items_{scope} i ON i.workspace_id = f.workspace_id GROUP BY f.workspace_id, f.f0""",
+        f"keep_{t}": f"""SELECT workspace_id, n, f0,
   CASE WHEN f_all <= {max_bytes} THEN n WHEN f0 + {nb} <= {max_bytes} THEN feasible ELSE 0 END AS keep,
   f_all > {max_bytes} AS truncated, f_all > {max_bytes} AND f0 + {nb} > {max_bytes} AS hard
-FROM pack_{scope}""",
-        # the byte cut (hard) needs an empty digest larger than the budget: not reachable with these inputs
-        f"digest_{scope}": f"""SELECT w.workspace_id,
-  CASE WHEN p.truncated THEN {md} || {note} ELSE {md} END AS digest,
+FROM pack_{t}""",
+        f"digest_{t}": f"""SELECT w.workspace_id,
+  CASE WHEN p.hard THEN {hard_cut(md0, max_bytes)} WHEN p.truncated THEN {md} || {note} ELSE {md} END AS digest,
   CAST(p.keep AS INTEGER) AS n_lines, p.truncated
-FROM ws w {join_branch} JOIN keep_{scope} p ON p.workspace_id = w.workspace_id""",
+FROM ws w {join_branch} JOIN keep_{t} p ON p.workspace_id = w.workspace_id""",
     }
 
 
@@ -137,8 +144,7 @@ def _sql(body: str, *ctes_: dict) -> str:
 
 
 def _digest_inputs(spark, sf_dir):
-    m = fx.fx_memories(spark, sf_dir).withColumn("content", F.col("headline"))
-    return (m, fx.fx_digest_workspaces(spark, sf_dir), fx.fx_repos(spark, sf_dir), fx.fx_commits(spark, sf_dir))
+    return (fx.fx_memories(spark, sf_dir), fx.fx_digest_workspaces(spark, sf_dir), fx.fx_repos(spark, sf_dir), fx.fx_commits(spark, sf_dir))
 
 
 def _pool(spark, sf_dir):
@@ -215,36 +221,39 @@ def q_branch_section(spark, sf_dir):
     return dg.branch_section(ws, repos, commits, NOW)
 
 
+# (scope, budget): the default, one that drops decisions before tasks, one below the empty digest (byte cut)
+DIGESTS = [(s, K.DEFAULT_MAX_BYTES) for s in dg.SCOPES] + [("current", 20_000), ("current", 300), ("current", 64),
+                                                           ("week", 48), ("all", 100_000)]
 ALL_DIGESTS = {}
-for _s in dg.SCOPES:
-    ALL_DIGESTS.update(_digest_ctes(_s, K.DEFAULT_MAX_BYTES))
+for _s, _b in DIGESTS:
+    ALL_DIGESTS.update(_digest_ctes(_s, _b, tag=f"_{_b}"))
+PACK_BUDGETS = (256, 2048, 20_000)
 
 
-@register("pack_byte_budget", _sql("""
-SELECT workspace_id, 'current' AS scope, keep AS n_lines, truncated, n AS n_candidates FROM keep_current
-UNION ALL SELECT workspace_id, 'week', keep, truncated, n FROM keep_week
-UNION ALL SELECT workspace_id, 'all', keep, truncated, n FROM keep_all""", ALL_DIGESTS))
+@register("pack_byte_budget", _sql(f"""
+SELECT workspace_id, max_bytes, section, CAST(ord AS INTEGER) AS ord, strlen(line) AS bytes, total > max_bytes AS truncated
+FROM (SELECT *, cum - 7 * ne AS size, max(cum - 7 * ne) OVER (PARTITION BY workspace_id) AS total FROM items_current),
+  (SELECT unnest({list(PACK_BUDGETS)})::BIGINT AS max_bytes)
+WHERE total <= max_bytes OR size + {dg.NOTE_BYTES} <= max_bytes""", ALL_DIGESTS))
 def q_pack_byte_budget(spark, sf_dir):
-    m, ws, repos, commits = _digest_inputs(spark, sf_dir)
+    lines = dg.format_lines(_digest_inputs(spark, sf_dir)[0], "current", NOW)
     out = None
-    for s in dg.SCOPES:
-        d = dg.context_digest(m, ws, repos, commits, s, NOW)
-        x = d.select("workspace_id", F.lit(s).alias("scope"), F.col("n_lines").cast("long").alias("n_lines"),
-                     "truncated", F.col("n_candidates").cast("long").alias("n_candidates"))
+    for b in PACK_BUDGETS:
+        x = dg.pack_byte_budget(lines, b).select("workspace_id", F.lit(b).cast("long").alias("max_bytes"), "section",
+                                                 "ord", F.octet_length("line").cast("long").alias("bytes"), "truncated")
         out = x if out is None else out.unionByName(x)
     return out
 
 
-@register("context_digest", _sql("""
-SELECT workspace_id, 'current' AS scope, digest, strlen(digest) AS bytes, n_lines, truncated FROM digest_current
-UNION ALL SELECT workspace_id, 'week', digest, strlen(digest), n_lines, truncated FROM digest_week
-UNION ALL SELECT workspace_id, 'all', digest, strlen(digest), n_lines, truncated FROM digest_all""", ALL_DIGESTS))
+@register("context_digest", _sql("\nUNION ALL ".join(
+    f"SELECT workspace_id, '{s}' AS scope, {b}::BIGINT AS max_bytes, digest, strlen(digest) AS bytes, n_lines, truncated "
+    f"FROM digest_{s}_{b}" for s, b in DIGESTS), ALL_DIGESTS))
 def q_context_digest(spark, sf_dir):
     m, ws, repos, commits = _digest_inputs(spark, sf_dir)
     out = None
-    for s in dg.SCOPES:
-        d = dg.context_digest(m, ws, repos, commits, s, NOW)
-        x = d.select("workspace_id", F.lit(s).alias("scope"), "digest",
+    for s, b in DIGESTS:
+        d = dg.context_digest(m, ws, repos, commits, s, NOW, b)
+        x = d.select("workspace_id", F.lit(s).alias("scope"), F.lit(b).cast("long").alias("max_bytes"), "digest",
                      F.octet_length("digest").cast("long").alias("bytes"), "n_lines", "truncated")
         out = x if out is None else out.unionByName(x)
     return out
@@ -271,10 +280,14 @@ def q_context_hash(spark, sf_dir):
     return h.select("workspace_id", context_hash("digest").alias("context_hash"))
 
 
-@register("hard_truncate_utf8", None)
+CUTS = (40, 64, 100, 257)
+
+
+@register("hard_truncate_utf8", f"""SELECT doc_id, max_bytes::INTEGER AS max_bytes, {hard_cut("text", "max_bytes")} AS cut
+FROM documents, (SELECT unnest({list(CUTS)}) AS max_bytes)""")
 def q_hard_truncate_utf8(spark, sf_dir):
-    """Byte cut of every document at several budgets (pytest checks it against a plain loop)."""
+    """Byte cut of every document at several budgets."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    budgets = F.explode(F.array(*[F.lit(b) for b in (40, 64, 100, 257)]))
+    budgets = F.explode(F.array(*[F.lit(b) for b in CUTS]))
     x = d.select("doc_id", "text", budgets.alias("max_bytes"))
     return x.select("doc_id", "max_bytes", hard_truncate_utf8(F.col("text"), F.col("max_bytes")).alias("cut"))

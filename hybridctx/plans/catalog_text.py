@@ -41,6 +41,6 @@ def q_token_budget_report(spark, sf_dir):
 def q_wordpiece_corpus(spark, sf_dir):
     """Word pieces of every document with a vocabulary built from the same corpus (rows check + pytest)."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab = tx.corpus_vocabulary(d, "text")
+    vocab = tx.corpus_vocabulary(d, "text", exclude_chars="q")
     w = tx.wordpiece_corpus(d, "doc_id", "text", vocab)
     return w.select("doc_id", F.size("ids").alias("n_ids"), "ids")

@@ -13,11 +13,12 @@ from hybridctx.plans.sqlparts import dot, tok
 
 
 def _r6(v):
-    return F.transform(v, lambda x: F.round(x.cast("double"), 6))
+    # + 0.0 makes zero unsigned: the engines' round() treat the sign of a tiny negative number differently
+    return F.transform(v, lambda x: F.round(x.cast("double"), 6) + F.lit(0.0))
 
 
 def _r6_sql(v: str) -> str:
-    return f"list_transform({v}, lambda x: round(x::DOUBLE, 6))"
+    return f"list_transform({v}, lambda x: round(x::DOUBLE, 6) + 0.0::DOUBLE)"
 
 
 def _clamp_sql(v: str) -> str:
@@ -83,8 +84,8 @@ def _dim_mixed(spark, sf_dir):
 @register("embedding_dim_guard", with_fixtures("""SELECT workspace_id, min_dim, max_dim, n_vectors,
   min_dim = 64 AND max_dim = 64 AS ok,
   CASE WHEN min_dim = 64 AND max_dim = 64 THEN NULL ELSE
-    'Workspace was indexed with embeddings of dimension ' || CAST(CASE WHEN min_dim <> 64 THEN min_dim ELSE max_dim END AS VARCHAR)
-    || ' but the current provider produces dimension 64. Revert to a matching provider, or reindex the workspace from scratch.'
+    'stored vectors have ' || CAST(CASE WHEN min_dim <> 64 THEN min_dim ELSE max_dim END AS VARCHAR)
+    || ' components, the embedder gives 64'
   END AS message
 FROM (SELECT d.workspace_id, min(len(CASE WHEN d.dim = 32 THEN v.embedding[1:32] ELSE v.embedding END)) AS min_dim,
   max(len(CASE WHEN d.dim = 32 THEN v.embedding[1:32] ELSE v.embedding END)) AS max_dim, count(*) AS n_vectors

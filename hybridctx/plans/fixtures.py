@@ -56,7 +56,6 @@ def memories_from(documents: DataFrame, events: DataFrame) -> DataFrame:
         F.when(i % 4 == 0, "decision").when(i % 4 == 1, "gotcha").when(i % 4 == 2, "todo")
         .otherwise("note").alias("type"),
         F.col("text").alias("content"),
-        F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 80).alias("headline"),
         F.when(i % 7 == 0, F.lit(None).cast("string"))
         .when(i % 5 == 0, F.concat(F.col("event_type"), F.lit(", Active")))
         .otherwise(F.col("event_type")).alias("tags"),

@@ -9,7 +9,7 @@ FIXTURES: dict[str, str] = {
     "fx_memories": f"""
 SELECT d.doc_id AS memory_id, d.source AS workspace_id,
   CASE d.doc_id % 4 WHEN 0 THEN 'decision' WHEN 1 THEN 'gotcha' WHEN 2 THEN 'todo' ELSE 'note' END AS type,
-  d.text AS content, substr(replace(d.text, chr(10), ' '), 1, 80) AS headline,
+  d.text AS content,
   CASE WHEN d.doc_id % 7 = 0 THEN NULL WHEN d.doc_id % 5 = 0 THEN concat(e.event_type, ', Active') ELSE e.event_type END AS tags,
   CAST(d.doc_id % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS importance,
   {MS} AS created_at,
