@@ -36,10 +36,12 @@ def epoch_seconds(ts) -> Column:
 # vectors
 # --------------------------------------------------------------------------------------------
 
-def dot_similarity(a, b) -> Column:
-    """Sum of float32 products accumulated in double (cosine for unit vectors, no norm division)."""
-    prods = F.zip_with(_c(a), _c(b), lambda x, y: x * y)
-    return F.aggregate(prods, F.lit(0.0).cast("double"), lambda s, x: s + x)
+def dot_similarity(query, stored) -> Column:
+    """Sum of float32 products over the query's length, accumulated in double (cosine for unit vectors, no norm
+    division). A stored vector shorter than the query gives null: embedding_dim_guard reports it."""
+    q, v = _c(query), _c(stored)
+    prods = F.zip_with(q, F.slice(v, F.lit(1), F.size(q)), lambda x, y: x * y)
+    return F.when(F.size(v) >= F.size(q), F.aggregate(prods, F.lit(0.0).cast("double"), lambda s, x: s + x))
 
 
 def l2_normalize(v) -> Column:
@@ -186,10 +188,6 @@ def format_importance(importance) -> Column:
     return F.format_string("%.1f", _c(importance))
 
 
-def utf8_len(text) -> Column:
-    return F.octet_length(_c(text))
-
-
 # --------------------------------------------------------------------------------------------
 # ids
 # --------------------------------------------------------------------------------------------

@@ -84,9 +84,18 @@ def parse_fts_query(queries: DataFrame, text: str = "query_text") -> DataFrame:
                           "n_terms", "n_phrases")
 
 
-def phrase_hits(qterms: DataFrame, postings: DataFrame) -> DataFrame:
-    """(qid, workspace_id, phrase_no, memory_id, tf): occurrences of each phrase per row (both columns)."""
-    j = postings.join(broadcast_if_small(qterms), [WS, "term"])
+def phrase_hits(qterms: DataFrame, postings: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                salt_buckets: int = 64) -> DataFrame:
+    """(qid, workspace_id, phrase_no, memory_id, tf): occurrences of each phrase per row (both columns).
+
+    Query terms are broadcast within the bound. Beyond it the join is on (workspace, term, salt): the postings are
+    spread over salt_buckets by row id and the terms copied to each, so a frequent word of a huge workspace is split."""
+    if row_count_at_most(qterms, max_broadcast_rows):
+        j = postings.join(F.broadcast(qterms), [WS, "term"])
+    else:
+        salted = postings.withColumn("_salt", F.pmod(F.xxhash64(KEY), F.lit(salt_buckets)).cast("int"))
+        terms = qterms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        j = salted.join(terms, [WS, "term", "_salt"]).drop("_salt")
     # row attributes carried by the postings (dl, live) ride along: they are fixed per row
     carry = [c for c in ("dl", "live") if c in postings.columns]
     # (query, phrase, offset) is unique and a posting has one term, so a full phrase occurrence at
@@ -129,7 +138,7 @@ def bm25_scores(hits: DataFrame, qterms: DataFrame, ws_stats: DataFrame, doc_sta
 
 def fts_topk(queries: DataFrame, memories: DataFrame, k: int = K.BRANCH_TOPK,
              postings: DataFrame | None = None, stats: tuple[DataFrame, DataFrame] | None = None,
-             text: str = "query_text") -> DataFrame:
+             text: str = "query_text", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Best k live rows of the query's workspace by BM25; ties by row id. Statistics include archived rows.
 
     Output: (qid, workspace_id, memory_id, fts_rank, score).
@@ -140,7 +149,7 @@ def fts_topk(queries: DataFrame, memories: DataFrame, k: int = K.BRANCH_TOPK,
     else:
         ws_stats, doc_stats = stats if stats is not None else corpus_stats(memories)
     # the broadcast join to the query terms sits right after the explode: only matching postings move
-    hits = phrase_hits(qterms, postings)
+    hits = phrase_hits(qterms, postings, max_broadcast_rows)
     scores = bm25_scores(hits, qterms, ws_stats, doc_stats).where("live").drop("live")
     return top_n_per(scores, ["qid"], [F.round("score", 12).desc(), F.col(KEY).asc()], k, "fts_rank")
 

@@ -15,8 +15,8 @@ from hybridctx import constants as K
 from hybridctx.functions.columns import recency_importance, split_tags
 from hybridctx.operators.fts import fts_topk
 from hybridctx.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
-from hybridctx.operators.store import filter_types_per_row, live_memories, top_n_per
-from hybridctx.operators.vectors import vector_topk
+from hybridctx.operators.store import filter_types_per_row, live_memories, top_n_per, validate_queries
+from hybridctx.operators.vectors import embed_corpus, vector_topk
 from hybridctx.session import reliable_checkpoint
 
 WS, KEY = "workspace_id", "memory_id"
@@ -62,8 +62,8 @@ def recall(queries: DataFrame, memories: DataFrame, now_ms: int, postings: DataF
     queries = reliable_checkpoint(queries)
     vec = vector_topk(queries, memories, branch_k, max_broadcast_rows).select(
         "qid", WS, KEY, F.col("vec_rank").alias("rank"))
-    txt = fts_topk(queries, memories, branch_k, postings, stats).select("qid", WS, KEY,
-                                                                        F.col("fts_rank").alias("rank"))
+    txt = fts_topk(queries, memories, branch_k, postings, stats, max_broadcast_rows=max_broadcast_rows).select(
+        "qid", WS, KEY, F.col("fts_rank").alias("rank"))
     fused = rrf_fuse([vec, txt])
     small = row_count_at_most(queries.select("qid"), max_broadcast_rows)
     cands = fetch_candidates(fused, memories, queries, broadcast_fused=small)
@@ -75,6 +75,20 @@ def recall(queries: DataFrame, memories: DataFrame, now_ms: int, postings: DataF
                          "created_at", "score")
 
 
+def recall_requests(queries: DataFrame, memories: DataFrame, now_ms: int, embedder=None,
+                    **options) -> tuple[DataFrame, DataFrame]:
+    """Recall as a service answers it: (results of the good requests, rejected requests with reject_reason).
+
+    Blank texts and k outside 1..20 are refused. With an embedder (see embed_corpus) the query vector comes from
+    the query text; otherwise the requests bring query_vec."""
+    checked = validate_queries(queries)
+    good = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    if embedder is not None:
+        good = good.drop("query_vec").join(
+            embed_corpus(good, "qid", "query_text", embedder).withColumnRenamed("embedding", "query_vec"), "qid")
+    return recall(good, memories, now_ms, **options), checked.where(F.col("reject_reason").isNotNull())
+
+
 def recall_to_json(results: DataFrame) -> DataFrame:
     """One JSON array per query, ordered by score (rank): [{id, type, content, tags, created_at, score}]."""
     item = F.struct(F.col("rank"), F.col(KEY).alias("id"), "type", "content", "tags", "created_at", "score")

@@ -119,8 +119,8 @@ def q_fts_topk(spark, sf_dir):
 _FUSE_EXTRA = FTS_ALL + ["vec_top", "fused"]
 
 
-def _fusion_sql(body: str, with_cands: bool = False, more: dict | None = None) -> str:
-    extra = {"mem": MEM_SQL, "q": Q_SQL}
+def _fusion_sql(body: str, with_cands: bool = False, more: dict | None = None, first: dict | None = None) -> str:
+    extra = {**(first or {}), "mem": MEM_SQL, "q": Q_SQL if not first else Q_SQL.replace("fx_queries", next(iter(first)))}
     extra.update(ctes(FTS_ALL))
     extra["vec_top"] = VEC_SQL
     extra["fused"] = FUSED_SQL
@@ -164,10 +164,38 @@ def q_recall(spark, sf_dir):
                     "created_at", F.round("score", 9).alias("score"))
 
 
-@register("recall_to_json", None)
+JSON_ITEMS = "array<struct<id: bigint, type: string, content: string, tags: array<string>, created_at: bigint, score: double>>"
+
+
+@register("recall_to_json", _fusion_sql(f"""SELECT qid, rank - 1 AS pos, memory_id AS id, type, content, tags, created_at, score
+FROM ({RECALL_BODY})""", True))
 def q_recall_to_json(spark, sf_dir):
+    """The JSON arrays, parsed again: their order and every field must be those of the ranked rows."""
+    q, m = _inputs(spark, sf_dir)
+    j = rc.recall_to_json(rc.recall(q, m, NOW))
+    items = j.select("qid", F.posexplode(F.from_json("json", JSON_ITEMS)).alias("pos", "r")).select("qid", "pos", "r.*")
+    return items.withColumn("pos", F.col("pos").cast("long")).withColumn("score", F.round("score", 9))
+
+
+CHECKED_SQL = """SELECT *, CASE
+  WHEN query_text IS NULL OR regexp_replace(query_text, '\\s', '', 'g') = '' THEN 'query must not be empty'
+  WHEN k < 1 OR k > 20 THEN 'k must be between 1 and 20' END AS reject_reason
+FROM (SELECT * REPLACE (CAST(qid % 23 - 1 AS INTEGER) AS k) FROM fx_queries)"""
+
+
+@register("recall_requests", _fusion_sql(f"""
+SELECT c.qid, c.reject_reason, CASE WHEN c.reject_reason IS NULL THEN coalesce(r.n, 0) ELSE 0 END AS n_results
+FROM checked c LEFT JOIN (SELECT qid, count(*) AS n FROM ({RECALL_BODY}) GROUP BY qid) r ON r.qid = c.qid""", True,
+                                         first={"checked": CHECKED_SQL}))
+def q_recall_requests(spark, sf_dir):
+    """Requests with k from -1 to 21: the bad ones come back with their reason, the others are answered."""
     q, m = _inputs(spark, sf_dir)
-    return rc.recall_to_json(rc.recall(q, m, NOW))
+    found, rejected = rc.recall_requests(q.withColumn("k", ((F.col("qid") % 23) - 1).cast("int")), m, NOW)
+    n = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_results"))
+    good = q.select("qid").join(rejected.select("qid"), "qid", "left_anti")
+    return good.join(n, "qid", "left").select("qid", F.lit(None).cast("string").alias("reject_reason"),
+                                              F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results")) \
+        .unionByName(rejected.select("qid", "reject_reason", F.lit(0).cast("long").alias("n_results")))
 
 
 @register("recency_importance", with_fixtures(
@@ -207,8 +235,9 @@ def q_recall_eval(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
     v = fx.fx_vectors(spark, sf_dir)
     qv = v.select(F.col("memory_id").alias("qid"), "label")
-    rel = (q.select("qid", "workspace_id").join(qv, "qid").join(v.select("memory_id", "label"), "label")
-           .join(live_memories(m).select("memory_id", "workspace_id"), ["memory_id", "workspace_id"])
+    # rows meet their labels first, so queries are joined on (workspace, label) and never on the label alone
+    labelled = live_memories(m).select("memory_id", "workspace_id").join(v.select("memory_id", "label"), "memory_id")
+    rel = (q.select("qid", "workspace_id").join(qv, "qid").join(labelled, ["workspace_id", "label"])
            .select("qid", "memory_id"))
     e = rc.recall_eval(rc.recall(q, m, NOW), rel)
     return e.select("qid", F.col("n_results").cast("long").alias("n_results"),

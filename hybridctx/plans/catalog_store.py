@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hybridctx import constants as K
 from hybridctx.operators import store as st
@@ -14,6 +15,7 @@ from hybridctx.plans.registry import register
 from hybridctx.plans.sqlparts import has_active
 from hybridctx.sources import io
 from hybridctx.schemas import COMMIT_SCHEMA, conform
+from hybridctx.session import scratch_dir
 
 NOW = K.FIXTURE_NOW_MS
 
@@ -156,21 +158,22 @@ def q_delete_memories(spark, sf_dir):
         report.select("memory_id", F.when(F.col("removed"), "removed").otherwise("missing").alias("status")))
 
 
-DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()),
-                           T.StructField("n_chars", T.LongType())])
-
-
-@register("read_memories", "SELECT doc_id AS memory_id, source AS workspace_id, n_chars FROM documents")
+@register("read_memories", with_fixtures("""SELECT CAST(memory_id AS VARCHAR) AS memory_id, workspace_id, type, content,
+  tags, importance, created_at, archived_at FROM fx_memories""", "fx_memories"))
 def q_read_memories(spark, sf_dir):
-    """Fixed-schema scan (no inference, only the declared columns are read)."""
-    d = spark.read.schema(DOC_SCHEMA).parquet(f"{sf_dir}/documents.parquet")
-    return d.select(F.col("doc_id").alias("memory_id"), F.col("source").alias("workspace_id"), "n_chars")
+    """The fixture goes through the sink (one folder per workspace) and comes back through the reader."""
+    path = scratch_dir(spark, f"memories-{uuid.uuid4().hex[:12]}")
+    io.append_memories(fx.fx_memories(spark, sf_dir), path)
+    return io.read_memories(spark, path).select("memory_id", "workspace_id", "type", "content", "tags", "importance",
+                                                "created_at", "archived_at")
 
 
 @register("read_commits", with_fixtures(
     "SELECT workspace_id, sha, author, message, committed_at FROM fx_commits", "fx_commits"))
 def q_read_commits(spark, sf_dir):
-    return conform(fx.fx_commits(spark, sf_dir), COMMIT_SCHEMA)
+    path = scratch_dir(spark, f"commits-{uuid.uuid4().hex[:12]}")
+    conform(fx.fx_commits(spark, sf_dir), COMMIT_SCHEMA).write.parquet(path)
+    return io.read_commits(spark, path)
 
 
 _REM_TS = K.FIXTURE_NOW_MS
@@ -178,9 +181,12 @@ _ULID_SQL = (f"{_crockford_sql(str(_REM_TS), 10)} || {_crockford_sql(chr(40) + c
              f" || {_crockford_sql(chr(40) + chr(39) + '0x' + chr(39) + ' || substr(' + _H + ', 11, 10))::BIGINT', 8)}")
 
 
+ACCEPTED_SQL = f"""SELECT conv_id, turn, workspace_id, {_ULID_SQL} AS id, {_REM_TS} AS created_at FROM fx_candidates
+WHERE ({VALIDATE_SQL}) IS NULL AND workspace_id IN (SELECT id FROM fx_known_workspaces)"""
+
+
 @register("remember_batch", with_fixtures(f"""
-SELECT conv_id, turn, {_ULID_SQL} AS id, {_REM_TS} AS created_at, 'accepted' AS status FROM fx_candidates
-WHERE ({VALIDATE_SQL}) IS NULL AND workspace_id IN (SELECT id FROM fx_known_workspaces)
+SELECT conv_id, turn, id, created_at, 'accepted' AS status FROM ({ACCEPTED_SQL})
 UNION ALL
 SELECT conv_id, turn, NULL, NULL, coalesce({VALIDATE_SQL}, 'unknown workspace') FROM fx_candidates
 WHERE ({VALIDATE_SQL}) IS NOT NULL OR workspace_id NOT IN (SELECT id FROM fx_known_workspaces)""",

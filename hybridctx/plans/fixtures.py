@@ -12,32 +12,19 @@ from pyspark.sql import functions as F
 from hybridctx.functions.columns import epoch_ms, epoch_seconds
 
 
+#: Session setting: partitions that a run wants its text tables in (unset: as scanned).
+TEXT_PARTITIONS = "spark.hybridctx.textPartitions"
 # text-heavy tables and the key they are spread on
 TEXT_TABLES = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"],
                "benchmark": ["item_id"]}
 
 
-def _row_groups(path: str) -> int | None:
-    """Row groups of a local parquet file (None when it is not a readable local file)."""
-    try:
-        import pyarrow.parquet as pq
-        return pq.ParquetFile(path).metadata.num_row_groups
-    except Exception:  # noqa: BLE001  (remote or missing: leave the scan as it is)
-        return None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """A driver table. A text table stored as fewer row groups than there are cores is read by one task
-    only (a row group is the unit of a parquet split), so it is hash-spread on its key before the
-    CPU-heavy text work. Tables laid out in many row groups (any large table) are left as scanned."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if spread and name in TEXT_TABLES:
-        par = spark.sparkContext.defaultParallelism
-        groups = _row_groups(path)
-        if groups is not None and groups < par:
-            df = df.repartition(par, *TEXT_TABLES[name])
-    return df
+    """A driver table. Where the run sets TEXT_PARTITIONS in the session, text tables are hash-spread on their key
+    into that many partitions (for small files of one row group, which one task would read)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get(TEXT_PARTITIONS, None) if spread and name in TEXT_TABLES else None
+    return df.repartition(int(n), *TEXT_TABLES[name]) if n else df
 
 
 def fx_memories(spark: SparkSession, sf_dir: str) -> DataFrame:

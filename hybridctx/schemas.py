@@ -3,7 +3,7 @@
 from pyspark.sql import types as T
 
 MEMORY_SCHEMA = T.StructType([
-    T.StructField("memory_id", T.LongType(), False),
+    T.StructField("memory_id", T.StringType(), False),     # 26-char ULID
     T.StructField("workspace_id", T.StringType(), False),
     T.StructField("type", T.StringType(), False),
     T.StructField("content", T.StringType(), False),
@@ -13,7 +13,6 @@ MEMORY_SCHEMA = T.StructType([
     T.StructField("created_at", T.LongType(), False),      # milliseconds
     T.StructField("archived_at", T.LongType(), True),      # milliseconds
     T.StructField("embedding", T.ArrayType(T.FloatType()), True),
-    T.StructField("id", T.StringType(), True),             # 26-char ULID
 ])
 
 WORKSPACE_SCHEMA = T.StructType([

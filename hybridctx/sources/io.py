@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybridctx import constants as K
@@ -54,7 +54,8 @@ def remember_batch(df: DataFrame, workspaces: DataFrame, now_ms: int, embedder=N
     Returns (accepted rows: memories columns plus the input's extra columns; conform to MEMORY_SCHEMA
     before appending) and rejected rows with reject_reason.
     Defaults: type 'note', importance 0.5, tags null. Ids are ULIDs whose 80 random bits come from a hash
-    of the row key, so a retried task produces the same ids.
+    of the row key (key_cols, by default the row's own values) and its number among equal keys, so a retried task
+    produces the same ids and equal rows still differ. memory_id is that ULID unless the input brings its own key.
     """
     x = df
     if "type" not in x.columns:
@@ -71,11 +72,16 @@ def remember_batch(df: DataFrame, workspaces: DataFrame, now_ms: int, embedder=N
     rejected = v.where(F.col("reject_reason").isNotNull()).unionByName(orphans)
     ok = known_memories(v.where(F.col("reject_reason").isNull()), workspaces, ws_key).drop("reject_reason")
     keys = key_cols or [c for c in ("workspace_id", "content", "type", "tags", "importance") if c in ok.columns]
-    ok = ok.withColumn("created_at", F.lit(int(now_ms))) \
-        .withColumn("id", assign_ulid_col(F.lit(int(now_ms)), keys)) \
-        .withColumn("archived_at", F.lit(None).cast("long"))
+    # rows with equal keys are numbered, so every row gets an id of its own; the number takes part from the second on
+    same = Window.partitionBy(*keys).orderBy(F.xxhash64(*ok.columns))
+    ok = ok.withColumn("_nth", F.row_number().over(same))
+    ts = F.lit(int(now_ms))
+    ok = ok.withColumn("created_at", ts) \
+        .withColumn("id", F.when(F.col("_nth") == 1, assign_ulid_col(ts, keys))
+                    .otherwise(assign_ulid_col(ts, [*keys, F.col("_nth")]))) \
+        .withColumn("archived_at", F.lit(None).cast("long")).drop("_nth")
     if "memory_id" not in ok.columns:
-        ok = ok.withColumn("memory_id", F.xxhash64("id"))
+        ok = ok.withColumn("memory_id", F.col("id"))
     if embedder is not None:
         from hybridctx.operators.vectors import embed_corpus
         ok = ok.join(embed_corpus(ok, "id", "content", embedder), "id", "left")
@@ -84,7 +90,7 @@ def remember_batch(df: DataFrame, workspaces: DataFrame, now_ms: int, embedder=N
 
 def append_memories(df: DataFrame, path: str) -> None:
     """Append to the memories table, one folder per workspace."""
-    df.write.mode("append").partitionBy("workspace_id").parquet(path)
+    conform(df, MEMORY_SCHEMA).write.mode("append").partitionBy("workspace_id").parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_col: str = "workspace_id") -> None:

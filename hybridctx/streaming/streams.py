@@ -43,9 +43,11 @@ def remember_stream(source: DataFrame, workspaces: DataFrame, sink: str, quarant
             s = s.drop(wm)
 
     def run(batch: DataFrame, epoch_id: int):
+        batch.persist()  # both writes read it: without this the stateful de-duplication runs twice
         ok, rej = remember_batch(batch, workspaces, now_ms_of_epoch(epoch_id), embedder, key_cols)
         ok.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
         rej.write.mode("overwrite").parquet(f"{quarantine}/epoch={epoch_id}")
+        batch.unpersist()
 
     w = s.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -73,23 +75,55 @@ def hydration_log_stream(source: DataFrame, target: str, checkpoint: str, availa
     return w.start()
 
 
-def refresh_postings(spark: SparkSession, target: str, changed: DataFrame) -> None:
-    """Replace the postings of the changed rows (insert or update) in the touched workspace partitions."""
-    touched_ws = changed.select("workspace_id").distinct()
-    new = build_postings(changed)
+#: Sub-partitions of a workspace's postings, by hash of the row id: a changed row rewrites one of them.
+POSTING_SLICES = 16
+
+
+def _slice():
+    return F.pmod(F.xxhash64("memory_id"), F.lit(POSTING_SLICES)).cast("int")
+
+
+def refresh_postings(spark: SparkSession, target: str, changed: DataFrame | None = None,
+                     deleted: DataFrame | None = None) -> None:
+    """Replace the postings of the changed rows (insert or update) and drop those of deleted ones.
+
+    deleted: (workspace_id, memory_id). Only the (workspace, slice) folders that hold such a row are rewritten; a
+    folder that loses its last posting goes."""
+    parts = [x.select("workspace_id", "memory_id") for x in (changed, deleted) if x is not None]
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = reliable_checkpoint(rows.distinct().withColumn("slice", _slice()))
+    new = None if changed is None else build_postings(changed).withColumn("slice", _slice())
+    if changed is not None and deleted is not None:
+        new = new.join(deleted.select("memory_id").distinct(), "memory_id", "left_anti")
     if _exists(spark, target):
-        old = (spark.read.parquet(target).join(touched_ws, "workspace_id", "left_semi")
-               .join(changed.select("memory_id").distinct(), "memory_id", "left_anti"))
-        new = old.unionByName(new)
+        touched = rows.select("workspace_id", "slice").distinct()
+        old = (spark.read.parquet(target).join(touched, ["workspace_id", "slice"], "left_semi")
+               .join(rows.select("memory_id"), "memory_id", "left_anti"))
+        new = old if new is None else old.unionByName(new)
+    if new is None:
+        return
     new = reliable_checkpoint(new)
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("workspace_id").parquet(target))
+     .partitionBy("workspace_id", "slice").parquet(target))
+    _drop_emptied(spark, target, rows, new)
+
+
+def _drop_emptied(spark: SparkSession, target: str, rows: DataFrame, new: DataFrame) -> None:
+    """A dynamic overwrite leaves folders alone that get no row: delete the touched ones that became empty."""
+    empty = rows.select("workspace_id", "slice").distinct().join(
+        new.select("workspace_id", "slice").distinct(), ["workspace_id", "slice"], "left_anti")
+    jvm = spark.sparkContext._jvm
+    for r in empty.toLocalIterator():  # folders that one batch emptied
+        p = jvm.org.apache.hadoop.fs.Path(f"{target}/workspace_id={r.workspace_id}/slice={r.slice}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def index_refresh_stream(source: DataFrame, target: str, checkpoint: str, available_now: bool = True):
     """Keep a postings table (partitioned by workspace) in step with a stream of inserted/updated rows."""
     def run(batch: DataFrame, epoch_id: int):
+        batch.persist()
         refresh_postings(batch.sparkSession, target, batch)
+        batch.unpersist()
 
     w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
