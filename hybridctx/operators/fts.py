@@ -60,12 +60,25 @@ def corpus_stats(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _stats_from_tokenized(tokenized_memories(memories))
 
 
+def index_tables(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a stored index holds: (postings with dl and live, documents: workspace_id, memory_id, dl, live)."""
+    t = tokenized_memories(memories).withColumn("live", F.col("archived_at").isNull())
+    return _explode_postings(t, ["dl", "live"]), t.select(WS, KEY, "dl", "live")
+
+
+def stored_stats(docs: DataFrame) -> DataFrame:
+    """Workspace statistics (workspace_id, n_docs, total_tokens, avgdl) of a stored index's documents table."""
+    return (docs.groupBy(WS).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_tokens"))
+            .withColumn("avgdl", F.col("total_tokens").cast("double") / F.col("n_docs")))
+
+
 def build_index(memories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tokenise the corpus once and return (postings with dl and live, workspace stats, doc stats).
 
     The tokenised rows are materialised with a reliable checkpoint (in spark.checkpoint.dir), so postings
-    and statistics read them instead of tokenising the text again. A deployment keeps these tables
-    (written by build_postings / index_refresh_stream) and passes them to fts_topk and recall instead.
+    and statistics read them instead of tokenising the text again. For one-off searches; a deployment keeps the
+    tables of index_tables (streaming.streams.refresh_index_tables) and gives fts_topk and recall what read_index
+    returns.
     """
     t = reliable_checkpoint(tokenized_memories(memories).withColumn("live", F.col("archived_at").isNull()))
     ws, docs = _stats_from_tokenized(t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hybridctx import constants as K
@@ -12,6 +14,8 @@ from hybridctx.plans import fixtures as fx
 from hybridctx.plans.oracle_fixtures import with_fixtures
 from hybridctx.plans.registry import register
 from hybridctx.plans.sqlparts import FTS_ALL, ctes, dot, recency, split_tags as sql_split_tags
+from hybridctx.session import scratch_dir
+from hybridctx.streaming.streams import read_index, refresh_index_tables
 
 NOW = K.FIXTURE_NOW_MS
 FX = ("fx_memories", "fx_vectors", "fx_queries")
@@ -39,6 +43,19 @@ def _search_sql(body: str, upto: list[str], mem_where: str | None = None) -> str
     return with_fixtures(body, *FX, extra=extra)
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def _index(spark, sf_dir):
+    """The stored index of the fixture rows: written once per session and table folder, then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = scratch_dir(spark, f"text-index-{uuid.uuid4().hex[:12]}")
+        refresh_index_tables(spark, path, fx.fx_memories(spark, sf_dir))
+        _indexes[key] = path
+    return read_index(spark, _indexes[key])
+
+
 def _inputs(spark, sf_dir):
     return fx.fx_queries(spark, sf_dir), fx.fx_memories_with_vectors(spark, sf_dir)
 
@@ -111,7 +128,7 @@ def q_bm25_scores(spark, sf_dir):
     "SELECT qid, workspace_id, memory_id, fts_rank, round(score, 9) AS score FROM fts_top", FTS_ALL))
 def q_fts_topk(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
-    r = fts.fts_topk(q, m, 20)
+    r = fts.fts_topk(q, m, 20, *_index(spark, sf_dir))
     return r.select("qid", "workspace_id", "memory_id", F.col("fts_rank").cast("long").alias("fts_rank"),
                     F.round("score", 9).alias("score"))
 
@@ -159,7 +176,7 @@ RECALL_BODY = f"""SELECT qid, rank, memory_id, type, content, tags, created_at,
 @register("recall", _fusion_sql(RECALL_BODY, True))
 def q_recall(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
-    r = rc.recall(q, m, NOW)
+    r = rc.recall(q, m, NOW, *_index(spark, sf_dir))
     return r.select("qid", F.col("rank").cast("long").alias("rank"), "memory_id", "type", "content", "tags",
                     "created_at", F.round("score", 9).alias("score"))
 
@@ -172,7 +189,7 @@ FROM ({RECALL_BODY})""", True))
 def q_recall_to_json(spark, sf_dir):
     """The JSON arrays, parsed again: their order and every field must be those of the ranked rows."""
     q, m = _inputs(spark, sf_dir)
-    j = rc.recall_to_json(rc.recall(q, m, NOW))
+    j = rc.recall_to_json(rc.recall(q, m, NOW, *_index(spark, sf_dir)))
     items = j.select("qid", F.posexplode(F.from_json("json", JSON_ITEMS)).alias("pos", "r")).select("qid", "pos", "r.*")
     return items.withColumn("pos", F.col("pos").cast("long")).withColumn("score", F.round("score", 9))
 
@@ -239,7 +256,7 @@ def q_recall_eval(spark, sf_dir):
     labelled = live_memories(m).select("memory_id", "workspace_id").join(v.select("memory_id", "label"), "memory_id")
     rel = (q.select("qid", "workspace_id").join(qv, "qid").join(labelled, ["workspace_id", "label"])
            .select("qid", "memory_id"))
-    e = rc.recall_eval(rc.recall(q, m, NOW), rel)
+    e = rc.recall_eval(rc.recall(q, m, NOW, *_index(spark, sf_dir)), rel)
     return e.select("qid", F.col("n_results").cast("long").alias("n_results"),
                     F.col("n_relevant_found").cast("long").alias("n_relevant_found"),
                     F.col("hit").cast("int").alias("hit"), F.round("rr", 9).alias("rr"))

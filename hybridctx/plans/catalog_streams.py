@@ -64,7 +64,7 @@ def q_index_refresh_stream(spark, sf_dir):
     q = ss.index_refresh_stream(mem, f"{base}/postings", f"{base}/_checkpoint")
     q.awaitTermination()
     gone = fx.fx_memories(spark, sf_dir).where("memory_id % 11 = 3").select("workspace_id", "memory_id")
-    ss.refresh_postings(spark, f"{base}/postings", deleted=gone)
-    p = spark.read.parquet(f"{base}/postings")
+    ss.refresh_index_tables(spark, f"{base}/postings", deleted=gone)
+    p, _ = ss.read_index(spark, f"{base}/postings")
     return p.select("workspace_id", "memory_id", F.col("col").cast("int").alias("col"),
                     F.col("pos").cast("long").alias("pos"), "term")

@@ -15,36 +15,6 @@ MEMORY_SCHEMA = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType()), True),
 ])
 
-WORKSPACE_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("root_path", T.StringType(), False),
-    T.StructField("name", T.StringType(), False),
-    T.StructField("repo_url", T.StringType(), True),
-    T.StructField("created_at", T.LongType(), False),      # milliseconds
-])
-
-HYDRATION_LOG_SCHEMA = T.StructType([
-    T.StructField("workspace_id", T.StringType(), False),
-    T.StructField("session_id", T.StringType(), False),
-    T.StructField("hydrated_at", T.LongType(), False),     # seconds
-    T.StructField("context_hash", T.StringType(), False),
-])
-
-QUERY_SCHEMA = T.StructType([
-    T.StructField("qid", T.LongType(), False),
-    T.StructField("workspace_id", T.StringType(), False),
-    T.StructField("query_text", T.StringType(), True),
-    T.StructField("query_vec", T.ArrayType(T.FloatType()), True),
-    T.StructField("k", T.IntegerType(), False),
-    T.StructField("types", T.ArrayType(T.StringType()), True),
-])
-
-REPO_SCHEMA = T.StructType([
-    T.StructField("workspace_id", T.StringType(), False),
-    T.StructField("branch", T.StringType(), True),         # null = detached HEAD
-    T.StructField("uncommitted", T.IntegerType(), False),
-])
-
 COMMIT_SCHEMA = T.StructType([
     T.StructField("workspace_id", T.StringType(), False),
     T.StructField("sha", T.StringType(), False),
@@ -53,14 +23,6 @@ COMMIT_SCHEMA = T.StructType([
     T.StructField("committed_at", T.LongType(), False),    # seconds
 ])
 
-POSTINGS_SCHEMA = T.StructType([
-    T.StructField("workspace_id", T.StringType(), False),
-    T.StructField("memory_id", T.LongType(), False),
-    T.StructField("col", T.IntegerType(), False),
-    T.StructField("pos", T.IntegerType(), False),
-    T.StructField("term", T.StringType(), False),
-])
-
 
 def conform(df, schema: T.StructType):
     """Project and cast df to schema; columns missing from df become typed nulls."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridctx.operators.fts import build_postings
+from hybridctx.operators.fts import index_tables, stored_stats
 from hybridctx.operators.store import log_hydration
 from hybridctx.session import reliable_checkpoint
 from hybridctx.sources.io import remember_batch
@@ -83,46 +83,57 @@ def _slice():
     return F.pmod(F.xxhash64("memory_id"), F.lit(POSTING_SLICES)).cast("int")
 
 
-def refresh_postings(spark: SparkSession, target: str, changed: DataFrame | None = None,
-                     deleted: DataFrame | None = None) -> None:
-    """Replace the postings of the changed rows (insert or update) and drop those of deleted ones.
+def refresh_index_tables(spark: SparkSession, target: str, changed: DataFrame | None = None,
+                         deleted: DataFrame | None = None) -> None:
+    """Bring a stored text index (target/postings and target/docs) up to date: rows of `changed` (inserted or updated)
+    replace theirs, rows of `deleted` (workspace_id, memory_id) go.
 
-    deleted: (workspace_id, memory_id). Only the (workspace, slice) folders that hold such a row are rewritten; a
-    folder that loses its last posting goes."""
+    Only the (workspace, slice) folders that hold such a row are rewritten, a bounded share of the index."""
     parts = [x.select("workspace_id", "memory_id") for x in (changed, deleted) if x is not None]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = reliable_checkpoint(rows.distinct().withColumn("slice", _slice()))
-    new = None if changed is None else build_postings(changed).withColumn("slice", _slice())
-    if changed is not None and deleted is not None:
-        new = new.join(deleted.select("memory_id").distinct(), "memory_id", "left_anti")
-    if _exists(spark, target):
+    new = [None, None]
+    if changed is not None:
+        gone = deleted.select("memory_id").distinct() if deleted is not None else None
+        kept = changed if gone is None else changed.join(gone, "memory_id", "left_anti")
+        new = [t.withColumn("slice", _slice()) for t in index_tables(kept)]
+    for name, table in zip(("postings", "docs"), new):
+        _merge(spark, f"{target}/{name}", rows, table)
+
+
+def _merge(spark: SparkSession, path: str, rows: DataFrame, new: DataFrame | None) -> None:
+    """Rewrite the folders of path that hold one of rows (workspace_id, memory_id, slice): their other rows and new."""
+    if _exists(spark, path):
         touched = rows.select("workspace_id", "slice").distinct()
-        old = (spark.read.parquet(target).join(touched, ["workspace_id", "slice"], "left_semi")
+        old = (spark.read.parquet(path).join(touched, ["workspace_id", "slice"], "left_semi")
                .join(rows.select("memory_id"), "memory_id", "left_anti"))
         new = old if new is None else old.unionByName(new)
     if new is None:
         return
     new = reliable_checkpoint(new)
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("workspace_id", "slice").parquet(target))
-    _drop_emptied(spark, target, rows, new)
-
-
-def _drop_emptied(spark: SparkSession, target: str, rows: DataFrame, new: DataFrame) -> None:
-    """A dynamic overwrite leaves folders alone that get no row: delete the touched ones that became empty."""
+    # rebalance: one file per small folder, several for the folders of a huge workspace
+    (new.hint("rebalance", "workspace_id", "slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("workspace_id", "slice").parquet(path))
+    # a dynamic overwrite leaves folders alone that get no row: delete the touched ones that became empty
     empty = rows.select("workspace_id", "slice").distinct().join(
         new.select("workspace_id", "slice").distinct(), ["workspace_id", "slice"], "left_anti")
     jvm = spark.sparkContext._jvm
-    for r in empty.toLocalIterator():  # folders that one batch emptied
-        p = jvm.org.apache.hadoop.fs.Path(f"{target}/workspace_id={r.workspace_id}/slice={r.slice}")
+    for r in empty.toLocalIterator():  # folders that this one batch emptied
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/workspace_id={r.workspace_id}/slice={r.slice}")
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def read_index(spark: SparkSession, target: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """(postings, (workspace statistics, documents)) of a stored index, as fts_topk and recall take them."""
+    docs = spark.read.parquet(f"{target}/docs")
+    return spark.read.parquet(f"{target}/postings"), (stored_stats(docs), docs)
+
+
 def index_refresh_stream(source: DataFrame, target: str, checkpoint: str, available_now: bool = True):
-    """Keep a postings table (partitioned by workspace) in step with a stream of inserted/updated rows."""
+    """Keep a stored index (target/postings, target/docs) in step with a stream of inserted/updated rows."""
     def run(batch: DataFrame, epoch_id: int):
         batch.persist()
-        refresh_postings(batch.sparkSession, target, batch)
+        refresh_index_tables(batch.sparkSession, target, batch)
         batch.unpersist()
 
     w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
