@@ -141,89 +141,101 @@ def occurrences(source: DataFrame, segment_bits: int) -> DataFrame:
 PASS_SCHEMA = ("kind int, key long, th int, start long, stop long, head long, first boolean, d1 long, d2 long")
 
 
-def paths_of(at, h, n, flags):
-    """Compaction of one text's occurrences (sorted by start): (paths as (start, stop word, head, first), others as
-    (first window, windows))."""
+def compact(row, at, h, n, flags):
+    """Compaction of occurrences (sorted by text row and start): the paths as arrays (row, first word, stop word, head,
+    first), and the segments that are not pure as (row, first window, windows)."""
     start, more = at >> (TEXT_BITS + 4), (at >> TEXT_BITS) & 15
     pure = (flags & PURE) > 0
     linked = np.zeros(len(at), bool)
     linked[1:] = pure[1:] & pure[:-1] & ((flags[1:] & ONE_BEFORE) > 0) & (n[1:] == n[:-1]) \
-        & (start[1:] == start[:-1] + more[:-1] + 1)
-    paths = []
-    heads = np.flatnonzero(pure & ~linked)
+        & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + more[:-1] + 1)
     breaks = np.flatnonzero(~linked)
-    tails = np.append(breaks[1:], len(at))[np.searchsorted(breaks, heads)] - 1
-    for a, z in zip(heads.tolist(), tails.tolist()):
-        paths.append((int(start[a]), int(start[z] + more[z]) + WIDTH, int(h[a]), bool(flags[a] & FIRST)))
-    return paths, [(int(start[i]), int(more[i]) + 1) for i in np.flatnonzero(~pure).tolist()]
+    head = breaks[pure[breaks]]
+    tail = np.append(breaks[1:], len(at))[np.searchsorted(breaks, head)] - 1
+    rest = np.flatnonzero(~pure)
+    return ((row[head], start[head], start[tail] + more[tail] + WIDTH, h[head], (flags[head] & FIRST) > 0),
+            (row[rest], start[rest], more[rest] + 1))
 
 
-def _digest(words: list[bytes]) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(b" ".join(words))
+_SPACES = bytes(0x20 if b in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D) else b for b in range(256))
+
+
+def _digest(region: bytes, size: int) -> tuple[int, int]:
+    """128-bit digest of the words of a region of `size` bytes when they are joined by one space each."""
+    text = region.translate(_SPACES) if len(region) == size else b" ".join(region.split())
+    d = xxhash.xxh3_128_intdigest(text)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     return signed(d >> 64), signed(d & 0xFFFFFFFFFFFFFFFF)
 
 
-def _window_columns(key, th, h, at, count):
-    """Rows of the windows at .. at + count - 1 of a text with word hashes h."""
-    part = h[at:at + count + WIDTH - 1]
-    w1, w2 = W.windows(part, WIDTH).view(np.int64), W.windows(part[::-1], WIDTH, seed=1)[::-1].view(np.int64)
-    return np.arange(at, at + count), w1, w2
+def _path_batch(paths, keys, th, data, starts, ends, first, a) -> pa.RecordBatch:
+    """Path occurrences of the rows from a on, with the digest of their words in the source text."""
+    row, s, e, head, is_first = paths
+    raw = data.tobytes()
+    lens = np.concatenate([[0], np.cumsum(ends - starts)])
+    w0, w1 = first[row - a] + s, first[row - a] + e
+    sizes = lens[w1] - lens[w0] + (e - s) - 1
+    digests = [_digest(raw[x:y], n) for x, y, n in zip(starts[w0].tolist(), ends[w1 - 1].tolist(), sizes.tolist())]
+    n = len(row)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(n, np.int32)), pa.array(keys[row]), pa.array(th[row]), pa.array(s), pa.array(e),
+         pa.array(head), pa.array(is_first), *(pa.array(c, pa.int64()) for c in zip(*digests))], names=_PASS_NAMES)
+
+
+def _window_batch(row, start, count, keys, th, hashes, first, a) -> pa.RecordBatch:
+    """All windows of the given runs (row, first window, windows) with their 96-bit hashes."""
+    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    row = np.repeat(row, count)
+    pos = first[row - a] + at
+    w1 = W.windows(hashes, WIDTH).view(np.int64)[pos]
+    w2 = (W.windows(hashes, WIDTH, seed=1) >> np.uint64(32)).astype(np.int64)[pos]
+    n = len(row)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.ones(n, np.int32)), pa.array(keys[row]), pa.array(th[row]), pa.array(at), pa.nulls(n, pa.int64()),
+         pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(w1), pa.array(w2)], names=_PASS_NAMES)
+
+
+_PASS_NAMES = ["kind", "key", "th", "start", "stop", "head", "first", "d1", "d2"]
+
+
+def _flat(lists: pa.ListArray, *names: str):
+    """(row of every entry, the named fields) of a list<struct> column."""
+    lens = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten()
+    return np.repeat(np.arange(len(lens)), lens), *(flat.field(f).to_numpy() for f in names)
+
+
+def _slice_rows(sorted_rows: np.ndarray, a: int, b: int) -> slice:
+    return slice(*np.searchsorted(sorted_rows, (a, b)).tolist())
 
 
 def source_pass(source: DataFrame, per_doc: DataFrame) -> DataFrame:
-    """Reads the texts that per_doc (key, occ) names; rows of PASS_SCHEMA: kind 0 a path occurrence with the digest
-    of its words, kind 1 a window (start; d1, d2 its hash)."""
+    """Reads the texts that per_doc (o_key, occ) names; rows of PASS_SCHEMA: kind 0 a path occurrence with the
+    digest of its words, kind 1 a window (start; d1, d2 its hash)."""
     def run(batches):
         for batch in batches:
-            keys, th, occ = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            keys, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            row, at, h, n, flags = _flat(batch.column(3), "at", "h", "n", "flags")
+            mine = np.flatnonzero((at & ((1 << TEXT_BITS) - 1)) == th[row])
+            mine = mine[np.lexsort((at[mine], row[mine]))]
+            keep = np.ones(len(mine), bool)  # a repeated row brings every occurrence once more
+            keep[1:] = (at[mine][1:] != at[mine][:-1]) | (row[mine][1:] != row[mine][:-1])
+            mine = mine[keep]
+            paths, rest = compact(row[mine], at[mine], h[mine], n[mine], flags[mine])
             for a, b, data, offs in W.slices(batch.column(2)):
-                _, _, first, hashes = W.words(data, offs)
-                raw = data.tobytes()
-                path_rows, cols = [], [[], [], [], [], []]
-                for i in range(a, b):
-                    o = occ[i].values
-                    at = o.field("at").to_numpy()
-                    mine = np.flatnonzero((at & ((1 << TEXT_BITS) - 1)) == th[i])
-                    mine = mine[np.argsort(at[mine], kind="stable")]
-                    pick = lambda f: o.field(f).to_numpy()[mine]
-                    at = at[mine]
-                    # a repeated row brings every occurrence once more
-                    keep = np.ones(len(at), bool)
-                    keep[1:] = at[1:] != at[:-1]
-                    paths, others = paths_of(at[keep], pick("h")[keep], pick("n")[keep], pick("flags")[keep])
-                    if paths:
-                        w = raw[offs[i - a]:offs[i - a + 1]].split()
-                        for s, e, head, is_first in paths:
-                            path_rows.append((0, int(keys[i]), int(th[i]), s, e, head, is_first, *_digest(w[s:e])))
-                    h = hashes[first[i - a]:first[i - a + 1]]
-                    for s, count in others:
-                        p, w1, w2 = _window_columns(keys[i], th[i], h, s, count)
-                        for c, v in zip(cols, (np.full(count, keys[i]), np.full(count, th[i], np.int32), p, w1, w2)):
-                            c.append(v)
-                if path_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*path_rows), _PASS_TYPES)],
-                                                     names=_PASS_NAMES)
-                if cols[0]:
-                    yield _window_batch([np.concatenate(c) for c in cols])
+                starts, ends, first, hashes = W.words(data, offs)
+                here = _slice_rows(paths[0], a, b)
+                if here.start < here.stop:
+                    yield _path_batch([c[here] for c in paths], keys, th, data, starts, ends, first, a)
+                here = _slice_rows(rest[0], a, b)
+                if here.start < here.stop:
+                    yield _window_batch(*(c[here] for c in rest), keys, th, hashes, first, a)
 
     maybe, _ = split_by_ids(source.select("key", "th", "text"), "key", per_doc, "o_key")
     rows = maybe.join(per_doc, F.col("key") == F.col("o_key")).select("key", "th", "text", "occ")
     return stored(rows.mapInArrow(run, PASS_SCHEMA), "source-pass")
 
 
-_PASS_NAMES = ["kind", "key", "th", "start", "stop", "head", "first", "d1", "d2"]
-_PASS_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-
-
-def _window_batch(cols) -> pa.RecordBatch:
-    key, th, p, w1, w2 = cols
-    n = len(key)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(n, np.int32)), pa.array(key), pa.array(th), pa.array(p), pa.array(p + WIDTH),
-         pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(w1), pa.array(w2)], names=_PASS_NAMES)
-
-
 def _windows_again(source: DataFrame, failed: DataFrame) -> DataFrame:
     """Windows (rows of PASS_SCHEMA) of path occurrences (key, th, start, stop) that failed their verification."""
     spans = failed.groupBy(F.col("key").alias("o_key"), F.col("th").alias("o_th")) \
@@ -231,15 +243,13 @@ def _windows_again(source: DataFrame, failed: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys, th, occ = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            keys, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            row, start, stop = _flat(batch.column(3), "start", "stop")
             for a, b, data, offs in W.slices(batch.column(2)):
                 _, _, first, hashes = W.words(data, offs)
-                for i in range(a, b):
-                    h = hashes[first[i - a]:first[i - a + 1]]
-                    for o in occ[i].as_py():
-                        count = o["stop"] - WIDTH - o["start"] + 1
-                        p, w1, w2 = _window_columns(keys[i], th[i], h, o["start"], count)
-                        yield _window_batch([np.full(count, keys[i]), np.full(count, th[i], np.int32), p, w1, w2])
+                here = _slice_rows(row, a, b)
+                if here.start < here.stop:
+                    yield _window_batch(row[here], start[here], (stop - start)[here] - WIDTH + 1, keys, th, hashes, first, a)
 
     rows = source.select("key", "th", "text").join(
         spans, (F.col("key") == F.col("o_key")) & (F.col("th") == F.col("o_th"))).select("key", "th", "text", "occ")
@@ -273,30 +283,44 @@ def repeated_spans(source: DataFrame, segment_bits: int = 32) -> DataFrame:
                        .where("n > 1").select(F.col("d1").alias("t1"), F.col("d2").alias("t2"), "top"), "window-firsts")
     later = windows.join(firsts_of, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2"))) \
         .where((F.col("key") != F.col("top.key")) | (F.col("start") != F.col("top.start")))
+    later = later.withColumn("stop", F.col("start") + WIDTH)
     cols = ["key", "th", "start", "stop"]
     return good.select(cols).unionByName(later.select(cols))
 
 
 def _kept(batches, with_spans: bool):
+    """(id, n_words, n_removed, kept_text) of (id, text[, spans])."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        spans = batch.column(2) if with_spans else None
-        total, removed, out = [], [], []
-        for i in range(batch.num_rows):
-            w = (texts[i].as_py() or "").encode("utf-8", "surrogatepass").split()
-            n = len(w)
-            if with_spans and spans[i].is_valid:
-                keep = np.ones(n + 1, bool)
-                o = spans[i].values
-                for s, e in zip(o.field("start").to_pylist(), o.field("stop").to_pylist()):
-                    keep[s:e] = False
-                w = [x for x, stays in zip(w, keep.tolist()) if stays]
-            total.append(n)
-            removed.append(n - len(w))
-            out.append(b" ".join(w))
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-             pa.array(out, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
+        if with_spans:
+            spans = batch.column(2)
+            span_row, s, e = _flat(spans.fill_null([]) if spans.null_count else spans, "start", "stop")
+        for a, b, data, offs in W.slices(batch.column(1)):
+            starts, ends, first, _ = W.words(data, offs, hashes=False)
+            keep = np.ones(len(starts), bool)
+            if with_spans:
+                here = _slice_rows(span_row, a, b)
+                base = first[span_row[here] - a]
+                depth = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(depth, base + s[here], 1)
+                np.add.at(depth, base + e[here], -1)
+                keep = np.cumsum(depth)[:-1] == 0
+            total = np.diff(first)
+            kept_before = np.concatenate([[0], np.cumsum(keep)])
+            kept_rows = kept_before[first]
+            # every kept word and the byte after it, which becomes the space; the last word of a row without it
+            size = (ends - starts)[keep] + 1
+            last = kept_rows[1:][np.diff(kept_rows) > 0] - 1
+            size[last] -= 1
+            begin = np.cumsum(size) - size
+            out = data[np.repeat(starts[keep] - begin, size) + np.arange(int(size.sum()))]
+            gaps = np.ones(len(size), bool)
+            gaps[last] = False
+            out[(begin + size - 1)[gaps]] = 0x20
+            ends_of = np.concatenate([[0], np.cumsum(size)])[kept_rows].astype(np.int32)
+            texts = pa.StringArray.from_buffers(b - a, pa.py_buffer(ends_of.tobytes()), pa.py_buffer(out.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), pa.array(total), pa.array(total - np.diff(kept_rows)), texts],
+                names=["id", "n_words", "n_removed", "kept_text"])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -315,3 +339,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("id", "text", "spans").mapInArrow(lambda it: _kept(it, True), schema)
     whole = clean.select("id", "text").mapInArrow(lambda it: _kept(it, False), schema)
     return cut.unionByName(whole).withColumnRenamed("id", id_col)
+
+
+#: The query's columns in DuckDB: every window under its own hash.
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+later AS (SELECT doc_id, i FROM (
+  SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM win) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+k AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+r AS (SELECT k.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY k.p) FILTER (g.p IS NULL) AS kept
+      FROM k LEFT JOIN gone g ON g.doc_id = k.doc_id AND g.p = k.p GROUP BY k.doc_id)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""

@@ -40,7 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def slices(texts: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string array: (first row, end row, bytes, byte offset of each row and the end). Null counts as
     empty. A slice holds at most max_bytes unless one row alone is longer."""
     texts = texts.cast(pa.large_utf8()) if not pa.types.is_large_string(texts.type) else texts
@@ -92,12 +92,12 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         return mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
-    """(starts, ends, first word of each row and the end, hashes) of the words of a slice."""
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, hashes: bool = True):
+    """(starts, ends, first word of each row and the end, hashes or None) of the words of a slice."""
     if lower:
         data = _LOWER[data]
     starts, ends, rows = runs(~_SPACE[data], offs)
-    return starts, ends, rows, hash_runs(data, starts, ends)
+    return starts, ends, rows, hash_runs(data, starts, ends) if hashes else None
 
 
 def windows(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
