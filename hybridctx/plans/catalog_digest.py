@@ -10,6 +10,7 @@ from hybridctx.operators import digest as dg
 from hybridctx.plans import fixtures as fx
 from hybridctx.plans.oracle_fixtures import with_fixtures
 from hybridctx.plans.registry import register
+from hybridctx.session import reliable_checkpoint
 from hybridctx.plans.sqlparts import age, has_active, recency
 
 NOW = K.FIXTURE_NOW_MS
@@ -236,7 +237,7 @@ FROM (SELECT *, cum - 7 * ne AS size, max(cum - 7 * ne) OVER (PARTITION BY works
   (SELECT unnest({list(PACK_BUDGETS)})::BIGINT AS max_bytes)
 WHERE total <= max_bytes OR size + {dg.NOTE_BYTES} <= max_bytes""", ALL_DIGESTS))
 def q_pack_byte_budget(spark, sf_dir):
-    lines = dg.format_lines(_digest_inputs(spark, sf_dir)[0], "current", NOW)
+    lines = reliable_checkpoint(dg.format_lines(_digest_inputs(spark, sf_dir)[0], "current", NOW))
     out = None
     for b in PACK_BUDGETS:
         x = dg.pack_byte_budget(lines, b).select("workspace_id", F.lit(b).cast("long").alias("max_bytes"), "section",
@@ -250,9 +251,10 @@ def q_pack_byte_budget(spark, sf_dir):
     f"FROM digest_{s}_{b}" for s, b in DIGESTS), ALL_DIGESTS))
 def q_context_digest(spark, sf_dir):
     m, ws, repos, commits = _digest_inputs(spark, sf_dir)
+    pool, m = dg.prepare_digests(m, NOW)
     out = None
     for s, b in DIGESTS:
-        d = dg.context_digest(m, ws, repos, commits, s, NOW, b)
+        d = dg.context_digest(m, ws, repos, commits, s, NOW, b, pool=pool)
         x = d.select("workspace_id", F.lit(s).alias("scope"), F.lit(b).cast("long").alias("max_bytes"), "digest",
                      F.octet_length("digest").cast("long").alias("bytes"), "n_lines", "truncated")
         out = x if out is None else out.unionByName(x)
