@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,14 +42,24 @@ def release() -> None:
 atexit.register(release)
 
 
+_collected = 0.0
+
+
+def _collect(spark: SparkSession) -> None:
+    """The shuffle files behind finished steps go when the driver collects its references; left alone that is after
+    half an hour, and the steps of a long run would pile up on the executors' disks. At most every few seconds."""
+    global _collected
+    if time.monotonic() - _collected > 3:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors,
     and later reads prune columns. Used where a result holds texts or is read several times."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    # the shuffle files behind a finished step go when the driver collects its references; left alone that is
-    # after half an hour, and the steps of a long run would pile up on the executors' disks
-    df.sparkSession.sparkContext._jvm.System.gc()
+    _collect(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

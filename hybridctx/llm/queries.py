@@ -83,8 +83,8 @@ FROM t JOIN g ON t.x = g.x
 """
 
 ENTRIES = {
-    "op10_de_bruijn_dedup": (op10_de_bruijn_dedup, None),
-    "op5_bottom_k_near_dup": (op5_bottom_k_near_dup, None),
+    "op10_de_bruijn_dedup": (op10_de_bruijn_dedup, substring_dedup.SUBSTRING_SQL),
+    "op5_bottom_k_near_dup": (op5_bottom_k_near_dup, near_dup.NEAR_SQL),
     "op4_pairwise_quality": (op4_pairwise_quality, None),
     "op7_pivot_topk": (op7_pivot_topk, TOPK_SQL),
     "op9_line_dedup": (op9_line_dedup, line_dedup.LINES_SQL),
