@@ -8,8 +8,12 @@ Sampling: with rate r = target / source size, every document gets floor(r) certa
 the target is filled by order sampling with the fractional inclusion probability p = r - floor(r): documents are
 ranked by Pareto's ratio of random odds to inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken from the
 smallest while the words fit; `importance` multiplies the inclusion odds of a document (unequal probabilities).
-One closing document per source, the one whose size is nearest to the words still missing, ends within its
-distance of the target. u comes from md5 of the id, so reruns agree.
+With `refill`, documents larger than the words still missing are then set aside and the others ranked on, until no
+document is left that fits. One closing document per source, the one whose size is nearest to the words still
+missing, ends within its distance of the target. u comes from md5 of the id, so reruns agree.
+
+MIX_SQL states the rule without `refill`, so the registered query names refill=False; a source in which a long document
+ranks early can end far from its target there.
 
 Scale: no ranking gathers a source. Ranks are found by two levels: words are summed per (source, bucket of
 the rank), with sqrt(rows) buckets, running sums go over the bucket table, and single documents are ordered only
@@ -23,7 +27,7 @@ table gives an empty result; repeated ids draw the same u and are ordered by siz
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridctx.llm.common import WORD_PATTERN, row_key, stored, unit_draw, unit_draw_sql, word_count
@@ -53,9 +57,9 @@ def source_targets(sources: DataFrame, cap: float = 3.0, weights: tuple[int, ...
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 importance: str | None = None, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3),
-                carry: str | None = None) -> DataFrame:
+                carry: str | None = None, refill: bool = True) -> DataFrame:
     """One row per input row: id_col, source, size, source_size, target, copies, taken (= size x copies), and the
-    column `carry` if one is named."""
+    column `carry` if one is named. refill goes on past a document that does not fit."""
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                        word_count(F.col(text_col)).alias("size"),
                        unit_draw(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), SALT).alias("u"),
@@ -63,7 +67,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        *([F.col(carry).alias("carried")] if carry else []))
     base = stored(base.withColumn("rid", F.monotonically_increasing_id()), "mix-base")
     t = _source_plan(base, cap, weights)
-    return _sample(base, t, importance is not None).select(
+    return _sample(base, t, importance is not None, refill).select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies",
         (F.col("size") * F.col("copies")).alias("taken"), *([F.col("carried").alias(carry)] if carry else []))
 
@@ -81,38 +85,68 @@ def _source_plan(base: DataFrame, cap: float, weights: tuple[int, ...]) -> DataF
                                .otherwise(F.lit(0.0))), "mix-plan")
 
 
-def _sample(base: DataFrame, t: DataFrame, weighted: bool) -> DataFrame:
-    of_source = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    # Pareto's ranking is odds(u) / odds(inclusion); within a source odds(p) is one constant, so the order is that
-    # of x = odds(u) / importance. Buckets are cut on x / (1 + x), which is u itself for equal odds.
-    x = F.col("u") / (F.lit(1.0) - F.col("u")) / F.col("imp") if weighted else None
-    v = F.when(F.col("imp") > 0, x / (F.lit(1.0) + x)).otherwise(F.lit(1.0)) if weighted else F.col("u")
-    d = base.withColumn("v", v).join(t, of_source("source", "t_source")).drop("t_source")
-    d = d.withColumn("bucket", F.least(F.floor(F.col("v") * F.col("buckets")), F.col("buckets") - 1))
+def _of_source(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _cut(d: DataFrame) -> DataFrame:
+    """d (source, bucket, v, size, id, rid, rest, ...) with `chosen`: the first of a source while their words fit rest."""
     # level 1: the bucket in which the words left to sample end
     b = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     run = Window.partitionBy("source").orderBy("bucket")
     b = b.withColumn("after", F.sum("words").over(run)).where(F.col("after") > F.col("rest"))
     edge = stored(b.groupBy(F.col("source").alias("e_source")).agg(
         F.min(F.struct("bucket", (F.col("after") - F.col("words")).alias("before"))).alias("edge")), "mix-edge")
-    d = d.join(edge, of_source("source", "e_source"), "left").drop("e_source")
+    d = d.join(edge, _of_source("source", "e_source"), "left").drop("e_source")
     below = F.col("edge").isNull() | (F.col("bucket") < F.col("edge.bucket"))
     # level 2: single documents are ordered inside that bucket only
     inside = Window.partitionBy("source").orderBy("v", "size", "id", "rid")
     ordered = d.where(F.col("bucket") == F.col("edge.bucket")) \
         .withColumn("chosen", F.col("edge.before") + F.sum("size").over(inside) <= F.col("rest"))
     rest = d.where(F.coalesce(F.col("bucket") != F.col("edge.bucket"), F.lit(True))).withColumn("chosen", below)
-    d = stored(ordered.unionByName(rest).withColumn("chosen", F.col("chosen") & (F.col("p") > 0)), "mix-chosen")
-    # the closing document: nearest in size to the words still missing
+    return ordered.unionByName(rest).drop("edge")
+
+
+def _refill(d: DataFrame, got: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(rid of further documents, words missing after them): what is larger than the words missing is set aside and the
+    cut repeated on the rest, until nothing fits. The first of the rest always fits, so every round takes some."""
+    left, more = d.where(~F.col("chosen") & (F.col("p") > 0) & (F.col("size") > 0)), None
+    while True:
+        pool = stored(left.join(got, _of_source("source", "g_source")).where(F.col("size") <= F.col("gap"))
+                      .select("source", "bucket", "v", "size", "id", "rid", F.col("gap").alias("rest")), "mix-pool")
+        if pool.isEmpty():
+            return more, got
+        pool = stored(_cut(pool), "mix-fit")
+        picked, left = pool.where("chosen"), pool.where("not chosen")
+        more = picked.select("rid") if more is None else more.unionByName(picked.select("rid"))
+        words = picked.groupBy(F.col("source").alias("w_source")).agg(F.sum("size").alias("words"))
+        got = stored(got.join(words, _of_source("g_source", "w_source"), "left").select(
+            "g_source", (F.col("gap") - F.coalesce(F.col("words"), F.lit(0))).alias("gap")), "mix-gap")
+
+
+def _sample(base: DataFrame, t: DataFrame, weighted: bool, refill: bool) -> DataFrame:
+    # Pareto's ranking is odds(u) / odds(inclusion); within a source odds(p) is one constant, so the order is that
+    # of x = odds(u) / importance. Buckets are cut on x / (1 + x), which is u itself for equal odds.
+    x = F.col("u") / (F.lit(1.0) - F.col("u")) / F.col("imp") if weighted else None
+    v = F.when(F.col("imp") > 0, x / (F.lit(1.0) + x)).otherwise(F.lit(1.0)) if weighted else F.col("u")
+    d = base.withColumn("v", v).join(t, _of_source("source", "t_source")).drop("t_source")
+    d = d.withColumn("bucket", F.least(F.floor(F.col("v") * F.col("buckets")), F.col("buckets") - 1))
+    d = stored(_cut(d).withColumn("chosen", F.col("chosen") & (F.col("p") > 0)), "mix-chosen")
     got = stored(d.groupBy(F.col("source").alias("g_source")).agg(
         (F.first("rest") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(F.lit(0)))).alias("gap")), "mix-gap")
+    if refill:
+        more, got = _refill(d, got)
+        if more is not None:
+            d = d.join(more.select(F.col("rid").alias("m_rid")), F.col("rid") == F.col("m_rid"), "left") \
+                .withColumn("chosen", F.col("chosen") | F.col("m_rid").isNotNull()).drop("m_rid")
+    # the closing document: nearest in size to the words still missing
     away = F.abs(F.col("size") - F.col("gap"))
     close = d.where(~F.col("chosen") & (F.col("p") > 0) & (F.col("size") > 0)) \
-        .join(got, of_source("source", "g_source")).where(away < F.col("gap")) \
+        .join(got, _of_source("source", "g_source")).where(away < F.col("gap")) \
         .groupBy(F.col("source").alias("c_source")) \
         .agg(F.min(F.struct(away.alias("away"), "v", "id", "rid")).alias("c"))
     close = stored(close.select("c_source", F.col("c.rid").alias("c_rid")), "mix-close")
-    d = d.join(close, of_source("source", "c_source") & (F.col("rid") == F.col("c_rid")), "left")
+    d = d.join(close, _of_source("source", "c_source") & (F.col("rid") == F.col("c_rid")), "left")
     return d.withColumn("copies", F.col("whole") + (F.col("chosen") | F.col("c_rid").isNotNull()).cast("long"))
 
 

@@ -80,6 +80,22 @@ def test_mix_targets_and_nearness(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_one_long_document_leaves_its_source_near_the_target(spark):
+    def draw(i):
+        return int(hashlib.md5(f"{mixing.SALT}{i}".encode()).hexdigest()[:13], 16) / 16 ** 13
+
+    early = min(range(5000, 7000), key=draw)  # the long document ranks first
+    rows = [(early, prose(0, 22_000), "a")] + [(i, prose(i, 5 + i % 90), "a") for i in range(400)] \
+        + [(1000 + i, prose(i, 100), "b" if i % 2 else "c") for i in range(400)]
+    taken, target, whole = defaultdict(int), {}, {}
+    for r in mixing.mix_sources(documents(spark, rows)).withColumnRenamed("source", "src").collect():
+        taken[r.src] += r.taken
+        target[r.src], whole[r.src] = r.target, r.target / r.source_size
+    assert whole["a"] < 1 and 22_000 > target["a"]  # it is larger than all that is sampled
+    assert abs(taken["a"] - target["a"]) <= 5  # the smallest document has 5 words
+    assert abs(taken["b"] - target["b"]) <= 100 and abs(taken["c"] - target["c"]) <= 100
+
+
 def test_importance_raises_inclusion(spark):
     rows = [(i, prose(i, 10), "a" if i % 2 else "b") for i in range(2000)]
     docs = documents(spark, rows).withColumn("imp", F.when(F.col("doc_id") % 4 < 2, 5.0).otherwise(1.0))
