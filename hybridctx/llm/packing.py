@@ -9,7 +9,8 @@ the largest product is cut: its head fills the sequence up to max_tokens or the
 Cutting: an example longer than max_tokens first gives whole sequences of its own. What is left open at the end of a
 task's rows is laid out in sequences whose lengths are falling powers of two, which need no padding either.
 
-Scale: each task tokenises and packs the rows of its own partition, with a window of `pool` waiting examples; there is no
+Scale: each task tokenises and packs the rows of its own partition, with a window of `pool` waiting examples, or as many
+more as it takes to hold max_tokens or max_segments, so short examples are not padded for want of others; there is no
 shuffle, no global order and no sequence that spans tasks. Sequence ids are (partition, number), so a retried task
 gives the same ids.
 
@@ -46,7 +47,7 @@ class Packer:
         self.next_id, self.emit, self.pool = first_id, emit, pool
         self.limits = np.array([max_tokens, max_segments, max_loss], np.float64)
         # waiting examples in NumPy columns: demand vectors beside the objects they belong to
-        self.demand = np.zeros((pool + 1, 3), np.float64)
+        self.demand = np.zeros((max(pool, max_segments) + 1, 3), np.float64)
         self.items: list = []
 
     def add(self, key, ids: np.ndarray, loss: np.ndarray | None):
@@ -57,9 +58,14 @@ class Packer:
             self.next_id, at = self.next_id + 1, at + size
         if at < n:
             self._push(key, ids, loss, at)
-        while len(self.items) >= self.pool:
+        while len(self.items) >= self.pool and self._enough():
             self._fill()
 
+    def _enough(self) -> bool:
+        """Whether the waiting examples reach the limit of tokens or of segments."""
+        n = len(self.items)
+        return n >= self.limits[1] or self.demand[:n, 0].sum() >= self.limits[0]
+
     def _push(self, key, ids, loss, at):
         self.demand[len(self.items)] = (len(ids) - at, 1, self._loss(ids, loss, at, len(ids)))
         self.items.append((key, ids, loss, at))

@@ -104,6 +104,21 @@ def test_all_three_limits_hold(seed):
         assert sorted(x[6] for x in pieces)[0] == 0
 
 
+@pytest.mark.parametrize("long_share", [0.0, 0.05, 0.2])
+def test_very_short_documents_fill_their_sequences(spark, long_share):
+    r = random.Random(int(100 * long_share))
+    rows = [(i, prose(i, 300 if r.random() < long_share else 1 + i % 4)) for i in range(6000)]
+    got = packing.pack(documents(spark, rows).coalesce(1), packing.document_ids(WORDS, 2)).collect()
+    assert {x.doc_id for x in got} == set(range(6000))
+    tokens, segments = defaultdict(int), defaultdict(int)
+    for x in got:
+        tokens[x.sequence_id] += x.length
+        segments[x.sequence_id] += 1
+    assert max(segments.values()) <= 512
+    # all but the falling powers of two of the last rows (at most 12) are full in tokens or in segments
+    assert sum(tokens[s] < 4096 and segments[s] < 512 for s in tokens) <= 12
+
+
 def test_largest_dot_product_goes_first():
     out = []
     p = packing.Packer(0, lambda *x: out.append(x), max_tokens=10, max_segments=10, max_loss=10, pool=3)
