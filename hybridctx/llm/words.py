@@ -1,7 +1,7 @@
 """Vectorised word access for Arrow text columns: no Python object per word, memory bounded by a slice of bytes.
 
-Words are maximal runs of bytes other than ASCII white space. A word's hash is a 64-bit polynomial over a random
-byte table, mixed at the end; equal words have equal hashes in every task and run.
+Words are maximal runs of bytes other than ASCII white space. A word's hash is a sum of 64-bit values, one for each
+eight bytes, every value mixed with its place in the word; equal words have equal hashes in every task and run.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2 ** 63, 256, dtype=np.uint64) | _U(1)
+#: Keeps the first k bytes of a little-endian 64-bit number.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Eight-byte pieces hashed at a time.
+_BLOCK = 1 << 17
 _BASE = _U(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
 
@@ -35,9 +38,24 @@ def powers(n: int) -> np.ndarray:
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit; a bijection of 64-bit numbers."""
     with np.errstate(over="ignore"):
-        h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
+        h = h ^ (h >> _U(30))
+        h *= _U(0xBF58476D1CE4E5B9)
+        h ^= h >> _U(27)
+        h *= _U(0x94D049BB133111EB)
+        h ^= h >> _U(31)
+    return h
+
+
+_place_tables: dict[int, np.ndarray] = {}
+
+
+def _places(n: int, seed: int) -> np.ndarray:
+    """One fixed random number for each of the first n places, by seed."""
+    if len(_place_tables.get(seed, ())) < n:
+        k = np.arange(1, max(2 * n, 1 << 10) + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            _place_tables[seed] = mix(mix(k * _BASE) + _U(seed) * _U(0xC2B2AE3D27D4EB4F))
+    return _place_tables[seed][:n]
 
 
 def slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -79,17 +97,36 @@ def runs(is_word: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every run of bytes."""
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of every run of bytes. Each eight bytes are mixed with their place before they are summed, so no
+    pattern of the bytes cancels out; another seed gives an independent hash."""
     lens = ends - starts
     if not len(lens):
         return np.zeros(0, np.uint64)
-    total = int(lens.sum())
-    first = np.cumsum(lens) - lens
-    pos = np.arange(total) - np.repeat(first, lens)
+    n = (lens + 7) >> 3
+    first = np.cumsum(n) - n
+    places = _places(int(n.max()), seed)
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[:len(data)], padded[len(data):] = data, 0
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out = np.empty(len(lens), np.uint64)
+    # whole runs in blocks, so that the working arrays stay small
+    cuts = np.searchsorted(first + n, np.arange(_BLOCK, int(n.sum()) + _BLOCK, _BLOCK), "left") + 1
+    a = 0
+    for b in np.minimum(cuts, len(lens)).tolist():
+        if b <= a:
+            continue
+        k, begin = n[a:b], first[a:b] - first[a]
+        j = np.arange(int(k.sum())) - np.repeat(begin, k)
+        left = np.minimum(np.repeat(lens[a:b], k) - 8 * j, 8)
+        value = eights[np.repeat(starts[a:b], k) + 8 * j]
+        value &= _MASKS[left]
+        value ^= places[j]
+        with np.errstate(over="ignore"):
+            out[a:b] = np.add.reduceat(mix(value), begin)
+        a = b
     with np.errstate(over="ignore"):
-        value = _BYTES[data[pos + np.repeat(starts, lens)]] * powers(int(lens.max()))[pos]
-        return mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        return mix(out + lens.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, hashes: bool = True):
