@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from hybridctx.llm import exact_dedup as exact
-from hybridctx.llm import line_dedup, mixing, near_dup, packing, quality, substring_dedup, token_counts, vector_search, warc
+from hybridctx.llm import (language_id, lexical_search, line_dedup, merkle, mixing, near_dup, packing, quality,
+                           substring_dedup, token_counts, vector_search, warc)
 from hybridctx.llm.common import table
 
 #: Ids that end a document in a packed sequence.
@@ -58,6 +59,18 @@ def op10_de_bruijn_dedup(spark, sf_dir):
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_bayes_language(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
@@ -94,4 +107,7 @@ ENTRIES = {
     "op3_pareto_mix": (op3_pareto_mix, mixing.MIX_SQL),
     "op6_exact_dedup": (op6_exact_dedup, EXACT_SQL),
     "op8_pack_sequences": (op8_pack_sequences, None),
+    "op11_bayes_language": (op11_bayes_language, None),
+    "op12_merkle_manifest": (op12_merkle_manifest, merkle.MANIFEST_SQL),
+    "op13_lexical_search": (op13_lexical_search, lexical_search.SEARCH_SQL),
 }
