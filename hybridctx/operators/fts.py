@@ -9,12 +9,17 @@ columns (content, tags) with weight 1 each:
 * per phrase: n = rows with the phrase, idf = ln((N - n + 0.5) / (n + 0.5)), floored to 1e-6 when <= 0,
   score += idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), k1 = 1.2, b = 0.75.
 
-No step explodes the corpus per query: query terms are broadcast and joined to the postings by
-(workspace, term); phrase adjacency is a group-by on (query, phrase, row, column, pos - offset).
+No step explodes the corpus per query. The index holds one position list per (workspace, term, row); query terms are
+broadcast and joined to the lists by (workspace, term), so a joined row stands for a row of the corpus, whatever the
+number of occurrences. A phrase of one term needs its list's length alone; longer ones intersect the lists shifted
+by the term's offset, the shortest first.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,29 +65,66 @@ def corpus_stats(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _stats_from_tokenized(tokenized_memories(memories))
 
 
-def index_tables(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a stored index holds: (postings with dl and live, documents: workspace_id, memory_id, dl, live)."""
-    t = tokenized_memories(memories).withColumn("live", F.col("archived_at").isNull())
-    return _explode_postings(t, ["dl", "live"]), t.select(WS, KEY, "dl", "live")
+@dataclass
+class TextIndex:
+    """What a search reads: position lists (see position_lists), workspace statistics (workspace_id, n_docs, total_tokens,
+    avgdl) and, for a stored index, the versions of rows that ended since (memory_id, epoch)."""
 
+    lists: DataFrame
+    stats: DataFrame
+    ended: DataFrame | None = None
 
-def stored_stats(docs: DataFrame) -> DataFrame:
-    """Workspace statistics (workspace_id, n_docs, total_tokens, avgdl) of a stored index's documents table."""
-    return (docs.groupBy(WS).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_tokens"))
-            .withColumn("avgdl", F.col("total_tokens").cast("double") / F.col("n_docs")))
 
+def position_lists(t: DataFrame) -> DataFrame:
+    """Of tokenised rows (tokenized_memories): one row per (workspace, term, row): h (hash of workspace and term, which stored
+    lists are sorted by), the ascending positions in content and in tags, the row's length dl and whether it is live."""
+    p = _explode_postings(t.withColumn("live", F.col("archived_at").isNull()), ["dl", "live"])
 
-def build_index(memories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tokenise the corpus once and return (postings with dl and live, workspace stats, doc stats).
+    def at(c):
+        return F.sort_array(F.collect_list(F.when(F.col("col") == c, F.col("pos"))))
+
+    return p.groupBy(WS, KEY, "term", "dl", "live") \
+        .agg(at(CONTENT_COL).alias("content_at"), at(TAGS_COL).alias("tags_at")) \
+        .select(term_key().alias("h"), WS, "term", KEY, "content_at", "tags_at", "dl", "live")
+
+
+def term_key():
+    return F.xxhash64(WS, "term")
+
+
+def list_postings(lists: DataFrame) -> DataFrame:
+    """The postings (workspace_id, memory_id, col, pos, term) that position lists stand for."""
+    cols = F.array(F.struct(F.lit(CONTENT_COL).alias("col"), F.col("content_at").alias("at")),
+                   F.struct(F.lit(TAGS_COL).alias("col"), F.col("tags_at").alias("at")))
+    return lists.select(WS, KEY, "term", F.inline(cols)).select(WS, KEY, "col", F.explode("at").alias("pos"), "term")
+
+
+def build_index(memories: DataFrame) -> TextIndex:
+    """Tokenise the corpus once, for one-off searches: the tokenised rows are materialised with a reliable checkpoint (in
+    spark.checkpoint.dir). A deployment keeps the lists in a store (streaming.store) and searches what open_store gives."""
+    t = reliable_checkpoint(tokenized_memories(memories))
+    return TextIndex(position_lists(t), _stats_from_tokenized(t)[0])
 
-    The tokenised rows are materialised with a reliable checkpoint (in spark.checkpoint.dir), so postings
-    and statistics read them instead of tokenising the text again. For one-off searches; a deployment keeps the
-    tables of index_tables (streaming.streams.refresh_index_tables) and gives fts_topk and recall what read_index
-    returns.
-    """
-    t = reliable_checkpoint(tokenized_memories(memories).withColumn("live", F.col("archived_at").isNull()))
-    ws, docs = _stats_from_tokenized(t)
-    return _explode_postings(t, ["dl", "live"]), ws, docs
+
+#: Conditions that a scan gets pushed at most; more terms are covered by as many ranges of their hashes.
+MAX_RANGES = 256
+
+
+def _only_terms(lists: DataFrame, qterms: DataFrame) -> DataFrame:
+    """lists cut to the ranges of h that the (few) query terms fall in. Files are sorted by h, so the filter reaches the scan
+    and leaves out row groups and pages without such a term."""
+    keys = sorted(r.h for r in qterms.select(term_key().alias("h")).distinct().collect())
+    if not keys:
+        return lists.where(F.lit(False))
+    gaps = sorted(range(1, len(keys)), key=lambda i: keys[i - 1] - keys[i])[:MAX_RANGES - 1]
+    cuts = [0, *sorted(gaps), len(keys)]
+    ranges = [(keys[a], keys[b - 1]) for a, b in zip(cuts, cuts[1:])]
+    h = F.col("h")
+    # a balanced tree of conditions
+    tests = [h == a if a == b else h.between(a, b) for a, b in ranges]
+    while len(tests) > 1:
+        tests = [reduce(lambda x, y: x | y, tests[i:i + 2]) for i in range(0, len(tests), 2)]
+    return lists.where(tests[0])
 
 
 def parse_fts_query(queries: DataFrame, text: str = "query_text") -> DataFrame:
@@ -97,33 +139,39 @@ def parse_fts_query(queries: DataFrame, text: str = "query_text") -> DataFrame:
                           "n_terms", "n_phrases")
 
 
-def phrase_hits(qterms: DataFrame, postings: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+def phrase_hits(qterms: DataFrame, index: TextIndex, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                 salt_buckets: int = 64) -> DataFrame:
-    """(qid, workspace_id, phrase_no, memory_id, tf): occurrences of each phrase per row (both columns).
+    """(qid, workspace_id, phrase_no, memory_id, dl, live, tf): occurrences of each phrase per row (both columns).
 
-    Query terms are broadcast within the bound. Beyond it the join is on (workspace, term, salt): the postings are
-    spread over salt_buckets by row id and the terms copied to each, so a frequent word of a huge workspace is split."""
+    Query terms are broadcast within the bound, and the lists scanned only where a term's hash can be. Beyond it the join is
+    on (workspace, term, salt): the lists are spread over salt_buckets by row id and the terms copied to each, so a
+    frequent word of a huge workspace is split."""
     if row_count_at_most(qterms, max_broadcast_rows):
-        j = postings.join(F.broadcast(qterms), [WS, "term"])
+        j = _only_terms(index.lists, qterms).join(F.broadcast(qterms), [WS, "term"])
     else:
-        salted = postings.withColumn("_salt", F.pmod(F.xxhash64(KEY), F.lit(salt_buckets)).cast("int"))
+        salted = index.lists.withColumn("_salt", F.pmod(F.xxhash64(KEY), F.lit(salt_buckets)).cast("int"))
         terms = qterms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
         j = salted.join(terms, [WS, "term", "_salt"]).drop("_salt")
-    # row attributes carried by the postings (dl, live) ride along: they are fixed per row
-    carry = [c for c in ("dl", "live") if c in postings.columns]
-    # (query, phrase, offset) is unique and a posting has one term, so a full phrase occurrence at
-    # (row, col, start) is exactly n_terms joined rows.
-    occ = (j.groupBy("qid", WS, "phrase_no", KEY, *carry, "col", (F.col("pos") - F.col("offset")).alias("start"))
-           .agg(F.count(F.lit(1)).alias("_n"), F.max("n_terms").alias("n_terms"))
-           .where(F.col("_n") == F.col("n_terms")))
-    return occ.groupBy("qid", WS, "phrase_no", KEY, *carry).agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25_scores(hits: DataFrame, qterms: DataFrame, ws_stats: DataFrame, doc_stats: DataFrame | None) -> DataFrame:
-    """(qid, workspace_id, memory_id, live, score) for rows matching every phrase of the query.
-
-    When the hits carry dl and live (postings from build_index) no doc-stats join is needed.
-    """
+    if index.ended is not None:  # few next to the lists, and met only by the lists of the query's terms
+        j = j.join(index.ended, [KEY, "epoch"], "left_anti")
+    row = ["qid", WS, "phrase_no", KEY, "dl", "live"]
+    one = j.where("n_terms = 1").select(*row, (F.size("content_at") + F.size("tags_at")).cast("long").alias("tf"))
+    starts = [F.transform(c, lambda p: p - F.col("offset")).alias(c) for c in ("content_at", "tags_at")]
+    # (query, phrase, offset) is unique and so is a row's list of a term: a row that has all terms joins n_terms times
+    many = j.where("n_terms > 1").select(*row, "n_terms", F.struct(
+        (F.size("content_at") + F.size("tags_at")).alias("n"), *starts).alias("one"))
+    many = many.groupBy(*row, "n_terms").agg(F.array_sort(F.collect_list("one")).alias("l")) \
+        .where(F.size("l") == F.col("n_terms"))
+
+    def everywhere(c):
+        return F.size(F.aggregate(F.slice("l", 2, F.size("l")), F.col("l")[0][c], lambda x, o: F.array_intersect(x, o[c])))
+
+    many = many.select(*row, (everywhere("content_at") + everywhere("tags_at")).cast("long").alias("tf")).where("tf > 0")
+    return one.unionByName(many)
+
+
+def bm25_scores(hits: DataFrame, qterms: DataFrame, ws_stats: DataFrame) -> DataFrame:
+    """(qid, workspace_id, memory_id, live, score) for rows matching every phrase of the query. Reads hits twice."""
     # one row per query phrase / per query: broadcast (checked) so a phrase matching a third of a hot
     # workspace is never gathered into one shuffle partition by (qid, phrase_no)
     # (n_hit has at most one row per query phrase: the bound is checked on the small query-term table)
@@ -135,8 +183,6 @@ def bm25_scores(hits: DataFrame, qterms: DataFrame, ws_stats: DataFrame, doc_sta
     # one row per workspace: broadcast when the workspace count is within the bound (checked)
     x = (hits.join(n_hit, ["qid", "phrase_no"])
          .join(broadcast_if_small(ws_stats.select(WS, "n_docs", "avgdl"), 2_000_000), WS))
-    if not {"dl", "live"} <= set(hits.columns):
-        x = x.join(doc_stats.select(WS, KEY, "dl", "live"), [WS, KEY])
     n, N = F.col("n_hit").cast("double"), F.col("n_docs").cast("double")
     idf0 = F.log((N - n + 0.5) / (n + 0.5))
     idf = F.when(idf0 <= 0.0, F.lit(K.BM25_IDF_FLOOR)).otherwise(idf0)
@@ -149,21 +195,19 @@ def bm25_scores(hits: DataFrame, qterms: DataFrame, ws_stats: DataFrame, doc_sta
             .select("qid", WS, KEY, "live", "score"))
 
 
-def fts_topk(queries: DataFrame, memories: DataFrame, k: int = K.BRANCH_TOPK,
-             postings: DataFrame | None = None, stats: tuple[DataFrame, DataFrame] | None = None,
+def fts_topk(queries: DataFrame, memories: DataFrame | None, k: int = K.BRANCH_TOPK, index: TextIndex | None = None,
              text: str = "query_text", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Best k live rows of the query's workspace by BM25; ties by row id. Statistics include archived rows.
+    """Best k live rows of the query's workspace by BM25; ties by row id. Statistics include archived rows. Without an index
+    the memories are tokenised.
 
     Output: (qid, workspace_id, memory_id, fts_rank, score).
     """
-    qterms = parse_fts_query(queries, text)
-    if postings is None:
-        postings, ws_stats, doc_stats = build_index(memories)
-    else:
-        ws_stats, doc_stats = stats if stats is not None else corpus_stats(memories)
-    # the broadcast join to the query terms sits right after the explode: only matching postings move
-    hits = phrase_hits(qterms, postings, max_broadcast_rows)
-    scores = bm25_scores(hits, qterms, ws_stats, doc_stats).where("live").drop("live")
+    qterms = reliable_checkpoint(parse_fts_query(queries, text))
+    if index is None:
+        index = build_index(memories)
+    # the lists are read once: the hits (rows of the corpus that hold a phrase) are kept for counting and scoring
+    hits = reliable_checkpoint(phrase_hits(qterms, index, max_broadcast_rows))
+    scores = bm25_scores(hits, qterms, index.stats).where("live").drop("live")
     return top_n_per(scores, ["qid"], [F.round("score", 12).desc(), F.col(KEY).asc()], k, "fts_rank")
 
 

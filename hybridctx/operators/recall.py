@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridctx import constants as K
 from hybridctx.functions.columns import recency_importance, split_tags
-from hybridctx.operators.fts import fts_topk
+from hybridctx.operators.fts import TextIndex, fts_topk
 from hybridctx.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
 from hybridctx.operators.store import filter_types_per_row, live_memories, top_n_per, validate_queries
 from hybridctx.operators.vectors import embed_corpus, vector_topk
@@ -50,9 +50,8 @@ def fetch_candidates(fused: DataFrame, memories: DataFrame, queries: DataFrame |
     return filter_types_per_row(j) if "types" in j.columns else j
 
 
-def recall(queries: DataFrame, memories: DataFrame, now_ms: int, postings: DataFrame | None = None,
-           stats=None, branch_k: int = K.BRANCH_TOPK,
-           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, now_ms: int, index: TextIndex | None = None,
+           branch_k: int = K.BRANCH_TOPK, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """queries: (qid, workspace_id, query_text, query_vec, k, types). memories: live and archived rows with
     an optional embedding. Output: (qid, rank, memory_id, type, content, tags, created_at, score).
 
@@ -62,7 +61,7 @@ def recall(queries: DataFrame, memories: DataFrame, now_ms: int, postings: DataF
     queries = reliable_checkpoint(queries)
     vec = vector_topk(queries, memories, branch_k, max_broadcast_rows).select(
         "qid", WS, KEY, F.col("vec_rank").alias("rank"))
-    txt = fts_topk(queries, memories, branch_k, postings, stats, max_broadcast_rows=max_broadcast_rows).select(
+    txt = fts_topk(queries, memories, branch_k, index, max_broadcast_rows=max_broadcast_rows).select(
         "qid", WS, KEY, F.col("fts_rank").alias("rank"))
     fused = rrf_fuse([vec, txt])
     small = row_count_at_most(queries.select("qid"), max_broadcast_rows)
@@ -117,3 +116,31 @@ def recall_eval(results: DataFrame, relevant: DataFrame, k: int | None = None) -
         F.when(F.col("first_relevant_rank").isNotNull(), 1).otherwise(0).alias("hit"),
         F.coalesce(F.lit(1.0) / F.col("first_relevant_rank"), F.lit(0.0)).alias("rr"),
     )
+
+
+def pair_order(results: DataFrame, values: list[str]) -> DataFrame:
+    """How far the order of the results follows some values: per query and value, the pairs of results whose order agrees
+    (the one ranked before has the larger value), disagrees or says nothing (equal values).
+
+    results: (qid, rank, *values). Output: (qid, value, agree, disagree, equal). Pairs are counted by merging, not made: the
+    ranks of a query are halved again and again, and on each level every row of a right half counts the rows of
+    its left half with a larger, an equal and a smaller value, from running sums over the distinct values of both halves. A
+    row takes part once per level. Null values take no part; results of equal rank are no pair."""
+    long = results.select("qid", F.col("rank").cast("long").alias("rank"), F.explode(F.map_from_arrays(
+        F.array(*[F.lit(v) for v in values]), F.array(*[F.col(v).cast("double") for v in values]))).alias("value", "x")) \
+        .where(F.col("x").isNotNull())
+    # levels up to the largest rank: one number of the whole table
+    top = results.agg(F.max("rank")).first()[0] or 0
+    levels = long.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length()))))
+    half = F.expr("shiftright(rank, level)")
+    # rows of one block that share a value are one row from here on
+    counts = levels.groupBy("qid", "value", "level", F.expr("shiftright(rank, level + 1)").alias("block"), "x").agg(
+        F.sum(F.when(half % 2 == 0, 1).otherwise(0)).alias("left"), F.sum(F.when(half % 2 == 1, 1).otherwise(0)).alias("right"))
+    block = Window.partitionBy("qid", "value", "level", "block")
+    below = F.coalesce(F.sum("left").over(block.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("qid", "value", "right", "left", below.alias("below"), F.sum("left").over(block).alias("all"))
+    sums = counts.groupBy("qid", "value").agg(
+        F.sum(F.col("right") * (F.col("all") - F.col("below") - F.col("left"))).alias("agree"),
+        F.sum(F.col("right") * F.col("below")).alias("disagree"),
+        F.sum(F.col("right") * F.col("left")).alias("equal"))
+    return sums

@@ -27,14 +27,16 @@ def q_workspace_name(spark, sf_dir):
 
 
 @register("resolve_workspace", with_fixtures("""
-SELECT p.page_id, p.path, coalesce(h.root, p.path) AS workspace_root FROM fx_paths p LEFT JOIN (
+SELECT p.page_id, p.path, coalesce(h.root, p.path) AS workspace_root FROM all_paths p LEFT JOIN (
   SELECT page_id, arg_max(anc, length(anc)) AS root FROM (
     SELECT page_id, unnest(list_transform(range(1, len(string_split(path, '/')) + 1),
-      lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS anc FROM fx_paths) c
+      lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS anc FROM all_paths) c
   WHERE anc IN (SELECT root FROM fx_roots) GROUP BY page_id) h ON h.page_id = p.page_id""",
-    "fx_paths", "fx_roots"))
+    "fx_paths", "fx_rootless_paths", "fx_roots",
+    extra={"all_paths": "SELECT * FROM fx_paths UNION ALL SELECT * FROM fx_rootless_paths"}))
 def q_resolve_workspace(spark, sf_dir):
-    return repos.resolve_workspace(fx.fx_paths(spark, sf_dir), fx.fx_roots(spark, sf_dir))
+    paths = fx.fx_paths(spark, sf_dir).unionByName(fx.fx_rootless_paths(spark, sf_dir))
+    return repos.resolve_workspace(paths, fx.fx_roots(spark, sf_dir))
 
 
 @register("dirty_counts", with_fixtures("""

@@ -14,8 +14,8 @@ from hybridctx.plans import fixtures as fx
 from hybridctx.plans.oracle_fixtures import with_fixtures
 from hybridctx.plans.registry import register
 from hybridctx.plans.sqlparts import FTS_ALL, ctes, dot, recency, split_tags as sql_split_tags
-from hybridctx.session import scratch_dir
-from hybridctx.streaming.streams import read_index, refresh_index_tables
+from hybridctx.session import reliable_checkpoint, scratch_dir
+from hybridctx.streaming import store
 
 NOW = K.FIXTURE_NOW_MS
 FX = ("fx_memories", "fx_vectors", "fx_queries")
@@ -50,10 +50,10 @@ def _index(spark, sf_dir):
     """The stored index of the fixture rows: written once per session and table folder, then only read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        path = scratch_dir(spark, f"text-index-{uuid.uuid4().hex[:12]}")
-        refresh_index_tables(spark, path, fx.fx_memories(spark, sf_dir))
+        path = scratch_dir(spark, f"memories-{uuid.uuid4().hex[:12]}")
+        store.commit(spark, path, fx.fx_memories(spark, sf_dir))
         _indexes[key] = path
-    return read_index(spark, _indexes[key])
+    return store.open_store(spark, _indexes[key])
 
 
 def _inputs(spark, sf_dir):
@@ -108,7 +108,7 @@ def q_parse_fts_query(spark, sf_dir):
 def q_phrase_hits(spark, sf_dir):
     m = fx.fx_memories(spark, sf_dir)
     qt = fts.parse_fts_query(fx.fx_queries(spark, sf_dir))
-    h = fts.phrase_hits(qt, fts.build_postings(m))
+    h = fts.phrase_hits(qt, fts.build_index(m))
     return h.select("qid", "workspace_id", F.col("phrase_no").cast("long").alias("phrase_no"), "memory_id",
                     F.col("tf").cast("long").alias("tf"))
 
@@ -119,8 +119,8 @@ def q_phrase_hits(spark, sf_dir):
 def q_bm25_scores(spark, sf_dir):
     m = fx.fx_memories(spark, sf_dir)
     qt = fts.parse_fts_query(fx.fx_queries(spark, sf_dir))
-    ws, docs = fts.corpus_stats(m)
-    s = fts.bm25_scores(fts.phrase_hits(qt, fts.build_postings(m)), qt, ws, docs)
+    index = fts.build_index(m)
+    s = fts.bm25_scores(reliable_checkpoint(fts.phrase_hits(qt, index)), qt, index.stats)
     return s.select("qid", "workspace_id", "memory_id", "live", F.round("score", 9).alias("score"))
 
 
@@ -128,7 +128,7 @@ def q_bm25_scores(spark, sf_dir):
     "SELECT qid, workspace_id, memory_id, fts_rank, round(score, 9) AS score FROM fts_top", FTS_ALL))
 def q_fts_topk(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
-    r = fts.fts_topk(q, m, 20, *_index(spark, sf_dir))
+    r = fts.fts_topk(q, None, 20, _index(spark, sf_dir))
     return r.select("qid", "workspace_id", "memory_id", F.col("fts_rank").cast("long").alias("fts_rank"),
                     F.round("score", 9).alias("score"))
 
@@ -151,7 +151,7 @@ def _fusion_sql(body: str, with_cands: bool = False, more: dict | None = None, f
 def q_rrf_fuse(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
     v = vectors.vector_topk(q, m).withColumnRenamed("vec_rank", "rank")
-    t = fts.fts_topk(q, m).withColumnRenamed("fts_rank", "rank")
+    t = fts.fts_topk(q, None, index=_index(spark, sf_dir)).withColumnRenamed("fts_rank", "rank")
     return rc.rrf_fuse([v, t]).select("qid", "workspace_id", "memory_id", F.round("rrf", 12).alias("rrf"))
 
 
@@ -160,7 +160,7 @@ def q_rrf_fuse(spark, sf_dir):
 def q_fetch_candidates(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
     v = vectors.vector_topk(q, m).withColumnRenamed("vec_rank", "rank")
-    t = fts.fts_topk(q, m).withColumnRenamed("fts_rank", "rank")
+    t = fts.fts_topk(q, None, index=_index(spark, sf_dir)).withColumnRenamed("fts_rank", "rank")
     c = rc.fetch_candidates(rc.rrf_fuse([v, t]), m, q)
     return c.select("qid", "workspace_id", "memory_id", "type", F.round("rrf", 12).alias("rrf"))
 
@@ -176,7 +176,7 @@ RECALL_BODY = f"""SELECT qid, rank, memory_id, type, content, tags, created_at,
 @register("recall", _fusion_sql(RECALL_BODY, True))
 def q_recall(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
-    r = rc.recall(q, m, NOW, *_index(spark, sf_dir))
+    r = rc.recall(q, m, NOW, _index(spark, sf_dir))
     return r.select("qid", F.col("rank").cast("long").alias("rank"), "memory_id", "type", "content", "tags",
                     "created_at", F.round("score", 9).alias("score"))
 
@@ -189,7 +189,7 @@ FROM ({RECALL_BODY})""", True))
 def q_recall_to_json(spark, sf_dir):
     """The JSON arrays, parsed again: their order and every field must be those of the ranked rows."""
     q, m = _inputs(spark, sf_dir)
-    j = rc.recall_to_json(rc.recall(q, m, NOW, *_index(spark, sf_dir)))
+    j = rc.recall_to_json(rc.recall(q, m, NOW, _index(spark, sf_dir)))
     items = j.select("qid", F.posexplode(F.from_json("json", JSON_ITEMS)).alias("pos", "r")).select("qid", "pos", "r.*")
     return items.withColumn("pos", F.col("pos").cast("long")).withColumn("score", F.round("score", 9))
 
@@ -207,7 +207,8 @@ FROM checked c LEFT JOIN (SELECT qid, count(*) AS n FROM ({RECALL_BODY}) GROUP B
 def q_recall_requests(spark, sf_dir):
     """Requests with k from -1 to 21: the bad ones come back with their reason, the others are answered."""
     q, m = _inputs(spark, sf_dir)
-    found, rejected = rc.recall_requests(q.withColumn("k", ((F.col("qid") % 23) - 1).cast("int")), m, NOW)
+    found, rejected = rc.recall_requests(q.withColumn("k", ((F.col("qid") % 23) - 1).cast("int")), m, NOW,
+                                         index=_index(spark, sf_dir))
     n = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_results"))
     good = q.select("qid").join(rejected.select("qid"), "qid", "left_anti")
     return good.join(n, "qid", "left").select("qid", F.lit(None).cast("string").alias("reject_reason"),
@@ -231,7 +232,7 @@ def q_split_tags(spark, sf_dir):
     return m.select("memory_id", split_tags("tags").alias("tags"))
 
 
-RELEVANT_SQL = """SELECT q.qid, m.memory_id FROM fx_queries q JOIN fx_vectors qv ON qv.memory_id = q.qid
+RELEVANT_SQL = """SELECT q.qid, m.memory_id FROM fx_queries q JOIN fx_vectors qv ON qv.memory_id = q.item_id
 JOIN fx_vectors v ON v.label = qv.label JOIN fx_memories m ON m.memory_id = v.memory_id
 WHERE m.workspace_id = q.workspace_id AND m.archived_at IS NULL"""
 
@@ -251,17 +252,34 @@ FROM qs FULL OUTER JOIN per_q ON per_q.qid = qs.qid""", True, {
 def q_recall_eval(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
     v = fx.fx_vectors(spark, sf_dir)
-    qv = v.select(F.col("memory_id").alias("qid"), "label")
+    qv = v.select(F.col("memory_id").alias("item_id"), "label")
     # rows meet their labels first, so queries are joined on (workspace, label) and never on the label alone
     labelled = live_memories(m).select("memory_id", "workspace_id").join(v.select("memory_id", "label"), "memory_id")
-    rel = (q.select("qid", "workspace_id").join(qv, "qid").join(labelled, ["workspace_id", "label"])
+    rel = (q.select("qid", "item_id", "workspace_id").join(qv, "item_id").join(labelled, ["workspace_id", "label"])
            .select("qid", "memory_id"))
-    e = rc.recall_eval(rc.recall(q, m, NOW, *_index(spark, sf_dir)), rel)
+    e = rc.recall_eval(rc.recall(q, m, NOW, _index(spark, sf_dir)), rel)
     return e.select("qid", F.col("n_results").cast("long").alias("n_results"),
                     F.col("n_relevant_found").cast("long").alias("n_relevant_found"),
                     F.col("hit").cast("int").alias("hit"), F.round("rr", 9).alias("rr"))
 
 
+@register("recall_pair_order", _fusion_sql("""
+SELECT a.qid, v.value, sum(CASE WHEN v.x > v.y THEN 1 ELSE 0 END)::BIGINT AS agree,
+  sum(CASE WHEN v.x < v.y THEN 1 ELSE 0 END)::BIGINT AS disagree, sum(CASE WHEN v.x = v.y THEN 1 ELSE 0 END)::BIGINT AS equal
+FROM found a JOIN found b ON a.qid = b.qid AND a.rank < b.rank,
+  LATERAL (SELECT unnest(['created_at', 'importance']) AS value, unnest([a.created_at::DOUBLE, a.importance]) AS x,
+                  unnest([b.created_at::DOUBLE, b.importance]) AS y) v
+GROUP BY a.qid, v.value""", True, {
+    "results": RECALL_BODY.replace("WHERE rank <= k", "WHERE rank <= 20"),
+    "found": "SELECT r.*, m.importance FROM results r JOIN mem m ON m.memory_id = r.memory_id"}))
+def q_recall_pair_order(spark, sf_dir):
+    """Up to 20 results of every query: does their order follow age (newer first) and importance?"""
+    q, m = _inputs(spark, sf_dir)
+    r = rc.recall(q.withColumn("k", F.lit(20)), m, NOW, _index(spark, sf_dir))
+    found = r.join(m.select("memory_id", "importance"), "memory_id")
+    return rc.pair_order(found, ["created_at", "importance"]).where("agree + disagree + equal > 0")
+
+
 @register("refresh_index", _search_sql("SELECT workspace_id, memory_id, col, pos, term FROM postings",
                                       ["toks", "postings"], mem_where="m.memory_id % 13 <> 0"))
 def q_refresh_index(spark, sf_dir):

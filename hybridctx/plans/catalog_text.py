@@ -40,7 +40,7 @@ def q_token_budget_report(spark, sf_dir):
 WORDPIECE_SQL = f"""WITH RECURSIVE toks AS (SELECT doc_id, {BASIC_SQL} AS t FROM documents),
 dfr AS (SELECT w, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(t)) AS w FROM toks) GROUP BY w),
 freq AS (SELECT w FROM dfr WHERE n >= 0.01::DOUBLE * (SELECT count(*) FROM documents)),
-chars AS (SELECT DISTINCT c FROM (SELECT unnest(string_split(w, '')) AS c FROM dfr) WHERE c NOT IN ('', 'q')),
+chars AS (SELECT DISTINCT c FROM (SELECT unnest(string_split(w, '')) AS c FROM dfr) WHERE c <> ''),
 vt AS (SELECT c AS token FROM chars UNION SELECT '##' || c FROM chars UNION SELECT w FROM freq
        UNION SELECT '##' || substr(w, length(w) - 2, 3) FROM freq WHERE length(w) >= 3
        UNION SELECT unnest(['[CLS]', '[SEP]', '[UNK]'])),
@@ -68,6 +68,6 @@ SELECT d.doc_id, len(ids)::INTEGER AS n_ids, ids FROM (
 def q_wordpiece_corpus(spark, sf_dir):
     """Word pieces of every document with a vocabulary built from the same corpus."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab = tx.corpus_vocabulary(d, "text", exclude_chars="q")
+    vocab = tx.corpus_vocabulary(d, "text")
     w = tx.wordpiece_corpus(d, "doc_id", "text", vocab)
     return w.select("doc_id", F.size("ids").alias("n_ids"), "ids")

@@ -57,18 +57,36 @@ def fx_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("memory_id"), "label", "embedding")
 
 
+#: Words of a benchmark text that one short query holds.
+QUERY_WORDS = 3
+#: qid = item_id * QUERY_STEP + number of the query within its text (0: the whole text).
+QUERY_STEP = 1_000_000
+
+
 def fx_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as one query over all its words, and as consecutive queries of three words that cover it: plain,
+    with a quoted phrase of two, with a repeated quoted word, with separators that hold no word."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    j = b.join(v, v.vec_id == b.item_id)
-    i = F.col("item_id")
-    w3 = F.split_part(F.col("text"), F.lit(" "), F.lit(3))
-    w4 = F.split_part(F.col("text"), F.lit(" "), F.lit(4))
+    w = F.split("text", " ")
+
+    def short(j):
+        x, y, z = (F.coalesce(F.get(w, (j - 1) * QUERY_WORDS + k), F.lit("")) for k in range(QUERY_WORDS))
+        return F.when(j == 0, F.col("text")) \
+            .when(j % 4 == 1, F.concat(x, F.lit(" "), y, F.lit(" "), z)) \
+            .when(j % 4 == 2, F.concat(F.lit('"'), x, F.lit("-"), y, F.lit('" '), z)) \
+            .when(j % 4 == 3, F.concat(x, F.lit(' "'), y, F.lit('" '), z, F.lit(" "), x)) \
+            .otherwise(F.concat(x, F.lit(", "), y, F.lit(" & "), z))
+
+    last = F.ceil(F.size(w) / F.lit(QUERY_WORDS)).cast("int")
+    q = b.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), short)).alias("j", "query_text"))
+    i = F.col("item_id") + F.col("j")
     only_type = F.when(i % 5 == 0, F.lit("decision")).otherwise(F.lit(None).cast("string"))
-    return j.select(
-        i.alias("qid"),
+    return q.join(v, v.vec_id == q.item_id).select(
+        (F.col("item_id") * QUERY_STEP + F.col("j")).alias("qid"),
+        "item_id",
         F.concat(F.lit("src"), (i % 20).cast("string")).alias("workspace_id"),
-        F.when(i % 2 == 0, w3).otherwise(F.concat(w3, F.lit(" "), w4)).alias("query_text"),
+        "query_text",
         F.col("embedding").alias("query_vec"),
         F.lit(5).alias("k"),
         only_type.alias("only_type"),
@@ -156,10 +174,11 @@ def fx_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").where(F.col("n_nationkey") < 12)
+    """One repository per nation, in src3 to src27: src0 to src2 hold memories and no repository."""
+    n = table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     return n.select(
-        F.concat(F.lit("src"), k.cast("string")).alias("workspace_id"),
+        F.concat(F.lit("src"), (k + 3).cast("string")).alias("workspace_id"),
         F.when(k % 6 == 0, F.lit(None).cast("string")).otherwise(F.lower(F.col("n_name"))).alias("branch"),
         (k % 4).alias("uncommitted"),
     )
@@ -167,7 +186,6 @@ def fx_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag")
-    li = li.where(F.col("l_suppkey") % 20 != 13)
     return li.select(
         F.concat(F.lit("src"), (F.col("l_suppkey") % 20).cast("string")).alias("workspace_id"),
         F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit("_"),
@@ -184,12 +202,18 @@ def fx_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    a = p.where(F.col("page_id") % 2 == 0).select(
-        F.regexp_extract("url", r"^(https?://[^/]+/[a-z][a-z])/", 1).alias("root"))
-    b = p.where(F.col("page_id") % 3 == 0).select(
-        F.regexp_extract("url", r"^(https?://[^/]+)/", 1).alias("root"))
-    return a.union(b).distinct()
+    """Known roots of all pages: the language folder of an url that has one, and every host."""
+    p = table(spark, sf_dir, "pages").select("url")
+    pattern = [r"^(https?://[^/]+/[a-z][a-z])/", r"^(https?://[^/]+)/"]
+    return p.select(F.explode(F.array(*[F.regexp_extract("url", x, 1) for x in pattern])).alias("root")) \
+        .where("root <> ''").distinct()
+
+
+def fx_rootless_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths below no known root."""
+    n = table(spark, sf_dir, "nation")
+    return n.select((-1 - F.col("n_nationkey")).cast("long").alias("page_id"),
+                    F.concat(F.lit("/repos/"), F.col("n_name"), F.lit("/src")).alias("path"))
 
 
 def fx_dim_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,10 +224,10 @@ def fx_dim_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_digest_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workspaces that digests are built for: every workspace of the candidate fixture (src0..src22).
+    """Workspaces that digests are built for: src0..src28.
 
-    src20..src22 hold no memories and, at every scale, no repository row: they exercise the empty cases.
+    src20 to src27 hold a repository and no memories, src28 neither: they exercise the empty cases.
     """
     c = table(spark, sf_dir, "conversations", spread=False)  # key column only: no text work to spread
-    ws = c.select(F.concat(F.lit("src"), (F.col("conv_id") % 23).cast("string")).alias("id")).distinct()
+    ws = c.select(F.concat(F.lit("src"), (F.col("conv_id") % 29).cast("string")).alias("id")).distinct()
     return ws.select("id", F.col("id").alias("name"))

@@ -17,12 +17,17 @@ SELECT d.doc_id AS memory_id, d.source AS workspace_id,
 FROM documents d JOIN events e ON e.event_id = d.doc_id * 5""",
     "fx_vectors": "SELECT vec_id AS memory_id, label, embedding FROM embeddings",
     "fx_queries": """
-SELECT b.item_id AS qid, concat('src', CAST(b.item_id % 20 AS VARCHAR)) AS workspace_id,
-  CASE WHEN b.item_id % 2 = 0 THEN split_part(b.text, ' ', 3)
-       ELSE concat(split_part(b.text, ' ', 3), ' ', split_part(b.text, ' ', 4)) END AS query_text,
+SELECT b.item_id * 1000000 + b.j AS qid, b.item_id, concat('src', CAST((b.item_id + b.j) % 20 AS VARCHAR)) AS workspace_id,
+  CASE WHEN b.j = 0 THEN b.text WHEN b.j % 4 = 1 THEN b.x || ' ' || b.y || ' ' || b.z
+       WHEN b.j % 4 = 2 THEN '"' || b.x || '-' || b.y || '" ' || b.z
+       WHEN b.j % 4 = 3 THEN b.x || ' "' || b.y || '" ' || b.z || ' ' || b.x
+       ELSE b.x || ', ' || b.y || ' & ' || b.z END AS query_text,
   v.embedding AS query_vec, 5 AS k,
-  CASE WHEN b.item_id % 5 = 0 THEN 'decision' ELSE NULL END AS only_type
-FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id""",
+  CASE WHEN (b.item_id + b.j) % 5 = 0 THEN 'decision' ELSE NULL END AS only_type
+FROM (SELECT item_id, text, j, coalesce(w[3 * j - 2], '') AS x, coalesce(w[3 * j - 1], '') AS y, coalesce(w[3 * j], '') AS z
+      FROM (SELECT item_id, text, w, unnest(range(0, (len(w) + 2) // 3 + 1)) AS j
+            FROM (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark))) b
+JOIN embeddings v ON v.vec_id = b.item_id""",
     "fx_candidates": """
 SELECT conv_id, turn, concat('src', CAST(conv_id % 23 AS VARCHAR)) AS workspace_id,
   CASE role WHEN 'user' THEN 'note' WHEN 'assistant' THEN 'decision' ELSE 'SYSTEM' END AS type,
@@ -48,24 +53,24 @@ SELECT concat('src', CAST(c.c_nationkey AS VARCHAR)) AS workspace_id, sha1(CAST(
   {SEC} AS committed_at
 FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey""",
     "fx_repos": """
-SELECT concat('src', CAST(n_nationkey AS VARCHAR)) AS workspace_id,
+SELECT concat('src', CAST(n_nationkey + 3 AS VARCHAR)) AS workspace_id,
   CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE lower(n_name) END AS branch, n_nationkey % 4 AS uncommitted
-FROM nation WHERE n_nationkey < 12""",
+FROM nation""",
     "fx_status": """
 SELECT concat('src', CAST(l_suppkey % 20 AS VARCHAR)) AS workspace_id,
   concat('f', CAST(l_orderkey AS VARCHAR), '_', CAST(l_linenumber AS VARCHAR)) AS path,
   CASE l_returnflag WHEN 'R' THEN 'ignored' WHEN 'A' THEN 'submodule' ELSE 'modified' END AS state
-FROM lineitem WHERE l_suppkey % 20 <> 13""",
+FROM lineitem""",
     "fx_paths": "SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS path FROM pages",
     "fx_roots": """
-SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[a-z][a-z])/', 1) AS root FROM pages WHERE page_id % 2 = 0
-UNION
-SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)/', 1) AS root FROM pages WHERE page_id % 3 = 0""",
+SELECT DISTINCT root FROM (SELECT unnest([regexp_extract(url, '^(https?://[^/]+/[a-z][a-z])/', 1),
+  regexp_extract(url, '^(https?://[^/]+)/', 1)]) AS root FROM pages) WHERE root <> ''""",
+    "fx_rootless_paths": "SELECT -1 - n_nationkey AS page_id, '/repos/' || n_name || '/src' AS path FROM nation",
     "fx_dim_mix": """
 SELECT vec_id AS memory_id, label AS workspace_id, CASE WHEN vec_id % 97 = 0 THEN 32 ELSE 64 END AS dim
 FROM embeddings""",
     "fx_digest_workspaces": """
-SELECT DISTINCT concat('src', CAST(conv_id % 23 AS VARCHAR)) AS id, concat('src', CAST(conv_id % 23 AS VARCHAR)) AS name
+SELECT DISTINCT concat('src', CAST(conv_id % 29 AS VARCHAR)) AS id, concat('src', CAST(conv_id % 29 AS VARCHAR)) AS name
 FROM conversations""",
 }
 

@@ -1,8 +1,9 @@
 """Structured Streaming wrappers: continuous remember, hydration-log merge and text-index refresh.
 
 Every micro-batch is written so that a replay of the same epoch gives the same files: ids are derived
-from row keys, batch output goes to an epoch folder overwritten on replay, and merged tables overwrite
-only the workspace partitions the batch touched (after a reliable checkpoint cuts the read lineage).
+from row keys, batch output goes to an epoch folder overwritten on replay, a store (streaming.store) applies a
+named batch once, and the log overwrites only the hash slices the batch touched (after a reliable
+checkpoint cuts the read lineage).
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridctx.operators.fts import index_tables, stored_stats
 from hybridctx.operators.store import log_hydration
+from hybridctx.schemas import MEMORY_SCHEMA, conform
 from hybridctx.session import reliable_checkpoint
 from hybridctx.sources.io import remember_batch
+from hybridctx.streaming import store
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -24,11 +26,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def remember_stream(source: DataFrame, workspaces: DataFrame, sink: str, quarantine: str, checkpoint: str,
                     now_ms_of_epoch, key_cols: list[str], event_time: str | None = None,
-                    watermark: str = "1 hour", embedder=None, available_now: bool = True):
-    """Continuous remember_batch: accepted rows to `sink` (by workspace), rejected rows to `quarantine`.
+                    watermark: str = "1 hour", embedder=None, available_now: bool = True,
+                    memories: str | None = None):
+    """Continuous remember_batch: accepted rows to `sink`, rejected rows to `quarantine`, both with the input's columns, one
+    folder per epoch. With `memories`, the accepted rows also come into that store (streaming.store): table, embeddings,
+    text index and statistics appear together, by one commit per epoch, and the next recall finds them.
 
     Rows replayed by the source within the watermark are dropped by key; each epoch's output folder is
-    overwritten on replay, so a retried micro-batch does not duplicate rows.
+    overwritten on replay and the store applies an epoch once, so a retried micro-batch does not duplicate rows.
     """
     s = source
     if event_time is not None:
@@ -47,6 +52,9 @@ def remember_stream(source: DataFrame, workspaces: DataFrame, sink: str, quarant
         ok, rej = remember_batch(batch, workspaces, now_ms_of_epoch(epoch_id), embedder, key_cols)
         ok.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
         rej.write.mode("overwrite").parquet(f"{quarantine}/epoch={epoch_id}")
+        if memories is not None:
+            rows = batch.sparkSession.read.parquet(f"{sink}/epoch={epoch_id}").drop("memory_id").withColumnRenamed("id", "memory_id")
+            store.commit(batch.sparkSession, memories, conform(rows, MEMORY_SCHEMA), batch=f"remember-{epoch_id}")
         batch.unpersist()
 
     w = s.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -54,86 +62,40 @@ def remember_stream(source: DataFrame, workspaces: DataFrame, sink: str, quarant
     return w.start()
 
 
+#: Folders of the hydration log, by hash of its key: an event rewrites one of them.
+LOG_SLICES = 64
+
+
 def merge_hydration_log(spark: SparkSession, target: str, batch: DataFrame, seq: str = "seq") -> None:
-    """Merge a batch of hydration events into the log table at `target` (partitioned by workspace)."""
-    touched = batch.select("workspace_id").distinct()
+    """Merge a batch of hydration events into the log at `target`. The log lies in LOG_SLICES folders by hash of (workspace,
+    session), so a hot workspace is spread over all of them and only folders that an event falls in are rewritten."""
+    key = F.pmod(F.xxhash64("workspace_id", "session_id"), F.lit(LOG_SLICES)).cast("int")
     current = None
     if _exists(spark, target):
-        current = spark.read.parquet(target).join(touched, "workspace_id", "left_semi")
-    merged = reliable_checkpoint(log_hydration(current, batch, seq))
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("workspace_id").parquet(target))
+        touched = reliable_checkpoint(batch.select(key.alias("slice")).distinct())
+        current = spark.read.parquet(target).join(F.broadcast(touched), "slice", "left_semi").drop("slice")
+    merged = reliable_checkpoint(log_hydration(current, batch, seq).withColumn("slice", key))
+    (merged.hint("rebalance", "slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("slice").parquet(target))
 
 
 def hydration_log_stream(source: DataFrame, target: str, checkpoint: str, available_now: bool = True):
     """Latest row per (workspace, session) kept in `target` as events arrive."""
     def run(batch: DataFrame, epoch_id: int):
+        batch.persist()
         merge_hydration_log(batch.sparkSession, target, batch)
+        batch.unpersist()
 
     w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-#: Sub-partitions of a workspace's postings, by hash of the row id: a changed row rewrites one of them.
-POSTING_SLICES = 16
-
-
-def _slice():
-    return F.pmod(F.xxhash64("memory_id"), F.lit(POSTING_SLICES)).cast("int")
-
-
-def refresh_index_tables(spark: SparkSession, target: str, changed: DataFrame | None = None,
-                         deleted: DataFrame | None = None) -> None:
-    """Bring a stored text index (target/postings and target/docs) up to date: rows of `changed` (inserted or updated)
-    replace theirs, rows of `deleted` (workspace_id, memory_id) go.
-
-    Only the (workspace, slice) folders that hold such a row are rewritten, a bounded share of the index."""
-    parts = [x.select("workspace_id", "memory_id") for x in (changed, deleted) if x is not None]
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = reliable_checkpoint(rows.distinct().withColumn("slice", _slice()))
-    new = [None, None]
-    if changed is not None:
-        gone = deleted.select("memory_id").distinct() if deleted is not None else None
-        kept = changed if gone is None else changed.join(gone, "memory_id", "left_anti")
-        new = [t.withColumn("slice", _slice()) for t in index_tables(kept)]
-    for name, table in zip(("postings", "docs"), new):
-        _merge(spark, f"{target}/{name}", rows, table)
-
-
-def _merge(spark: SparkSession, path: str, rows: DataFrame, new: DataFrame | None) -> None:
-    """Rewrite the folders of path that hold one of rows (workspace_id, memory_id, slice): their other rows and new."""
-    if _exists(spark, path):
-        touched = rows.select("workspace_id", "slice").distinct()
-        old = (spark.read.parquet(path).join(touched, ["workspace_id", "slice"], "left_semi")
-               .join(rows.select("memory_id"), "memory_id", "left_anti"))
-        new = old if new is None else old.unionByName(new)
-    if new is None:
-        return
-    new = reliable_checkpoint(new)
-    # rebalance: one file per small folder, several for the folders of a huge workspace
-    (new.hint("rebalance", "workspace_id", "slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("workspace_id", "slice").parquet(path))
-    # a dynamic overwrite leaves folders alone that get no row: delete the touched ones that became empty
-    empty = rows.select("workspace_id", "slice").distinct().join(
-        new.select("workspace_id", "slice").distinct(), ["workspace_id", "slice"], "left_anti")
-    jvm = spark.sparkContext._jvm
-    for r in empty.toLocalIterator():  # folders that this one batch emptied
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/workspace_id={r.workspace_id}/slice={r.slice}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def read_index(spark: SparkSession, target: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    """(postings, (workspace statistics, documents)) of a stored index, as fts_topk and recall take them."""
-    docs = spark.read.parquet(f"{target}/docs")
-    return spark.read.parquet(f"{target}/postings"), (stored_stats(docs), docs)
-
-
-def index_refresh_stream(source: DataFrame, target: str, checkpoint: str, available_now: bool = True):
-    """Keep a stored index (target/postings, target/docs) in step with a stream of inserted/updated rows."""
+def index_refresh_stream(source: DataFrame, target: str, checkpoint: str, available_now: bool = True, name: str = "rows"):
+    """Keep a store (streaming.store: rows, text index, statistics) in step with a stream of inserted and updated rows."""
     def run(batch: DataFrame, epoch_id: int):
         batch.persist()
-        refresh_index_tables(batch.sparkSession, target, batch)
+        store.commit(batch.sparkSession, target, batch, batch=f"{name}-{epoch_id}")
         batch.unpersist()
 
     w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
