@@ -1,14 +1,20 @@
-"""Word-piece tokenisation of a corpus and token-budget reports, as joins over distinct words.
+"""Word-piece tokenisation of a corpus and token-budget reports.
 
-Greedy longest-prefix word pieces: every distinct word is cut into all its (start, end) substrings, which
-are joined with the vocabulary; the longest match from each start forms an edge map that is walked once
-per distinct word with `aggregate`. Each distinct word is segmented once, whatever its frequency.
+Greedy longest-prefix word pieces in one pass over the documents, without a shuffle: Spark cuts the texts into words, tasks
+look at the distinct words of an Arrow batch and walk each through a prefix automaton of the vocabulary (state,
+character -> state), which is broadcast. A vocabulary beyond the broadcast's byte bound takes the way of joins: every
+distinct word is cut into all its (start, end) substrings, which are joined with the vocabulary; the longest match from
+each start forms an edge map that is walked once per distinct word with `aggregate`.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hybridctx import constants as K
 from hybridctx.functions.columns import basic_tokenize
@@ -91,9 +97,98 @@ def _segment(words: DataFrame, vocab: DataFrame, max_word: int) -> DataFrame:
     return per_word.select("w", r["ids"].alias("ids"), r["ok"].alias("ok"))
 
 
+class PieceAutomaton:
+    """The vocabulary as a prefix automaton: state 0 starts a word, state 1 goes on within one."""
+
+    def __init__(self, tokens: list[str], ids: list[int]):
+        self.next: dict[int, int] = {}
+        self.piece = [-1, -1]
+        for token, i in zip(tokens, ids):
+            tail = token.startswith("##")
+            # '##' and longer ones are pieces of a word's start as well, when a word begins like that
+            for state, chars in ((0, token), (1, token[2:])) if tail else ((0, token),):
+                for c in chars:
+                    at = state << 21 | ord(c)
+                    if at not in self.next:
+                        self.next[at] = len(self.piece)
+                        self.piece.append(-1)
+                    state = self.next[at]
+                if chars:
+                    self.piece[state] = i
+
+    def walk(self, word: str) -> list[int]:
+        """Ids of the longest pieces from left to right; empty when some rest starts with none."""
+        out, at, root = [], 0, 0
+        while at < len(word):
+            state, end = root, at
+            found = -1
+            for i in range(at, len(word)):
+                state = self.next.get(state << 21 | ord(word[i]), -1)
+                if state < 0:
+                    break
+                if self.piece[state] >= 0:
+                    found, end = self.piece[state], i + 1
+            if found < 0:
+                return []
+            out.append(found)
+            at, root = end, 1
+        return out
+
+
+def _batch_pieces(words: pa.ListArray, automaton: PieceAutomaton, special: dict[str, int], max_len: int) -> pa.ListArray:
+    """[CLS] pieces [SEP] of every row of words."""
+    lens = words.value_lengths().fill_null(0).to_numpy()
+    flat = words.flatten().dictionary_encode()
+    pieces = [automaton.walk(w) if len(w) <= K.WORDPIECE_MAX_WORD else [] for w in flat.dictionary.to_pylist()]
+    pieces = [x or [special["[UNK]"]] for x in pieces]
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ids = np.fromiter((i for x in pieces for i in x), np.int32, int(size.sum()))
+    word = flat.indices.to_numpy()
+    n = size[word]
+    # first piece of every word in its row, and what the row keeps
+    ends = np.concatenate([[0], np.cumsum(n)])
+    rows = np.concatenate([[0], np.cumsum(lens)])
+    keep = np.minimum(ends[rows[1:]] - ends[rows[:-1]], max_len - 2)
+    offs = np.concatenate([[0], np.cumsum(keep + 2)])
+    out = np.empty(offs[-1], np.int32)
+    out[offs[:-1]], out[offs[1:] - 1] = special["[CLS]"], special["[SEP]"]
+    at = np.repeat((np.cumsum(size) - size)[word] - ends[:-1], n) + np.arange(ends[-1])
+    place = np.arange(ends[-1]) - np.repeat(ends[rows[:-1]], ends[rows[1:]] - ends[rows[:-1]])
+    row = np.repeat(np.arange(len(lens)), ends[rows[1:]] - ends[rows[:-1]])
+    kept = place < keep[row]
+    out[offs[row[kept]] + 1 + place[kept]] = ids[at[kept]]
+    return pa.ListArray.from_arrays(offs.astype(np.int32), pa.array(out))
+
+
+#: Bytes of vocabulary (token texts and 64 for each) that are broadcast at most.
+MAX_VOCAB_BYTES = 64 << 20
+
+
 def wordpiece_corpus(docs: DataFrame, key: str, text: str, vocab: DataFrame,
-                     max_len: int = K.WORDPIECE_MAX_LEN) -> DataFrame:
+                     max_len: int = K.WORDPIECE_MAX_LEN, max_vocab_bytes: int = MAX_VOCAB_BYTES) -> DataFrame:
     """(key, ids): [CLS] word pieces [SEP], at most max_len ids in total. Missing specials get id 0."""
+    size = vocab.agg(F.sum(F.octet_length("token") + 64)).first()[0] or 0
+    if size > max_vocab_bytes:
+        return wordpiece_by_joins(docs, key, text, vocab, max_len)
+    got = vocab.select("token", "id").toArrow()
+    tokens, ids = got.column("token").to_pylist(), got.column("id").to_pylist()
+    special = {t: 0 for t in SPECIALS} | {t: i for t, i in zip(tokens, ids) if t in SPECIALS}
+    shared = docs.sparkSession.sparkContext.broadcast((PieceAutomaton(tokens, ids), special))
+
+    def run(batches):
+        automaton, special = shared.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _batch_pieces(b.column(1), automaton, special, max_len)],
+                                             names=[key, "ids"])
+
+    # every word gives at least one piece, so only the first max_len - 2 words can reach the output
+    words = docs.select(key, F.slice(basic_tokenize(text), 1, max_len - 2).alias("words"))
+    return words.mapInArrow(run, T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def wordpiece_by_joins(docs: DataFrame, key: str, text: str, vocab: DataFrame,
+                       max_len: int = K.WORDPIECE_MAX_LEN) -> DataFrame:
+    """wordpiece_corpus for a vocabulary of any size, as joins over distinct words."""
     # every word gives at least one piece, so only the first max_len - 2 words can reach the output
     words = docs.select(key, F.posexplode(F.slice(basic_tokenize(text), 1, max_len - 2)).alias("wpos", "w"))
     seg = _segment(words.select("w").distinct(), vocab, K.WORDPIECE_MAX_WORD)

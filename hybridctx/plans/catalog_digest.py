@@ -195,14 +195,8 @@ SELECT workspace_id, 'current' AS scope, section, ord, line FROM lines_current
 UNION ALL SELECT workspace_id, 'week', section, ord, line FROM lines_week
 UNION ALL SELECT workspace_id, 'all', section, ord, line FROM lines_all"""))
 def q_format_lines(spark, sf_dir):
-    m = _digest_inputs(spark, sf_dir)[0]
-    out = None
-    for s in dg.SCOPES:
-        x = dg.format_lines(m, s, NOW).select("workspace_id", F.lit(s).alias("scope"),
-                                              F.col("section").cast("int").alias("section"),
-                                              F.col("ord").cast("long").alias("ord"), "line")
-        out = x if out is None else out.unionByName(x)
-    return out
+    x = dg.digest_lines(_digest_inputs(spark, sf_dir)[0], dg.SCOPES, NOW).where("scope IS NOT NULL")
+    return x.select("workspace_id", "scope", "section", F.col("ord").cast("long").alias("ord"), "line")
 
 
 @register("recent_commits", _sql("""SELECT workspace_id, sha, short_sha, msg AS message, committed_at, rank FROM (
@@ -233,15 +227,20 @@ PACK_BUDGETS = (256, 2048, 20_000)
 
 @register("pack_byte_budget", _sql(f"""
 SELECT workspace_id, max_bytes, section, CAST(ord AS INTEGER) AS ord, strlen(line) AS bytes, total > max_bytes AS truncated
-FROM (SELECT *, cum - 7 * ne AS size, max(cum - 7 * ne) OVER (PARTITION BY workspace_id) AS total FROM items_current),
+FROM (SELECT i.*, f.f0, f.f0 + cum - 7 * ne AS size, max(f.f0 + cum - 7 * ne) OVER (PARTITION BY i.workspace_id) AS total
+      FROM items_current i JOIN f0_current_{K.DEFAULT_MAX_BYTES} f ON f.workspace_id = i.workspace_id),
   (SELECT unnest({list(PACK_BUDGETS)})::BIGINT AS max_bytes)
 WHERE total <= max_bytes OR size + {dg.NOTE_BYTES} <= max_bytes""", ALL_DIGESTS))
 def q_pack_byte_budget(spark, sf_dir):
-    lines = reliable_checkpoint(dg.format_lines(_digest_inputs(spark, sf_dir)[0], "current", NOW))
+    """The lines that stay in the current digest of every workspace, at several budgets."""
+    m, ws, repos, commits = _digest_inputs(spark, sf_dir)
+    fixed = dg.empty_digest_bytes(ws, repos, commits, "current", NOW)
+    lines = reliable_checkpoint(dg.format_lines(m, "current", NOW).join(fixed.select("workspace_id"), "workspace_id", "left_semi"))
+    fixed = reliable_checkpoint(fixed)
     out = None
     for b in PACK_BUDGETS:
-        x = dg.pack_byte_budget(lines, b).select("workspace_id", F.lit(b).cast("long").alias("max_bytes"), "section",
-                                                 "ord", F.octet_length("line").cast("long").alias("bytes"), "truncated")
+        x = dg.pack_byte_budget(lines, b, fixed).select("workspace_id", F.lit(b).cast("long").alias("max_bytes"), "section",
+                                                        "ord", F.octet_length("line").cast("long").alias("bytes"), "truncated")
         out = x if out is None else out.unionByName(x)
     return out
 
@@ -250,15 +249,9 @@ def q_pack_byte_budget(spark, sf_dir):
     f"SELECT workspace_id, '{s}' AS scope, {b}::BIGINT AS max_bytes, digest, strlen(digest) AS bytes, n_lines, truncated "
     f"FROM digest_{s}_{b}" for s, b in DIGESTS), ALL_DIGESTS))
 def q_context_digest(spark, sf_dir):
-    m, ws, repos, commits = _digest_inputs(spark, sf_dir)
-    pool, m = dg.prepare_digests(m, NOW)
-    out = None
-    for s, b in DIGESTS:
-        d = dg.context_digest(m, ws, repos, commits, s, NOW, b, pool=pool)
-        x = d.select("workspace_id", F.lit(s).alias("scope"), F.lit(b).cast("long").alias("max_bytes"), "digest",
-                     F.octet_length("digest").cast("long").alias("bytes"), "n_lines", "truncated")
-        out = x if out is None else out.unionByName(x)
-    return out
+    d = dg.context_digests(*_digest_inputs(spark, sf_dir), DIGESTS, NOW)
+    return d.select("workspace_id", "scope", "max_bytes", "digest", F.octet_length("digest").cast("long").alias("bytes"),
+                    "n_lines", "truncated")
 
 
 HYD_BUDGET = K.DEFAULT_MAX_BYTES - len(K.FRAMING.encode("utf-8"))
