@@ -24,8 +24,10 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; release() or the driver's end deletes it."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared checkpoint folder; release() or the driver's end deletes it. The path names
+    its file system, also where the setting leaves that to the cluster's default."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
     _made.append((spark, path))
     return path
 
@@ -64,8 +66,21 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def row_key(df: DataFrame) -> Column:
-    """64-bit hash of a whole row; null and empty differ. Equal rows have equal keys."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").isNull() for c in df.columns])
+    """128-bit key of a whole row, as two independent hashes; null and empty differ. Equal rows have equal keys."""
+    cells = [F.col(f"`{c}`") for c in df.columns] + [F.col(f"`{c}`").isNull() for c in df.columns]
+    return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit("second"), *cells[::-1]).alias("b"))
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df lacks (letters of either case are the same)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def word_count(text: Column) -> Column:
@@ -94,7 +109,8 @@ def split_by_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[
     Both sides are told apart by a broadcast of the hash buckets that hold an id: ID_BUCKETS numbers at most. A
     hit is no proof (join the first part exactly); null keys go to the second part unless ids holds a null."""
     bucket = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(ID_BUCKETS)).cast("int")
-    hit = stored(ids.select(bucket(id_col).alias("__bucket")).distinct(), "id-buckets")
-    marked = df.withColumn("__bucket", bucket(key))
-    return (marked.join(F.broadcast(hit), "__bucket", "left_semi").drop("__bucket"),
-            marked.join(F.broadcast(hit), "__bucket", "left_anti").drop("__bucket"))
+    b, = private(df, "bucket")
+    hit = stored(ids.select(bucket(id_col).alias(b)).distinct(), "id-buckets")
+    marked = df.withColumn(b, bucket(key))
+    return (marked.join(F.broadcast(hit), b, "left_semi").drop(b),
+            marked.join(F.broadcast(hit), b, "left_anti").drop(b))

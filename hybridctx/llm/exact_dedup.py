@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hybridctx.llm.common import private
+
 
 def md5_128(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
@@ -52,13 +54,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The input rows that stay, all columns; of rows that repeat the id and text that stays, one does."""
-    def key(c, sha):  # narrow key of (id, text); a group's copies have different ids, so no key is hot
-        return F.xxhash64(c, c.isNull(), sha)
-
+    sha, nth, stay_id, stay_sha = private(docs, "sha", "nth", "stay_id", "stay_sha")
     stays = exact_dedup(docs, id_col, text_col, keep).where("kept") \
-        .select(key(F.col(id_col), F.col("text_sha256")).alias("__stay")).distinct()
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    out = docs.withColumn("__stay", key(F.col(id_col), sha)).join(stays, "__stay", "left_semi")
-    # the join leaves equal rows side by side, so numbering them needs no further shuffle
-    side = Window.partitionBy("__stay").orderBy("__stay")
-    return out.withColumn("__k", F.row_number().over(side)).where("__k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(F.col(id_col).alias(stay_id), F.col("text_sha256").alias(stay_sha)).distinct()
+    out = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    # a group's copies have different ids, so no pair of id and text is hot but where rows repeat both
+    out = out.join(stays, F.col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(sha) == F.col(stay_sha)), "left_semi")
+    side = Window.partitionBy(id_col, sha).orderBy(sha)
+    return out.withColumn(nth, F.row_number().over(side)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,16 +5,14 @@ corpus; no target exceeds cap x its source's size and the excess goes to the oth
 solved in closed form over the source table).
 
 Sampling: with rate r = target / source size, every document gets floor(r) certain whole copies. The rest of
-the target is filled by order sampling with the fractional inclusion probability p = r - floor(r): documents are
-ranked by Pareto's ratio of random odds to inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken from the
-smallest while the words fit; `importance` multiplies the inclusion odds of a document (unequal probabilities).
-With `refill`, documents larger than the words still missing are then set aside and the others ranked on, until no
-document is left that fits. One closing document per source, the one whose size is nearest to the words still
+the target is filled by order sampling with unequal inclusion probabilities whose expected words are that rest: with
+p = r - floor(r), a document has p_i = p + min(p, 1 - p) / 2 * (m - x_i), where x_i = size / (size + mean size of the source)
+and m is the mean of x over the source's words, so shorter documents are likelier and no p_i leaves (0, 1). Documents are
+ranked by Pareto's ratio of random odds to inclusion odds, (u / (1 - u)) / (p_i / (1 - p_i)), and taken in this order while
+the words fit; one that is larger than the words still missing is set aside and the ranking goes on behind it. `importance`
+multiplies a document's inclusion odds. One closing document per source, the one whose size is nearest to the words still
 missing, ends within its distance of the target. u comes from md5 of the id, so reruns agree.
 
-MIX_SQL states the rule without `refill`, so the registered query names refill=False; a source in which a long document
-ranks early can end far from its target there.
-
 Scale: no ranking gathers a source. Ranks are found by two levels: words are summed per (source, bucket of
 the rank), with sqrt(rows) buckets, running sums go over the bucket table, and single documents are ordered only
 inside the one bucket in which a source's target ends. The source table (one row per source) is the only thing
@@ -30,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridctx.llm.common import WORD_PATTERN, row_key, stored, unit_draw, unit_draw_sql, word_count
+from hybridctx.llm.common import WORD_PATTERN, private, row_key, stored, unit_draw, unit_draw_sql, word_count
 
 SALT = "mix:"
 
@@ -57,9 +55,9 @@ def source_targets(sources: DataFrame, cap: float = 3.0, weights: tuple[int, ...
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 importance: str | None = None, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3),
-                carry: str | None = None, refill: bool = True) -> DataFrame:
+                carry: str | None = None) -> DataFrame:
     """One row per input row: id_col, source, size, source_size, target, copies, taken (= size x copies), and the
-    column `carry` if one is named. refill goes on past a document that does not fit."""
+    column `carry` if one is named."""
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                        word_count(F.col(text_col)).alias("size"),
                        unit_draw(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), SALT).alias("u"),
@@ -67,7 +65,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        *([F.col(carry).alias("carried")] if carry else []))
     base = stored(base.withColumn("rid", F.monotonically_increasing_id()), "mix-base")
     t = _source_plan(base, cap, weights)
-    return _sample(base, t, importance is not None, refill).select(
+    return _sample(base, t, importance is not None).select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies",
         (F.col("size") * F.col("copies")).alias("taken"), *([F.col("carried").alias(carry)] if carry else []))
 
@@ -76,15 +74,26 @@ def _source_plan(base: DataFrame, cap: float, weights: tuple[int, ...]) -> DataF
     """Per source (t_source): size, target, whole copies, fractional p, words left to sample, rank buckets."""
     sums = stored(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")),
                   "mix-sources")
+    mean = sums.select(F.col("source").alias("m_source"), "source_size", (F.col("source_size") / F.col("n")).alias("mean"))
+    # the mean of x over words, in units of 2^-20: no order of summation shows
+    tilt = base.join(mean, _of_source("source", "m_source")).groupBy(F.col("source").alias("x_source")).agg(
+        (F.floor(F.sum(F.col("size") * _short(F.col("size"), F.col("mean"))) / F.greatest(F.first("source_size"), F.lit(1)) * 2 ** 20) / 2 ** 20).alias("m"))
     t = source_targets(sums, cap, weights).withColumnRenamed("source", "t_source") \
-        .join(sums.select("source", "n"), F.col("t_source").eqNullSafe(F.col("source"))).drop("source")
+        .join(sums.select("source", "n"), F.col("t_source").eqNullSafe(F.col("source"))).drop("source") \
+        .join(tilt, _of_source("t_source", "x_source")).drop("x_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     t = t.select("t_source", "source_size", "target", F.floor(rate).cast("long").alias("whole"),
-                 (rate - F.floor(rate)).alias("p"), F.ceil(F.sqrt("n")).cast("long").alias("buckets"))
+                 (rate - F.floor(rate)).alias("p"), (F.col("source_size") / F.col("n")).alias("mean"),
+                 F.coalesce("m", F.lit(0.0)).alias("m"), F.ceil(F.sqrt("n")).cast("long").alias("buckets"))
     return stored(t.withColumn("rest", F.when(F.col("p") > 0, F.col("target") - F.col("whole") * F.col("source_size"))
                                .otherwise(F.lit(0.0))), "mix-plan")
 
 
+def _short(size: Column, mean: Column) -> Column:
+    """Near 0 for documents far shorter than the mean, near 1 for far longer ones; 0 without words."""
+    return F.when(size > 0, size / (size + mean)).otherwise(F.lit(0.0))
+
+
 def _of_source(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
@@ -124,21 +133,23 @@ def _refill(d: DataFrame, got: DataFrame) -> tuple[DataFrame | None, DataFrame]:
             "g_source", (F.col("gap") - F.coalesce(F.col("words"), F.lit(0))).alias("gap")), "mix-gap")
 
 
-def _sample(base: DataFrame, t: DataFrame, weighted: bool, refill: bool) -> DataFrame:
-    # Pareto's ranking is odds(u) / odds(inclusion); within a source odds(p) is one constant, so the order is that
-    # of x = odds(u) / importance. Buckets are cut on x / (1 + x), which is u itself for equal odds.
-    x = F.col("u") / (F.lit(1.0) - F.col("u")) / F.col("imp") if weighted else None
-    v = F.when(F.col("imp") > 0, x / (F.lit(1.0) + x)).otherwise(F.lit(1.0)) if weighted else F.col("u")
-    d = base.withColumn("v", v).join(t, _of_source("source", "t_source")).drop("t_source")
+def _sample(base: DataFrame, t: DataFrame, weighted: bool) -> DataFrame:
+    # Pareto's ranking is x = odds(u) / odds(p_i); v = x / (1 + x) has the same order and lies between 0 and 1
+    p_i = F.when(F.col("p") > 0, F.col("p") + F.least("p", F.lit(1.0) - F.col("p")) / 2
+                 * (F.col("m") - _short(F.col("size"), F.col("mean"))))
+    x = F.col("u") / (F.lit(1.0) - F.col("u")) / (p_i / (F.lit(1.0) - p_i))
+    x = x / F.col("imp") if weighted else x
+    v = F.when((F.col("imp") > 0) if weighted else F.lit(True), F.when(F.col("p") > 0, x / (F.lit(1.0) + x))
+               .otherwise(F.col("u"))).otherwise(F.lit(1.0))
+    d = base.join(t, _of_source("source", "t_source")).drop("t_source").withColumn("v", v)
     d = d.withColumn("bucket", F.least(F.floor(F.col("v") * F.col("buckets")), F.col("buckets") - 1))
     d = stored(_cut(d).withColumn("chosen", F.col("chosen") & (F.col("p") > 0)), "mix-chosen")
     got = stored(d.groupBy(F.col("source").alias("g_source")).agg(
         (F.first("rest") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(F.lit(0)))).alias("gap")), "mix-gap")
-    if refill:
-        more, got = _refill(d, got)
-        if more is not None:
-            d = d.join(more.select(F.col("rid").alias("m_rid")), F.col("rid") == F.col("m_rid"), "left") \
-                .withColumn("chosen", F.col("chosen") | F.col("m_rid").isNotNull()).drop("m_rid")
+    more, got = _refill(d, got)
+    if more is not None:
+        d = d.join(more.select(F.col("rid").alias("m_rid")), F.col("rid") == F.col("m_rid"), "left") \
+            .withColumn("chosen", F.col("chosen") | F.col("m_rid").isNotNull()).drop("m_rid")
     # the closing document: nearest in size to the words still missing
     away = F.abs(F.col("size") - F.col("gap"))
     close = d.where(~F.col("chosen") & (F.col("p") > 0) & (F.col("size") > 0)) \
@@ -154,25 +165,26 @@ def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                **options) -> DataFrame:
     """The mix itself: the columns of docs, each row as often as it is taken. Rows that are equal in every column
     share their copies, as evenly as whole copies can be."""
-    keyed = docs.withColumn("__row", row_key(docs))
-    copies = mix_sources(keyed, id_col, text_col, source_col, carry="__row", **options) \
-        .groupBy("__row").agg(F.sum("copies").alias("__total"), F.count(F.lit(1)).alias("__rows"))
+    row, total, rows, k, n, copy = private(docs, "row", "total", "rows", "k", "copies", "copy")
+    keyed = docs.withColumn(row, row_key(docs))
+    copies = mix_sources(keyed, id_col, text_col, source_col, carry=row, **options) \
+        .groupBy(row).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
     # the join leaves equal rows side by side, so numbering them needs no further shuffle
-    side = Window.partitionBy("__row").orderBy("__row")
-    out = keyed.join(copies, "__row").withColumn("__k", F.row_number().over(side))
-    mine = F.floor(F.col("__total") / F.col("__rows")) + (F.col("__k") <= F.col("__total") % F.col("__rows")).cast("int")
-    return out.withColumn("__copies", mine).where("__copies > 0") \
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))) \
+    side = Window.partitionBy(row).orderBy(row)
+    out = keyed.join(copies, row).withColumn(k, F.row_number().over(side))
+    mine = F.floor(F.col(total) / F.col(rows)) + (F.col(k) <= F.col(total) % F.col(rows)).cast("int")
+    return out.withColumn(n, mine).where(F.col(n) > 0) \
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long")))) \
         .select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-#: The same in DuckDB (cap 3, weights 1, 2, 3): the plain order over every document of a source.
+#: The same in DuckDB (cap 3, weights 1, 2, 3): one walk over the documents of every source in the order of the ranking.
 MIX_SQL = f"""
-WITH base AS (
+WITH RECURSIVE base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD_PATTERN}')), 0)::BIGINT AS size,
          {unit_draw_sql("doc_id::VARCHAR", SALT)} AS u
   FROM documents),
-sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size)::DOUBLE / count(*) AS mean FROM base GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM sums),
 lv AS (SELECT *,
     (sum(source_size) OVER () - 3.0::DOUBLE * (sum(source_size) OVER o - source_size)::DOUBLE)::DOUBLE AS left_words,
@@ -181,21 +193,31 @@ lv AS (SELECT *,
 fu AS (SELECT *, left_words * w / left_w >= 3.0::DOUBLE * source_size AS is_full FROM lv),
 lvl AS (SELECT left_words AS lw, left_w AS ww FROM fu WHERE NOT is_full
         ORDER BY source_size * 3.0::DOUBLE / w, encode(source) NULLS LAST LIMIT 1),
-t AS (SELECT source, source_size,
+t AS (SELECT source, source_size, mean,
         (CASE WHEN is_full THEN 3.0::DOUBLE * source_size ELSE (SELECT lw FROM lvl) * w / (SELECT ww FROM lvl) END)
         AS target FROM fu),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 p AS (SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS p,
         CASE WHEN rate - floor(rate) > 0 THEN target - floor(rate)::BIGINT * source_size ELSE 0 END AS rest FROM r),
-d AS (SELECT base.*, source_size, target, whole, p, rest,
-        sum(size) OVER (PARTITION BY base.source ORDER BY u, size, doc_id) <= rest AND p > 0 AS chosen
+b AS (SELECT base.*, source_size, target, whole, p, rest,
+        CASE WHEN size > 0 THEN size::DOUBLE / (size::DOUBLE + mean) ELSE 0.0::DOUBLE END AS x
       FROM base JOIN p ON base.source IS NOT DISTINCT FROM p.source),
-g AS (SELECT source AS gs, any_value(rest) - sum(CASE WHEN chosen THEN size ELSE 0 END)::DOUBLE AS gap
-      FROM d GROUP BY source),
-c AS (SELECT d.source, arg_min(doc_id, {{'a': abs(size - gap), 'u': u, 'i': doc_id}}) AS close_id
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.gs
-      WHERE NOT chosen AND p > 0 AND size > 0 AND abs(size - gap) < gap GROUP BY d.source)
-SELECT d.doc_id, d.size, d.source_size, d.target,
-       (d.size * (d.whole + CASE WHEN d.chosen OR c.close_id IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.doc_id = c.close_id
+m AS (SELECT source AS ms, floor(sum(size * x) / any_value(source_size) * 1048576.0::DOUBLE) / 1048576.0::DOUBLE AS m
+      FROM b GROUP BY source),
+i AS (SELECT b.*, p + least(p, 1.0::DOUBLE - p) / 2 * (m - x) AS pi FROM b JOIN m ON source IS NOT DISTINCT FROM ms),
+o AS (SELECT *, u / (1.0::DOUBLE - u) / (pi / (1.0::DOUBLE - pi)) AS ratio FROM i WHERE p > 0 AND size > 0),
+d AS MATERIALIZED (SELECT *, ratio / (1.0::DOUBLE + ratio) AS v, row_number() OVER (PARTITION BY source ORDER BY
+        ratio / (1.0::DOUBLE + ratio), size, doc_id) AS n FROM o),
+walk AS (
+  SELECT DISTINCT source, 0::BIGINT AS n, rest AS gap, NULL::BIGINT AS doc_id, false AS chosen FROM d
+  UNION ALL
+  SELECT d.source, d.n, CASE WHEN d.size <= gap THEN gap - d.size ELSE gap END, d.doc_id, d.size <= gap
+  FROM walk JOIN d ON d.source IS NOT DISTINCT FROM walk.source AND d.n = walk.n + 1),
+g AS (SELECT source AS gs, min(gap) AS gap FROM walk GROUP BY source),
+c AS (SELECT d.source, arg_min(d.doc_id, {{'a': abs(d.size - g.gap), 'v': v, 'i': d.doc_id}}) AS close_id
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.gs JOIN walk ON walk.source IS NOT DISTINCT FROM d.source AND walk.n = d.n
+      WHERE NOT walk.chosen AND abs(d.size - g.gap) < g.gap GROUP BY d.source),
+taken AS (SELECT source AS ts, doc_id AS ti FROM walk WHERE chosen UNION ALL SELECT source, close_id FROM c)
+SELECT b.doc_id, b.size, b.source_size, b.target, (b.size * (b.whole + CASE WHEN ti IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+FROM b LEFT JOIN taken ON b.source IS NOT DISTINCT FROM ts AND b.doc_id = ti
 """

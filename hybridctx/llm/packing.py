@@ -44,6 +44,8 @@ class Packer:
     """Packs examples (key, ids, loss mask or None) in the order they come; emit() receives finished pieces."""
 
     def __init__(self, first_id: int, emit: Callable, max_tokens: int, max_segments: int, max_loss: int, pool: int):
+        if min(max_tokens, max_segments, max_loss) < 1:
+            raise ValueError("a sequence holds at least one token, one segment and one loss-bearing token")
         self.next_id, self.emit, self.pool = first_id, emit, pool
         self.limits = np.array([max_tokens, max_segments, max_loss], np.float64)
         # waiting examples in NumPy columns: demand vectors beside the objects they belong to

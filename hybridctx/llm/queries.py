@@ -23,9 +23,7 @@ def op2_token_counts(spark, sf_dir):
 
 
 def op3_pareto_mix(spark, sf_dir):
-    # MIX_SQL stops a source at the first document that does not fit
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), refill=False).select(
-        "doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_pairwise_quality(spark, sf_dir):

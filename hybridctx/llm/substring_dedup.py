@@ -183,12 +183,12 @@ def _path_batch(paths, keys, th, data, starts, ends, first, a) -> pa.RecordBatch
 
 
 def _window_batch(row, start, count, keys, th, hashes, first, a) -> pa.RecordBatch:
-    """All windows of the given runs (row, first window, windows) with their 96-bit hashes."""
+    """All windows of the given runs (row, first window, windows) with their 128-bit hashes: hashes are two independent
+    hashes of the words."""
     at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     row = np.repeat(row, count)
     pos = first[row - a] + at
-    w1 = W.windows(hashes, WIDTH).view(np.int64)[pos]
-    w2 = (W.windows(hashes, WIDTH, seed=1) >> np.uint64(32)).astype(np.int64)[pos]
+    w1, w2 = (W.windows(h, WIDTH, seed).view(np.int64)[pos] for seed, h in enumerate(hashes))
     n = len(row)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.ones(n, np.int32)), pa.array(keys[row]), pa.array(th[row]), pa.array(at), pa.nulls(n, pa.int64()),
@@ -229,7 +229,8 @@ def source_pass(source: DataFrame, per_doc: DataFrame) -> DataFrame:
                     yield _path_batch([c[here] for c in paths], keys, th, data, starts, ends, first, a)
                 here = _slice_rows(rest[0], a, b)
                 if here.start < here.stop:
-                    yield _window_batch(*(c[here] for c in rest), keys, th, hashes, first, a)
+                    two = hashes, W.hash_runs(data, starts, ends, 1)
+                    yield _window_batch(*(c[here] for c in rest), keys, th, two, first, a)
 
     maybe, _ = split_by_ids(source.select("key", "th", "text"), "key", per_doc, "o_key")
     rows = maybe.join(per_doc, F.col("key") == F.col("o_key")).select("key", "th", "text", "occ")
@@ -246,10 +247,11 @@ def _windows_again(source: DataFrame, failed: DataFrame) -> DataFrame:
             keys, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             row, start, stop = _flat(batch.column(3), "start", "stop")
             for a, b, data, offs in W.slices(batch.column(2)):
-                _, _, first, hashes = W.words(data, offs)
+                starts, ends, first, hashes = W.words(data, offs)
                 here = _slice_rows(row, a, b)
                 if here.start < here.stop:
-                    yield _window_batch(row[here], start[here], (stop - start)[here] - WIDTH + 1, keys, th, hashes, first, a)
+                    two = hashes, W.hash_runs(data, starts, ends, 1)
+                    yield _window_batch(row[here], start[here], (stop - start)[here] - WIDTH + 1, keys, th, two, first, a)
 
     rows = source.select("key", "th", "text").join(
         spans, (F.col("key") == F.col("o_key")) & (F.col("th") == F.col("o_th"))).select("key", "th", "text", "occ")

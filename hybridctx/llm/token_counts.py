@@ -65,18 +65,22 @@ def count_huge(tok, text: str, chunk_chars: int, overlap_chars: int) -> int:
     """Tokens of a text, never encoding much more than chunk_chars characters at once."""
     encode = lambda a, b: tok.encode(text[a:b], add_special_tokens=False)
     start, stop = 0, min(len(text), chunk_chars)
-    left, skip, total = encode(start, stop), 0, 0
+    left, skip, total, step = encode(start, stop), 0, 0, chunk_chars - overlap_chars
     while stop < len(text):
         overlap, found = overlap_chars, None
-        nxt = min(len(text), stop + chunk_chars - overlap_chars)
+        nxt = min(len(text), stop + step)
         while found is None and overlap < stop - start:
             at = stop - overlap
             right = encode(at, nxt)
             found = splice(left, start, right, at)
             overlap *= 2
-        if found is None or found[0] < skip:  # widened up to the left chunk itself: one larger chunk
+        if found is None or found[0] < skip:
+            # widened up to the left chunk itself: one larger chunk, and twice as large a step behind it, so that a run
+            # without a stable boundary is encoded again a few times, not once per chunk
             left, stop = encode(start, nxt), nxt
+            step = max(step, stop - start)
             continue
+        step = chunk_chars - overlap_chars
         total += found[0] - skip
         left, skip, start, stop = right, found[1], at, nxt
     return total + len(left) - skip

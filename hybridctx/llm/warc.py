@@ -23,6 +23,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,10 +35,11 @@ from hybridctx.llm.common import shared_path, stored
 
 VERSION = b"WARC/1.1"
 GZIP_MAGIC = b"\x1f\x8b\x08"
-#: A record of more bytes than this is refused as damaged (its length field cannot be trusted).
-MAX_RECORD_BYTES = 1 << 30
+#: Bytes in which a header block must end.
+MAX_HEADER_BYTES = 16 << 20
 READ_BYTES = 1 << 20
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)", re.I)
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -71,7 +73,11 @@ def record_bytes(key, payload: bytes, refers_to=None, is_revisit: bool = False,
 
 
 def _name(key) -> str:
-    return "null" if key is None else str(key)
+    """The key in a record id: null as the word, which no key is written as, others with unsafe characters quoted."""
+    if key is None:
+        return "null"
+    name = quote(str(key), safe="")
+    return "%6Eull" if name == "null" else name
 
 
 def member(record: bytes, level: int = 1) -> bytes:
@@ -132,11 +138,14 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload:
 class Window:
     """Bytes of a stream by absolute offset; keeps only what lies at or after `base`."""
 
-    def __init__(self, stream):
-        self.stream, self.base, self.data, self.ended = stream, 0, bytearray(), False
+    def __init__(self, stream, size: int | None = None):
+        self.stream, self.base, self.data, self.ended, self.size = stream, 0, bytearray(), False, size
 
     def fill(self, upto: int) -> bool:
-        """Have bytes up to the absolute offset `upto`; False if the stream ends before."""
+        """Have bytes up to the absolute offset `upto`; False if the stream ends before (known at once from its size, so a
+        wrong length field makes nobody read a whole file)."""
+        if self.size is not None and upto > self.size and self.size > self.end() + READ_BYTES:
+            return False
         while not self.ended and self.base + len(self.data) < upto:
             more = self.stream.read(READ_BYTES)
             if not more:
@@ -145,7 +154,7 @@ class Window:
         return self.base + len(self.data) >= upto
 
     def at(self, start: int, n: int) -> bytes:
-        self.fill(start + n)
+        self.fill(start + n if self.size is None else min(start + n, self.size))
         return bytes(self.data[start - self.base:start - self.base + n])
 
     def drop(self, before: int):
@@ -170,7 +179,7 @@ def parse_record(get, have) -> tuple[dict, bytes, int]:
         if not _VERSION_LINE.match(head):
             raise Damaged("no version line")
         sep = head.find(b"\r\n\r\n")
-        if sep >= 0 or len(head) < size or size > 1 << 20:
+        if sep >= 0 or len(head) < size or size > MAX_HEADER_BYTES:
             break
         size *= 4
     if sep < 0:
@@ -182,8 +191,8 @@ def parse_record(get, have) -> tuple[dict, bytes, int]:
             raise Damaged("header line without colon")
         fields[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
     length = fields.get("content-length", "")
-    if not length.isascii() or not length.isdigit() or int(length) > MAX_RECORD_BYTES:
-        raise Damaged("content length is no usable number")
+    if not length.isascii() or not length.isdigit():
+        raise Damaged("content length is no number")
     n = int(length)
     if not have(sep + 4 + n + 4):
         raise Damaged("record ends early")
@@ -199,7 +208,7 @@ def parse_record(get, have) -> tuple[dict, bytes, int]:
 
 def _gzip_record(w: Window, at: int) -> tuple[dict, bytes, int]:
     """The record of the gzip member at an offset and the member's length."""
-    z, out, pos = zlib.decompressobj(31), bytearray(), at
+    z, out, pos, limit = zlib.decompressobj(31), bytearray(), at, None
     try:
         while not z.eof:
             piece = w.at(pos, 1 << 16)
@@ -207,8 +216,14 @@ def _gzip_record(w: Window, at: int) -> tuple[dict, bytes, int]:
                 raise Damaged("member ends early")
             out += z.decompress(piece)
             pos += len(piece)
-            if len(out) > MAX_RECORD_BYTES:
-                raise Damaged("member is too long")
+            if limit is None:  # a member is as long as its header says
+                sep = out.find(b"\r\n\r\n", 0, MAX_HEADER_BYTES)
+                length = _LENGTH.search(out, 0, sep) if sep >= 0 else None
+                limit = sep + 8 + int(length.group(1)) if length else MAX_HEADER_BYTES if sep < 0 else sep
+                if sep < 0 and len(out) <= MAX_HEADER_BYTES:
+                    limit = None
+            if limit is not None and len(out) > limit:
+                raise Damaged("member holds more than its record")
     except zlib.error as e:
         raise Damaged(f"member is damaged: {e}") from e
     fields, block, n = parse_record(lambda a, k: bytes(out[a:a + k]), lambda k: len(out) >= k)
@@ -233,9 +248,10 @@ def _candidate(w: Window, at: int) -> int:
             return w.end()
 
 
-def salvage(stream) -> Iterator[tuple[str, int, int, dict | None, bytes | None, str | None]]:
-    """('record', start, end, fields, block, None) and ('gap', start, end, None, None, reason) in file order."""
-    w, at, bad, reason = Window(stream), 0, None, None
+def salvage(stream, size: int | None = None) -> Iterator[tuple[str, int, int, dict | None, bytes | None, str | None]]:
+    """('record', start, end, fields, block, None) and ('gap', start, end, None, None, reason) in file order. size: bytes of
+    the stream, if known."""
+    w, at, bad, reason = Window(stream, size), 0, None, None
     while w.fill(at + 1):
         try:
             gz = w.at(at, 3) == GZIP_MAGIC
@@ -272,8 +288,9 @@ def _row(path, kind, start, end, fields, block, reason, with_payload) -> tuple:
             int(size) if size.isdigit() else None, sha, block if with_payload else None)
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records and quarantined gaps of the archives named in manifest.path (see ARCHIVE_SCHEMA)."""
+def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool = True, complete: bool = False) -> DataFrame:
+    """Records and quarantined gaps of the archives named in manifest.path (see ARCHIVE_SCHEMA). With `complete`, the job
+    fails unless every archive gives the number of records that manifest.records names."""
     schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
                         ("reason", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()),
                         ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()),
@@ -281,30 +298,36 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
 
     def read(batches):
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, inner = file_system(path)
-                rows, held = [], 0
+                rows, held, n, gaps = [], 0, 0, []
                 with fs.open_input_stream(inner, compression=None) as f:
-                    for found in salvage(f):
+                    for found in salvage(f, fs.get_file_info(inner).size):
                         rows.append(_row(path, *found, with_payload))
+                        n += found[0] == "record"
+                        if found[0] == "gap" and len(gaps) < 5:
+                            gaps.append(f"{found[1]}-{found[2]} {found[5]}")
                         held += len(found[4] or b"") if with_payload else 0
                         if len(rows) >= 5000 or held > 16 << 20:
                             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
                             rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+                if complete and n != expected:
+                    raise ValueError(f"{path}: {n} of {expected} records could be read; first gaps: {gaps}")
 
     # one archive a task, dealt evenly (a hash of the paths would put several into one)
-    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, ARCHIVE_SCHEMA)
+    names = manifest.select("path", F.col("records") if complete else F.lit(None).cast("long").alias("records"))
+    return names.repartition(max(1, manifest.count())).mapInArrow(read, ARCHIVE_SCHEMA)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", min_revisit_bytes: int = 1000) -> DataFrame:
     """Write the pages as archives in the shared folder, read them back: key, payload_bytes, payload_digest,
-    record_type, refers_to."""
+    record_type, refers_to. Fails if a record written can't be read again."""
     spark = pages.sparkSession
     manifest = write_archives(pages, shared_path(spark, "warc"), key, payload, min_revisit_bytes=min_revisit_bytes)
     kind = pages.schema[key].dataType
-    page = lambda c: F.when(F.col(c) != "urn:page:null", F.expr(f"substring({c}, 10)")).cast(kind)
-    return read_archives(spark, manifest, with_payload=False).where("kind = 'record'").select(
+    page = lambda c: F.when(F.col(c) != "urn:page:null", F.url_decode(F.expr(f"substring({c}, 10)"))).cast(kind)
+    return read_archives(spark, manifest, with_payload=False, complete=True).where("kind = 'record'").select(
         page("record_id").alias(key), "payload_bytes", "payload_digest", "record_type",
         page("refers_to").alias("refers_to"))

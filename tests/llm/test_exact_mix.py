@@ -115,3 +115,22 @@ def test_mix_stage_rows(spark):
     assert mixing.mix_sources(empty).collect() == [] and mixing.keep_mixed(empty).collect() == []
     none = documents(spark, [(1, None), (2, " "), (3, "")])
     assert [r.taken for r in mixing.mix_sources(none).collect()] == [0, 0, 0]
+
+
+def test_columns_named_like_the_stages_own_come_back(spark):
+    names = ["__stay", "__k", "__row", "stay", "sha", "nth", "stay_id", "row", "total", "rows", "k", "copies", "copy", "Bucket"]
+    from hybridctx.llm import near_dup
+    rows = [(i, prose(i % 3, 30), "s", *[f"{n}{i}" for n in names]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for stage in (exact_dedup.keep_exact, near_dup.keep_one_per_group, mixing.keep_mixed):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert found and {tuple(r) for r in found} <= {tuple(r) for r in rows}
+
+
+def test_shorter_documents_are_likelier(spark):
+    rows = [(i, prose(i, 5 if i % 2 else 60), "a") for i in range(3000)] + [(9000 + i, prose(i, 100), "b") for i in range(300)]
+    got = mixing.mix_sources(documents(spark, rows)).where("source = 'a'").select("size", "copies").collect()
+    share = lambda n: sum(r.copies for r in got if r["size"] == n) / 1500
+    assert share(5) > share(60) + 0.05

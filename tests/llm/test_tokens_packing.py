@@ -126,3 +126,31 @@ def test_largest_dot_product_goes_first():
         p.add(key, np.zeros(n, np.uint32), None)
     # 6 tokens have the largest product, then 4 fill the sequence
     assert [(x[0], x[6]) for x in out] == [(2, 0), (3, 6)]
+
+
+def test_limits_below_one_are_refused():
+    import pytest
+    for limits in ((0, 4, 4), (4, 0, 4), (4, 4, 0)):
+        with pytest.raises(ValueError):
+            packing.Packer(0, lambda *x: None, *limits, pool=4)
+
+
+def test_one_long_run_is_encoded_a_few_times_only():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from hybridctx.llm import token_counts
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    class Counted:
+        n = 0
+
+        def encode(self, text, **options):
+            Counted.n += len(text)
+            return tok.encode(text, **options)
+
+    work = []
+    for size in (20_000, 80_000):
+        Counted.n, text = 0, "x" * size
+        assert token_counts.count_huge(Counted(), text, 2000, 64) == len(tok.encode(text, add_special_tokens=False).ids)
+        work.append(Counted.n / size)
+    assert work[1] < 2 * work[0] + 10

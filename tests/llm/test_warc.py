@@ -124,3 +124,34 @@ def test_plain_archives_and_payloads(spark):
     gaps = [r for r in rows_back if r.kind == "gap"]
     assert len(gaps) == 1 and gaps[0].start == 0 and gaps[0].end < size and gaps[0].reason == "no version line"
     assert sum(r.kind == "record" for r in rows_back) == 19
+
+
+def test_lengths_are_checked_against_the_stream_alone():
+    good = warc.record_bytes(1, b"x" * 40)
+    huge = good.replace(b"Content-Length: 40", b"Content-Length: 99999999999999999999999")
+    for size in (None, 3 * len(good) + 24):
+        for make in (lambda r: r, warc.member):
+            data = make(good) + make(huge) + make(good)
+            got = list(warc.salvage(io.BytesIO(data), len(data) if size else None))
+            assert [g[0] for g in got] == ["record", "gap", "record"]
+    # a header block beyond a mebibyte is no damage
+    wide = warc.record_bytes(2, b"y" * 9, uri="u" * (2 << 20))
+    for make in (lambda r: r, warc.member):
+        data = make(wide) + make(good)
+        assert [g[0] for g in warc.salvage(io.BytesIO(data), len(data))] == ["record", "record"]
+
+
+def test_lost_records_fail_the_round_trip(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    pages = spark.createDataFrame([(i, f"page {i}") for i in range(20)], "page_id long, html string").coalesce(1)
+    manifest = warc.write_archives(pages, shared_path(spark, "warc-test"))
+    assert warc.read_archives(spark, manifest, complete=True).count() == 20
+    with pytest.raises(Exception, match="20 of 21 records"):
+        warc.read_archives(spark, manifest.withColumn("records", F.col("records") + 1), complete=True).count()
+
+
+def test_odd_string_keys_come_back(spark):
+    keys = ["null", None, "a\r\nWARC-Type: x", "<b>", "+ %41", "ü/ß", ""]
+    pages = spark.createDataFrame([(k, "h" * 1000) for k in keys], "page_id string, html string")
+    got = warc.round_trip(pages).collect()
+    assert sorted(map(str, (r.page_id for r in got))) == sorted(map(str, keys)) and None in [r.page_id for r in got]
