@@ -176,3 +176,26 @@ def test_paths_compact_into_long_spans(spark):
     long = max(spans, key=lambda s: s.stop - s.start)
     # interior segments form one path: a few spans cover 3000 words
     assert long.stop - long.start > 2900 and len(spans) < 60
+
+
+def test_near_components_of_a_large_edited_group(spark):
+    """Edited copies of one text and of its copies, at every similarity: the last step meets many pairs that hardly miss."""
+    r = random.Random(11)
+    base = prose(77, 90).split()
+    rows, texts = [], [base]
+    for i in range(260):
+        t = list(texts[0] if i % 3 else r.choice(texts))
+        for _ in range(r.choice([1, 2, 3, 4, 5, 6, 8])):
+            at = r.randrange(len(t))
+            if r.random() < 0.3:
+                del t[at]
+            else:
+                t[at] = r.choice(["edit", "other", f"w{r.randrange(400)}"])
+        texts.append(t)
+        rows.append((i, " ".join(t)))
+    sets = {i: shingles(t) for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b
+             and 100 * (n := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    want = components(sets, edges)
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) > 20
