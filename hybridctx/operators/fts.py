@@ -73,25 +73,57 @@ class TextIndex:
     lists: DataFrame
     stats: DataFrame
     ended: DataFrame | None = None
+    blocks: DataFrame | None = None  # see term_blocks; needed by fts_bounded alone
 
 
 def position_lists(t: DataFrame) -> DataFrame:
     """Of tokenised rows (tokenized_memories): one row per (workspace, term, row): h (hash of workspace and term, which stored
     lists are sorted by), the ascending positions in content and in tags, the row's length dl and whether it is live."""
-    p = _explode_postings(t.withColumn("live", F.col("archived_at").isNull()), ["dl", "live"])
+    extra = ["dl", "live"] + [c for c in ("block",) if c in t.columns]
+    p = _explode_postings(t.withColumn("live", F.col("archived_at").isNull()), extra)
 
     def at(c):
         return F.sort_array(F.collect_list(F.when(F.col("col") == c, F.col("pos"))))
 
-    return p.groupBy(WS, KEY, "term", "dl", "live") \
+    return p.groupBy(WS, KEY, "term", *extra) \
         .agg(at(CONTENT_COL).alias("content_at"), at(TAGS_COL).alias("tags_at")) \
-        .select(term_key().alias("h"), WS, "term", KEY, "content_at", "tags_at", "dl", "live")
+        .select(term_key().alias("h"), WS, "term", KEY, "content_at", "tags_at", *extra)
 
 
 def term_key():
     return F.xxhash64(WS, "term")
 
 
+#: Rows of a workspace that share a block, about.
+BLOCK_ROWS = 512
+
+
+def with_blocks(t: DataFrame, rows: int, epoch: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Tokenised rows with `block`: rows of one epoch and about one length (steps of a quarter, as BM25 weighs by length), split
+    by a hash of the row id when there are many (rows: how many the epoch brings)."""
+    split = -(-rows // (16 * block_rows)) or 1
+    length = F.floor(F.log2(F.col("dl") + F.lit(1.0)) * 3).cast("long")
+    return t.withColumn("block", (F.lit(epoch).cast("long") * 128 + length) * (1 << 20) + F.pmod(F.xxhash64(KEY), F.lit(min(split, 1 << 20))))
+
+
+def term_blocks(lists: DataFrame) -> DataFrame:
+    """Per term and block, the most occurrences in a row and the shortest row: what a row of the block can score at most."""
+    return lists.groupBy("h", WS, "term", "block").agg(
+        F.max(F.size("content_at") + F.size("tags_at")).cast("long").alias("max_tf"), F.min("dl").alias("min_dl"))
+
+
+def inverse_document_frequency(n_docs, n_hit):
+    n, N = n_hit.cast("double"), n_docs.cast("double")
+    idf = F.log((N - n + 0.5) / (n + 0.5))
+    return F.when(idf <= 0.0, F.lit(K.BM25_IDF_FLOOR)).otherwise(idf)
+
+
+def contribution(idf, tf, dl, avgdl):
+    """What one phrase adds to a row's score."""
+    norm = F.lit(K.BM25_K1) * (F.lit(1.0 - K.BM25_B) + F.lit(K.BM25_B) * dl / avgdl)
+    return idf * ((tf.cast("double") * F.lit(K.BM25_K1 + 1.0)) / (tf.cast("double") + norm))
+
+
 def list_postings(lists: DataFrame) -> DataFrame:
     """The postings (workspace_id, memory_id, col, pos, term) that position lists stand for."""
     cols = F.array(F.struct(F.lit(CONTENT_COL).alias("col"), F.col("content_at").alias("at")),
@@ -154,7 +186,7 @@ def phrase_hits(qterms: DataFrame, index: TextIndex, max_broadcast_rows: int = D
         j = salted.join(terms, [WS, "term", "_salt"]).drop("_salt")
     if index.ended is not None:  # few next to the lists, and met only by the lists of the query's terms
         j = j.join(index.ended, [KEY, "epoch"], "left_anti")
-    row = ["qid", WS, "phrase_no", KEY, "dl", "live"]
+    row = ["qid", WS, "phrase_no", KEY, "dl", "live"] + [c for c in ("block",) if c in index.lists.columns]
     one = j.where("n_terms = 1").select(*row, (F.size("content_at") + F.size("tags_at")).cast("long").alias("tf"))
     starts = [F.transform(c, lambda p: p - F.col("offset")).alias(c) for c in ("content_at", "tags_at")]
     # (query, phrase, offset) is unique and so is a row's list of a term: a row that has all terms joins n_terms times
@@ -183,12 +215,8 @@ def bm25_scores(hits: DataFrame, qterms: DataFrame, ws_stats: DataFrame) -> Data
     # one row per workspace: broadcast when the workspace count is within the bound (checked)
     x = (hits.join(n_hit, ["qid", "phrase_no"])
          .join(broadcast_if_small(ws_stats.select(WS, "n_docs", "avgdl"), 2_000_000), WS))
-    n, N = F.col("n_hit").cast("double"), F.col("n_docs").cast("double")
-    idf0 = F.log((N - n + 0.5) / (n + 0.5))
-    idf = F.when(idf0 <= 0.0, F.lit(K.BM25_IDF_FLOOR)).otherwise(idf0)
-    tf = F.col("tf").cast("double")
-    norm = F.lit(K.BM25_K1) * (F.lit(1.0 - K.BM25_B) + F.lit(K.BM25_B) * F.col("dl") / F.col("avgdl"))
-    x = x.withColumn("_s", idf * ((tf * F.lit(K.BM25_K1 + 1.0)) / (tf + norm)))
+    idf = inverse_document_frequency(F.col("n_docs"), F.col("n_hit"))
+    x = x.withColumn("_s", contribution(idf, F.col("tf"), F.col("dl"), F.col("avgdl")))
     per_doc = x.groupBy("qid", WS, KEY, "live").agg(F.sum("_s").alias("score"),
                                                    F.count(F.lit(1)).alias("_matched"))
     return (per_doc.join(phrases, "qid").where(F.col("_matched") == F.col("n_phrases"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hybridctx import constants as K
 from hybridctx.functions.columns import recency_importance, split_tags
-from hybridctx.operators import fts, recall as rc, vectors
+from hybridctx.operators import fts, fts_bounded, recall as rc, vectors
 from hybridctx.operators.store import live_memories
 from hybridctx.plans import fixtures as fx
 from hybridctx.plans.oracle_fixtures import with_fixtures
@@ -46,7 +46,7 @@ def _search_sql(body: str, upto: list[str], mem_where: str | None = None) -> str
 _indexes: dict[tuple, str] = {}
 
 
-def _index(spark, sf_dir):
+def stored_index(spark, sf_dir):
     """The stored index of the fixture rows: written once per session and table folder, then only read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
@@ -128,7 +128,17 @@ def q_bm25_scores(spark, sf_dir):
     "SELECT qid, workspace_id, memory_id, fts_rank, round(score, 9) AS score FROM fts_top", FTS_ALL))
 def q_fts_topk(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
-    r = fts.fts_topk(q, None, 20, _index(spark, sf_dir))
+    r = fts.fts_topk(q, None, 20, stored_index(spark, sf_dir))
+    return r.select("qid", "workspace_id", "memory_id", F.col("fts_rank").cast("long").alias("fts_rank"),
+                    F.round("score", 9).alias("score"))
+
+
+@register("fts_topk_bounded", _search_sql(
+    "SELECT qid, workspace_id, memory_id, fts_rank, round(score, 9) AS score FROM fts_top", FTS_ALL))
+def q_fts_topk_bounded(spark, sf_dir):
+    """fts_topk from blocks with score bounds."""
+    q, _ = _inputs(spark, sf_dir)
+    r, _ = fts_bounded.fts_topk_bounded(q, stored_index(spark, sf_dir))
     return r.select("qid", "workspace_id", "memory_id", F.col("fts_rank").cast("long").alias("fts_rank"),
                     F.round("score", 9).alias("score"))
 
@@ -151,7 +161,7 @@ def _fusion_sql(body: str, with_cands: bool = False, more: dict | None = None, f
 def q_rrf_fuse(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
     v = vectors.vector_topk(q, m).withColumnRenamed("vec_rank", "rank")
-    t = fts.fts_topk(q, None, index=_index(spark, sf_dir)).withColumnRenamed("fts_rank", "rank")
+    t = fts.fts_topk(q, None, index=stored_index(spark, sf_dir)).withColumnRenamed("fts_rank", "rank")
     return rc.rrf_fuse([v, t]).select("qid", "workspace_id", "memory_id", F.round("rrf", 12).alias("rrf"))
 
 
@@ -160,7 +170,7 @@ def q_rrf_fuse(spark, sf_dir):
 def q_fetch_candidates(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
     v = vectors.vector_topk(q, m).withColumnRenamed("vec_rank", "rank")
-    t = fts.fts_topk(q, None, index=_index(spark, sf_dir)).withColumnRenamed("fts_rank", "rank")
+    t = fts.fts_topk(q, None, index=stored_index(spark, sf_dir)).withColumnRenamed("fts_rank", "rank")
     c = rc.fetch_candidates(rc.rrf_fuse([v, t]), m, q)
     return c.select("qid", "workspace_id", "memory_id", "type", F.round("rrf", 12).alias("rrf"))
 
@@ -176,7 +186,7 @@ RECALL_BODY = f"""SELECT qid, rank, memory_id, type, content, tags, created_at,
 @register("recall", _fusion_sql(RECALL_BODY, True))
 def q_recall(spark, sf_dir):
     q, m = _inputs(spark, sf_dir)
-    r = rc.recall(q, m, NOW, _index(spark, sf_dir))
+    r = rc.recall(q, m, NOW, stored_index(spark, sf_dir))
     return r.select("qid", F.col("rank").cast("long").alias("rank"), "memory_id", "type", "content", "tags",
                     "created_at", F.round("score", 9).alias("score"))
 
@@ -189,14 +199,14 @@ FROM ({RECALL_BODY})""", True))
 def q_recall_to_json(spark, sf_dir):
     """The JSON arrays, parsed again: their order and every field must be those of the ranked rows."""
     q, m = _inputs(spark, sf_dir)
-    j = rc.recall_to_json(rc.recall(q, m, NOW, _index(spark, sf_dir)))
+    j = rc.recall_to_json(rc.recall(q, m, NOW, stored_index(spark, sf_dir)))
     items = j.select("qid", F.posexplode(F.from_json("json", JSON_ITEMS)).alias("pos", "r")).select("qid", "pos", "r.*")
     return items.withColumn("pos", F.col("pos").cast("long")).withColumn("score", F.round("score", 9))
 
 
 CHECKED_SQL = """SELECT *, CASE
-  WHEN query_text IS NULL OR regexp_replace(query_text, '\\s', '', 'g') = '' THEN 'query must not be empty'
-  WHEN k < 1 OR k > 20 THEN 'k must be between 1 and 20' END AS reject_reason
+  WHEN query_text IS NULL OR regexp_replace(query_text, '\\s', '', 'g') = '' THEN 'blank_query'
+  WHEN k < 1 OR k > 20 THEN 'k_out_of_range' END AS reject_reason
 FROM (SELECT * REPLACE (CAST(qid % 23 - 1 AS INTEGER) AS k) FROM fx_queries)"""
 
 
@@ -208,7 +218,7 @@ def q_recall_requests(spark, sf_dir):
     """Requests with k from -1 to 21: the bad ones come back with their reason, the others are answered."""
     q, m = _inputs(spark, sf_dir)
     found, rejected = rc.recall_requests(q.withColumn("k", ((F.col("qid") % 23) - 1).cast("int")), m, NOW,
-                                         index=_index(spark, sf_dir))
+                                         index=stored_index(spark, sf_dir))
     n = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_results"))
     good = q.select("qid").join(rejected.select("qid"), "qid", "left_anti")
     return good.join(n, "qid", "left").select("qid", F.lit(None).cast("string").alias("reject_reason"),
@@ -257,7 +267,7 @@ def q_recall_eval(spark, sf_dir):
     labelled = live_memories(m).select("memory_id", "workspace_id").join(v.select("memory_id", "label"), "memory_id")
     rel = (q.select("qid", "item_id", "workspace_id").join(qv, "item_id").join(labelled, ["workspace_id", "label"])
            .select("qid", "memory_id"))
-    e = rc.recall_eval(rc.recall(q, m, NOW, _index(spark, sf_dir)), rel)
+    e = rc.recall_eval(rc.recall(q, m, NOW, stored_index(spark, sf_dir)), rel)
     return e.select("qid", F.col("n_results").cast("long").alias("n_results"),
                     F.col("n_relevant_found").cast("long").alias("n_relevant_found"),
                     F.col("hit").cast("int").alias("hit"), F.round("rr", 9).alias("rr"))
@@ -275,14 +285,14 @@ GROUP BY a.qid, v.value""", True, {
 def q_recall_pair_order(spark, sf_dir):
     """Up to 20 results of every query: does their order follow age (newer first) and importance?"""
     q, m = _inputs(spark, sf_dir)
-    r = rc.recall(q.withColumn("k", F.lit(20)), m, NOW, _index(spark, sf_dir))
+    r = rc.recall(q.withColumn("k", F.lit(20)), m, NOW, stored_index(spark, sf_dir))
     found = r.join(m.select("memory_id", "importance"), "memory_id")
     return rc.pair_order(found, ["created_at", "importance"]).where("agree + disagree + equal > 0")
 
 
 @register("refresh_index", _search_sql("SELECT workspace_id, memory_id, col, pos, term FROM postings",
                                       ["toks", "postings"], mem_where="m.memory_id % 13 <> 0"))
-def q_refresh_index(spark, sf_dir):
+def q_refreshstored_index(spark, sf_dir):
     """Index of (rows with id % 3 <> 0) refreshed with the other rows inserted and ids % 13 = 0 deleted."""
     m = fx.fx_memories(spark, sf_dir)
     base = fts.build_postings(m.where(F.col("memory_id") % 3 != 0))

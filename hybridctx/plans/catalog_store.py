@@ -76,10 +76,10 @@ def q_get_workspaces(spark, sf_dir):
     return r.select("id", "root_path", "name", "created_at")
 
 
-VALIDATE_SQL = """CASE WHEN content IS NULL OR regexp_replace(content, '\\s', '', 'g') = '' THEN 'content must not be empty'
-  WHEN type IS NULL OR type NOT IN ('note', 'decision', 'gotcha', 'todo') THEN 'type must be one of: note, decision, gotcha, todo'
+VALIDATE_SQL = """CASE WHEN content IS NULL OR regexp_replace(content, '\\s', '', 'g') = '' THEN 'blank_content'
+  WHEN type IS NULL OR type NOT IN ('note', 'decision', 'gotcha', 'todo') THEN 'unknown_type'
   WHEN importance IS NULL OR isnan(importance) OR importance < 0.0 OR importance > 1.0
-    THEN 'importance must be between 0.0 and 1.0' END"""
+    THEN 'importance_out_of_range' END"""
 
 
 @register("validate_memories", with_fixtures(
@@ -94,8 +94,8 @@ def _vq(spark, sf_dir):
 
 
 @register("validate_queries", with_fixtures("""SELECT qid, CASE
-  WHEN query_text IS NULL OR regexp_replace(query_text, '\\s', '', 'g') = '' THEN 'query must not be empty'
-  WHEN k IS NULL OR k < 1 OR k > 20 THEN 'k must be between 1 and 20' END AS reject_reason
+  WHEN query_text IS NULL OR regexp_replace(query_text, '\\s', '', 'g') = '' THEN 'blank_query'
+  WHEN k IS NULL OR k < 1 OR k > 20 THEN 'k_out_of_range' END AS reject_reason
 FROM (SELECT qid, query_text, CAST(qid % 23 - 1 AS INTEGER) AS k FROM fx_queries)""", "fx_queries"))
 def q_validate_queries(spark, sf_dir):
     return st.validate_queries(_vq(spark, sf_dir)).select("qid", "reject_reason")
@@ -188,7 +188,7 @@ WHERE ({VALIDATE_SQL}) IS NULL AND workspace_id IN (SELECT id FROM fx_known_work
 @register("remember_batch", with_fixtures(f"""
 SELECT conv_id, turn, id, created_at, 'accepted' AS status FROM ({ACCEPTED_SQL})
 UNION ALL
-SELECT conv_id, turn, NULL, NULL, coalesce({VALIDATE_SQL}, 'unknown workspace') FROM fx_candidates
+SELECT conv_id, turn, NULL, NULL, coalesce({VALIDATE_SQL}, 'unknown_workspace') FROM fx_candidates
 WHERE ({VALIDATE_SQL}) IS NOT NULL OR workspace_id NOT IN (SELECT id FROM fx_known_workspaces)""",
     "fx_candidates", "fx_known_workspaces"))
 def q_remember_batch(spark, sf_dir):

@@ -68,7 +68,7 @@ def remember_batch(df: DataFrame, workspaces: DataFrame, now_ms: int, embedder=N
         .withColumn("importance", F.coalesce(F.col("importance").cast("double"), F.lit(K.DEFAULT_IMPORTANCE)))
     v = validate_memories(x)
     orphans = orphan_memories(v.where(F.col("reject_reason").isNull()), workspaces, ws_key) \
-        .withColumn("reject_reason", F.lit("unknown workspace"))
+        .withColumn("reject_reason", F.lit(K.UNKNOWN_WORKSPACE))
     rejected = v.where(F.col("reject_reason").isNotNull()).unionByName(orphans)
     ok = known_memories(v.where(F.col("reject_reason").isNull()), workspaces, ws_key).drop("reject_reason")
     keys = key_cols or [c for c in ("workspace_id", "content", "type", "tags", "importance") if c in ok.columns]
@@ -91,9 +91,3 @@ def remember_batch(df: DataFrame, workspaces: DataFrame, now_ms: int, embedder=N
 def append_memories(df: DataFrame, path: str) -> None:
     """Append to the memories table, one folder per workspace."""
     conform(df, MEMORY_SCHEMA).write.mode("append").partitionBy("workspace_id").parquet(path)
-
-
-def overwrite_partitions(df: DataFrame, path: str, partition_col: str = "workspace_id") -> None:
-    """Rewrite only the partitions present in df (dynamic partition overwrite)."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))

@@ -6,6 +6,7 @@ overwrites them. An epoch holds what changed and nothing else:
 
   memories/epoch=E   the rows as given (the embedding among them)
   lists/epoch=E      their position lists (operators.fts.position_lists), sorted by the hash of workspace and term
+  blocks/epoch=E     bounds of the lists by block of rows (operators.fts.term_blocks)
   docs/epoch=E       (memory_id, workspace_id, dl, live) of the same rows
   ended/epoch=E      (memory_id, epoch): versions of rows that this change replaced or deleted, by the epoch they came in
   stats/epoch=E      (workspace_id, docs, tokens): signed sums, new rows less ended ones
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hybridctx.operators.fts import TextIndex, position_lists, tokenized_memories
+from hybridctx.operators.fts import TextIndex, position_lists, term_blocks, tokenized_memories, with_blocks
 from hybridctx.session import reliable_checkpoint
 
 WS, KEY = "workspace_id", "memory_id"
@@ -92,6 +93,8 @@ def _write(df: DataFrame, store: str, table: str, epoch: int) -> None:
 def _write_lists(lists: DataFrame, store: str, epoch: int) -> None:
     # the row id splits the range of a term that a hot workspace holds very often
     _write(lists.repartitionByRange("h", KEY).sortWithinPartitions("h", KEY), store, "lists", epoch)
+    written = lists.sparkSession.read.parquet(f"{store}/lists/epoch={epoch}")
+    _write(term_blocks(written).repartitionByRange("h").sortWithinPartitions("h"), store, "blocks", epoch)
 
 
 def commit(spark: SparkSession, store: str, changed: DataFrame | None = None, deleted: DataFrame | None = None,
@@ -119,7 +122,7 @@ def commit(spark: SparkSession, store: str, changed: DataFrame | None = None, de
         new = _read(spark, store, "memories", epochs[-1:]).drop("epoch").where("false")
     _write(new.select(*(changed.columns if changed is not None else new.columns)), store, "memories", epoch)
     new = spark.read.parquet(f"{store}/memories/epoch={epoch}")
-    t = reliable_checkpoint(tokenized_memories(new))
+    t = reliable_checkpoint(with_blocks(tokenized_memories(new), new.count(), epoch))
     docs = t.select(KEY, WS, "dl", F.col("archived_at").isNull().alias("live"))
     _write_lists(position_lists(t), store, epoch)
     _write(docs, store, "docs", epoch)
@@ -151,7 +154,8 @@ def read_stats(spark: SparkSession, store: str) -> DataFrame:
 def open_store(spark: SparkSession, store: str) -> TextIndex:
     """The text index of all committed changes, as fts_topk and recall take it."""
     epochs = _visible(commits(spark, store))
-    return TextIndex(_read(spark, store, "lists", epochs), read_stats(spark, store), _read(spark, store, "ended", epochs))
+    return TextIndex(_read(spark, store, "lists", epochs), read_stats(spark, store), _read(spark, store, "ended", epochs),
+                     _read(spark, store, "blocks", epochs).drop("epoch"))
 
 
 def current_lists(spark: SparkSession, store: str) -> DataFrame:
@@ -180,6 +184,6 @@ def vacuum(spark: SparkSession, store: str) -> None:
     first = _visible(done)[0] if done else 0
     for c in done:
         if c.epoch < first:
-            for table in ("memories", "lists", "docs", "ended", "stats"):
+            for table in ("memories", "lists", "blocks", "docs", "ended", "stats"):
                 fs, p = _path(spark, f"{store}/{table}/epoch={c.epoch}")
                 fs.delete(p, True)

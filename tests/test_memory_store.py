@@ -193,3 +193,24 @@ def test_pair_order_against_pairs(spark):
     got = {(x.qid, x.value): (x.agree, x.disagree, x.equal) for x in rc.pair_order(df, ["a", "b"]).collect()}
     assert {k: v for k, v in want.items() if sum(v)} == {k: v for k, v in got.items() if sum(v)}
     assert rc.pair_order(df.where("false"), ["a"]).collect() == []
+
+
+def test_bounded_search_equals_and_skips_blocks(spark):
+    from hybridctx.operators import fts_bounded
+    r = random.Random(3)
+    texts = [("common " * (1 + i % 4 if i % 97 else 9) + " ".join(f"w{r.randrange(60)}" for _ in range(3 + i % 80))) for i in range(3000)]
+    mem = spark.createDataFrame([(i, "hot" if i % 8 else "b", t, None if i % 5 else "common", 1, 7 if i % 11 == 0 else None)
+                                 for i, t in enumerate(texts)], COLS)
+    path = new_store(spark)
+    store.commit(spark, path, mem.where("memory_id < 2600"))
+    store.commit(spark, path, mem.where("memory_id >= 2500"), mem.where("memory_id % 50 = 0").select("memory_id"))
+    now = mem.where("memory_id % 50 <> 0")
+    q = spark.createDataFrame([(i, w, t) for i, (w, t) in enumerate((w, t) for w in ("hot", "b", "none") for t in (
+        "common", "common w3", "w1 w2 w3", "common-common w5", "w7-w8", "nowhere common", "common common", "& -"))],
+        "qid long, workspace_id string, query_text string")
+    index = store.open_store(spark, path)
+    got, report = fts_bounded.fts_topk_bounded(q, index, 5)
+    cols = ["qid", "memory_id", "fts_rank", F.round("score", 9).alias("s")]
+    assert sorted(got.select(cols).collect()) == sorted(fts.fts_topk(q, now, 5).select(cols).collect())
+    blocks = {x.qid: (x.blocks, x.scored) for x in report.collect()}
+    assert blocks[0][1] < blocks[0][0] / 2, blocks  # a frequent term: most blocks are skipped
