@@ -207,10 +207,11 @@ _TYPES = ", ".join(f"'{w}'" for w in K.GEN_TYPES)
 
 @register("generate_memories", f"""SELECT doc_id AS memory_id, [{_TYPES}][doc_id % 4 + 1] AS type,
   [{_VERBS}][doc_id % 6 + 1] || ' ' || [{_NOUNS}][doc_id % 8 + 1] || ' ' || [{_OBJS}][doc_id % 5 + 1]
-    || '. Memory #' || CAST(doc_id AS VARCHAR) || '.' AS content,
+    || '. Memory #' || CAST(doc_id AS VARCHAR) || '.' || coalesce(chr(10) || text, '') AS content, source AS workspace_id,
   CAST(doc_id % 10 AS DOUBLE) / 10.0::DOUBLE AS importance, {K.FIXTURE_NOW_MS} - doc_id * 1000 AS created_at
 FROM documents""")
 def q_generate_memories(spark, sf_dir):
-    ids = fx.table(spark, sf_dir, "documents", spread=False).select("doc_id")
-    g = io.generate_memories_for(ids, id_col="doc_id")
-    return g.select("memory_id", "type", "content", "importance", "created_at")
+    """A load corpus over the documents' own texts and sources."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    g = io.generate_memories_for(docs, id_col="doc_id", text_col="text", workspace_col="source")
+    return g.select("memory_id", "workspace_id", "type", "content", "importance", "created_at")

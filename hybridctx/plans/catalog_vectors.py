@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hybridctx import constants as K
 from hybridctx.functions.columns import dot_similarity, l2_normalize, l2_normalize_clamp
 from hybridctx.operators import vectors as vx
 from hybridctx.plans import fixtures as fx
+from hybridctx.plans.catalog_store import VALIDATE_SQL
 from hybridctx.plans.oracle_fixtures import with_fixtures
 from hybridctx.plans.registry import register
 from hybridctx.plans.sqlparts import dot, tok
+from hybridctx.sources import io
 
 
 def _r6(v):
@@ -144,6 +147,27 @@ def q_embed_corpus(spark, sf_dir):
     return e.select("key", F.size("embedding").alias("dim"), _r6("embedding").alias("embedding"))
 
 
+_TWICE = "SELECT * FROM fx_candidates UNION ALL SELECT * REPLACE (turn + 1000 AS turn) FROM fx_candidates"
+
+
+@register("remember_embedded", with_fixtures(f"""
+SELECT c.conv_id, c.turn, c.workspace_id, 64 AS dim, {_r6_sql("""
+    list_transform(range(64), lambda i: coalesce(e.m[i], 0)::FLOAT / coalesce(e.norm, 1e-9::FLOAT))""")} AS embedding
+FROM accepted c LEFT JOIN e ON e.content = c.content""", "fx_candidates", "fx_known_workspaces", extra={
+    "accepted": f"SELECT * FROM ({_TWICE}) WHERE ({VALIDATE_SQL}) IS NULL AND workspace_id IN (SELECT id FROM fx_known_workspaces)",
+    "toks": """SELECT content, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+')) AS t
+  FROM (SELECT DISTINCT content FROM fx_candidates WHERE content IS NOT NULL)""",
+    "n": "SELECT content, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, count(*) AS n FROM toks GROUP BY ALL",
+    "e": """SELECT content, map_from_entries(list((b, n))) AS m, greatest(CAST(sqrt(sum(n * n)::DOUBLE) AS FLOAT), 1e-9::FLOAT) AS norm
+  FROM n GROUP BY content"""}))
+def q_remember_embedded(spark, sf_dir):
+    """remember_batch with an embedder; every text comes twice and is embedded once."""
+    c = fx.fx_candidates(spark, sf_dir)
+    both = c.unionByName(c.withColumn("turn", F.col("turn") + 1000))
+    ok, _ = io.remember_batch(both, fx.fx_known_workspaces(spark, sf_dir), K.FIXTURE_NOW_MS, vx.HashingEmbedder(64), ["conv_id", "turn"])
+    return ok.select("conv_id", "turn", "workspace_id", F.size("embedding").alias("dim"), _r6("embedding").alias("embedding"))
+
+
 @register("attach_embeddings", with_fixtures("""SELECT m.memory_id, v.embedding IS NOT NULL AS has_embedding,
   len(v.embedding) AS dim FROM fx_memories m LEFT JOIN fx_vectors v ON v.memory_id = m.memory_id""",
     "fx_memories", "fx_vectors"))

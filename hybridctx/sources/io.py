@@ -28,18 +28,21 @@ def generate_memories(spark: SparkSession, n: int, workspace_id: str = "ws0", no
 
 
 def generate_memories_for(ids: DataFrame, workspace_id: str = "ws0", now_ms: int = K.FIXTURE_NOW_MS,
-                          id_col: str = "id") -> DataFrame:
+                          id_col: str = "id", text_col: str | None = None, workspace_col: str | None = None) -> DataFrame:
     """One generated row per id i: type cycles decision, gotcha, todo, note; importance (i % 10) / 10;
-    content '{verb} {noun} {object}. Memory #{i}.'; row i is i seconds old."""
+    content '{verb} {noun} {object}. Memory #{i}.'; row i is i seconds old. With text_col and workspace_col a table's own texts
+    follow the generated sentence and its own column names the workspace."""
     i = F.col(id_col)
 
     def pick(words):
         return F.element_at(F.array(*[F.lit(w) for w in words]), (i % len(words) + 1).cast("int"))
 
     return ids.select(
-        i.alias("memory_id"), F.lit(workspace_id).alias("workspace_id"), pick(K.GEN_TYPES).alias("type"),
+        i.alias("memory_id"), (F.col(workspace_col) if workspace_col else F.lit(workspace_id)).alias("workspace_id"),
+        pick(K.GEN_TYPES).alias("type"),
         F.concat(pick(K.GEN_VERBS), F.lit(" "), pick(K.GEN_NOUNS), F.lit(" "), pick(K.GEN_OBJECTS),
-                 F.lit(". Memory #"), i.cast("string"), F.lit(".")).alias("content"),
+                 F.lit(". Memory #"), i.cast("string"), F.lit("."),
+                 *([F.coalesce(F.concat(F.lit("\n"), F.col(text_col)), F.lit(""))] if text_col else [])).alias("content"),
         F.lit(None).cast("string").alias("tags"),
         ((i % 10).cast("double") / F.lit(10.0)).alias("importance"),
         (F.lit(now_ms) - i * 1000).alias("created_at"),
