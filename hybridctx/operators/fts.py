@@ -148,6 +148,8 @@ def _only_terms(lists: DataFrame, qterms: DataFrame) -> DataFrame:
     keys = sorted(r.h for r in qterms.select(term_key().alias("h")).distinct().collect())
     if not keys:
         return lists.where(F.lit(False))
+    if len(keys) > 8 * MAX_RANGES:  # ranges around so many hashes cover nearly all of them
+        return lists
     gaps = sorted(range(1, len(keys)), key=lambda i: keys[i - 1] - keys[i])[:MAX_RANGES - 1]
     cuts = [0, *sorted(gaps), len(keys)]
     ranges = [(keys[a], keys[b - 1]) for a, b in zip(cuts, cuts[1:])]
