@@ -5,7 +5,7 @@ occurrences and the smallest length in each block, so a block's largest possible
 is looked at. Per query, the blocks that may hold all phrases are ordered by that bound; the first ones are scored, their k-th
 score is the threshold, and of the others only those whose bound reaches it are scored. Results equal fts_topk's.
 
-Hit counts (the idf) are exact and cover every row: for phrases of one term they are counted over the lists' narrow columns,
+Hit counts (the idf) are exact and cover every row: for phrases of one term they are sums of the blocks' numbers of rows,
 longer phrases are matched everywhere, as their count is not known otherwise.
 """
 
@@ -37,11 +37,16 @@ def fts_topk_bounded(queries: DataFrame, index: TextIndex, k: int = K.BRANCH_TOP
     qterms = reliable_checkpoint(parse_fts_query(queries, text))
     single, longer = qterms.where("n_terms = 1"), qterms.where("n_terms > 1")
     stats = index.stats.select(WS, "n_docs", "avgdl")
-    # exact hit counts; no positions are read for phrases of one term
+    # exact hit counts; no list is read for phrases of one term while no version has ended
     lists = index.lists if index.ended is None else index.lists.join(index.ended, [KEY, "epoch"], "left_anti")
     named = broadcast_if_small(single.select(WS, "term", "qid", "phrase_no"))
     found = reliable_checkpoint(phrase_hits(longer, index))
-    n_hit = lists.select(WS, "term").join(named, [WS, "term"]).groupBy("qid", "phrase_no").agg(F.count(F.lit(1)).alias("n_hit")) \
+    # blocks know how many rows they hold of a term; versions that ended are taken off
+    counted = index.blocks.select(WS, "term", F.col("n_rows").alias("n"))
+    if index.ended is not None and not index.ended.isEmpty():
+        gone = index.lists.select(WS, "term", KEY, "epoch").join(index.ended, [KEY, "epoch"], "left_semi")
+        counted = counted.unionByName(gone.select(WS, "term", F.lit(-1).cast("long").alias("n")))
+    n_hit = counted.join(named, [WS, "term"]).groupBy("qid", "phrase_no").agg(F.sum("n").alias("n_hit")).where("n_hit > 0") \
         .unionByName(found.groupBy("qid", "phrase_no").agg(F.count(F.lit(1)).alias("n_hit")))
     phrases = qterms.select("qid", WS, "phrase_no", "n_phrases").distinct().join(n_hit, ["qid", "phrase_no"]) \
         .join(broadcast_if_small(stats, 2_000_000), WS)

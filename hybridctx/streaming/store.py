@@ -5,8 +5,9 @@ epochs with a marker alone, so a change that broke off between two tables shows
 overwrites them. An epoch holds what changed and nothing else:
 
   memories/epoch=E   the rows as given (the embedding among them)
-  lists/epoch=E      their position lists (operators.fts.position_lists), sorted by the hash of workspace and term
-  blocks/epoch=E     bounds of the lists by block of rows (operators.fts.term_blocks)
+  lists/epoch=E      their position lists (operators.fts.position_lists) in segments of rows, each a file sorted by the hash of
+                     workspace and term
+  blocks/epoch=E     bounds and numbers of the lists by block of rows (operators.fts.term_blocks)
   docs/epoch=E       (memory_id, workspace_id, dl, live) of the same rows
   ended/epoch=E      (memory_id, epoch): versions of rows that this change replaced or deleted, by the epoch they came in
   stats/epoch=E      (workspace_id, docs, tokens): signed sums, new rows less ended ones
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hybridctx.operators.fts import TextIndex, position_lists, term_blocks, tokenized_memories, with_blocks
+from hybridctx.operators.fts import TextIndex, packed_tokens, position_lists, row_blocks, term_blocks, with_blocks
 from hybridctx.session import reliable_checkpoint
 
 WS, KEY = "workspace_id", "memory_id"
@@ -90,6 +91,10 @@ def _write(df: DataFrame, store: str, table: str, epoch: int) -> None:
     w.parquet(f"{store}/{table}/epoch={epoch}")
 
 
+#: Bytes of text in one segment, about: its lists are sorted by one task and are a file of the epoch.
+SEGMENT_BYTES = 8 << 20
+
+
 def _write_lists(lists: DataFrame, store: str, epoch: int) -> None:
     # the row id splits the range of a term that a hot workspace holds very often
     _write(lists.repartitionByRange("h", KEY).sortWithinPartitions("h", KEY), store, "lists", epoch)
@@ -97,6 +102,13 @@ def _write_lists(lists: DataFrame, store: str, epoch: int) -> None:
     _write(term_blocks(written).repartitionByRange("h").sortWithinPartitions("h"), store, "blocks", epoch)
 
 
+def _write_segments(t: DataFrame, segments: int, store: str, epoch: int) -> None:
+    """The lists and blocks of packed rows without a shuffle of lists: every partition of rows is a segment, sorted by h in
+    itself, that a search reads its terms' pages of; for the blocks the packed rows are dealt by block."""
+    _write(position_lists(t).sortWithinPartitions("h"), store, "lists", epoch)
+    _write(row_blocks(t.repartition(segments, "block")).sortWithinPartitions("h"), store, "blocks", epoch)
+
+
 def commit(spark: SparkSession, store: str, changed: DataFrame | None = None, deleted: DataFrame | None = None,
            batch: str | None = None) -> int:
     """Rows of `changed` (memories) come in or replace those of their ids, rows whose memory_id is in `deleted` go; both: they
@@ -122,9 +134,13 @@ def commit(spark: SparkSession, store: str, changed: DataFrame | None = None, de
         new = _read(spark, store, "memories", epochs[-1:]).drop("epoch").where("false")
     _write(new.select(*(changed.columns if changed is not None else new.columns)), store, "memories", epoch)
     new = spark.read.parquet(f"{store}/memories/epoch={epoch}")
-    t = reliable_checkpoint(with_blocks(tokenized_memories(new), new.count(), epoch))
-    docs = t.select(KEY, WS, "dl", F.col("archived_at").isNull().alias("live"))
-    _write_lists(position_lists(t), store, epoch)
+    size = F.coalesce(F.octet_length("content"), F.lit(0)) + F.coalesce(F.octet_length("tags"), F.lit(0))
+    rows, in_all = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    segments = -(-in_all // SEGMENT_BYTES) or 1
+    t = new.select(KEY, WS, "content", "tags", "archived_at").repartition(segments, KEY)
+    t = reliable_checkpoint(with_blocks(packed_tokens(t), rows, epoch))
+    docs = t.select(KEY, WS, "dl", "live")
+    _write_segments(t, segments, store, epoch)
     _write(docs, store, "docs", epoch)
     sums = docs.select(WS, F.lit(1).alias("d"), F.col("dl").alias("n"))
     if epochs:
