@@ -50,6 +50,24 @@ def test_near_components_against_brute_force(spark):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_links_inside_a_group_are_followed_once(spark, monkeypatch):
+    """Large groups have many links inside: the rounds of the components may not meet them again after each step."""
+    from hybridctx.llm import components as cc
+    rows, followed = near_rows(), []
+
+    def spy(df, name="step"):
+        out = stored(df, name)
+        followed.extend([out.count()] if name == "cc-edges" else [])
+        return out
+
+    stored = cc.stored
+    monkeypatch.setattr(cc, "stored", spy)
+    got = near_dup.near_duplicates(documents(spark, rows)).collect()
+    linked = {r.doc_id for r in got if r.component_id != r.doc_id} | {r.component_id for r in got if r.component_id != r.doc_id}
+    # each edge counts in both directions; the first links are at most one per node, later ones join components
+    assert len(linked) <= sum(followed) <= 4 * len(linked)
+
+
 def test_near_repeated_rows_empty_table_and_stage(spark):
     rows = near_rows()
     twice = near_dup.near_duplicates(documents(spark, rows + rows)).distinct().collect()
