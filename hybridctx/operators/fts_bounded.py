@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridctx import constants as K
-from hybridctx.operators.fts import (KEY, WS, TextIndex, contribution, inverse_document_frequency, parse_fts_query,
-                                     phrase_hits, term_key)
-from hybridctx.operators.sizing import broadcast_if_small
+from hybridctx.operators.fts import (KEY, WS, TextIndex, _lists_of, _only_terms, contribution, inverse_document_frequency,
+                                     parse_fts_query, phrase_hits, term_key)
+from hybridctx.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
 from hybridctx.operators.store import top_n_per
-from hybridctx.session import reliable_checkpoint
+from hybridctx.session import reliable_checkpoint, written
 
 #: Blocks of a query that are scored before there is a threshold.
 FIRST_BLOCKS = 4
@@ -37,11 +37,15 @@ def fts_topk_bounded(queries: DataFrame, index: TextIndex, k: int = K.BRANCH_TOP
     qterms = reliable_checkpoint(parse_fts_query(queries, text))
     single, longer = qterms.where("n_terms = 1"), qterms.where("n_terms > 1")
     stats = index.stats.select(WS, "n_docs", "avgdl")
-    # exact hit counts; no list is read for phrases of one term while no version has ended
-    lists = index.lists if index.ended is None else index.lists.join(index.ended, [KEY, "epoch"], "left_anti")
+    lists = _lists_of(_only_terms(index.lists, single), single, DEFAULT_MAX_BROADCAST_ROWS)
+    lists = lists if index.ended is None else lists.join(index.ended, [KEY, "epoch"], "left_anti")
+    # the stored lists are read once, those of the query's terms alone are kept: (query, block) pairs grow with the corpus, and
+    # beyond a broadcast their join shuffles the lists
+    lists = written(lists.select(WS, "term", "block", KEY, "dl", "live", (F.size("content_at") + F.size("tags_at")).cast("long").alias("tf")),
+                    "term-lists")
     named = broadcast_if_small(single.select(WS, "term", "qid", "phrase_no"))
     found = reliable_checkpoint(phrase_hits(longer, index))
-    # blocks know how many rows they hold of a term; versions that ended are taken off
+    # exact hit counts: blocks know how many rows they hold of a term; versions that ended are taken off
     counted = index.blocks.select(WS, "term", F.col("n_rows").alias("n"))
     if index.ended is not None and not index.ended.isEmpty():
         gone = index.lists.select(WS, "term", KEY, "epoch").join(index.ended, [KEY, "epoch"], "left_semi")
@@ -65,8 +69,7 @@ def fts_topk_bounded(queries: DataFrame, index: TextIndex, k: int = K.BRANCH_TOP
 
     def scored(blocks: DataFrame) -> DataFrame:
         pairs = broadcast_if_small(single.select(WS, "term", "qid", "phrase_no").join(blocks.select("qid", "block"), "qid"), 2_000_000)
-        one = lists.select(WS, "term", "block", KEY, "dl", "live", (F.size("content_at") + F.size("tags_at")).cast("long").alias("tf")) \
-            .join(pairs, [WS, "term", "block"]).select("qid", WS, "phrase_no", KEY, "dl", "live", "tf")
+        one = lists.join(pairs, [WS, "term", "block"]).select("qid", WS, "phrase_no", KEY, "dl", "live", "tf")
         hits = one.unionByName(_within(found, blocks).select(one.columns)).join(weights, ["qid", "phrase_no"])
         return hits.groupBy("qid", WS, KEY, "live").agg(
             F.sum(contribution(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"),

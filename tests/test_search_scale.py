@@ -69,3 +69,15 @@ def test_many_terms_are_not_tested_one_by_one(spark):
     terms = spark.range(1500).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("t"), "id").alias("term"))
     assert "Filter" not in plan(fts._only_terms(lists, terms))
     assert "Filter" in plan(fts._only_terms(lists, terms.limit(10)))
+
+
+def test_bounded_search_joins_blocks_with_lists_of_query_terms(spark):
+    """However many (query, block) pairs there are, their join meets the lists of the query's terms and no stored list."""
+    path = scratch_dir(spark, f"t-{uuid.uuid4().hex[:8]}")
+    store.commit(spark, path, spark.createDataFrame(ROWS, COLS))
+    q = spark.createDataFrame([(1, "a", "x"), (2, "a", "z y"), (3, "b", "t")], "qid long, workspace_id string, query_text string")
+    got, _ = fts_bounded.fts_topk_bounded(q, store.open_store(spark, path), 5)
+    files = got.inputFiles()
+    assert files and not [f for f in files if path in f]
+    assert {r.term for r in spark.read.parquet(*files).where("term IS NOT NULL").collect()} <= set("xyzt")
+    assert sorted((r.qid, r.memory_id) for r in got.collect()) == [(1, 1), (2, 1), (3, 5)]
