@@ -41,7 +41,7 @@ def fts_topk_bounded(queries: DataFrame, index: TextIndex, k: int = K.BRANCH_TOP
     lists = lists if index.ended is None else lists.join(index.ended, [KEY, "epoch"], "left_anti")
     # the stored lists are read once, those of the query's terms alone are kept: (query, block) pairs grow with the corpus, and
     # beyond a broadcast their join shuffles the lists
-    lists = written(lists.select(WS, "term", "block", KEY, "dl", "live", (F.size("content_at") + F.size("tags_at")).cast("long").alias("tf")),
+    lists = written(lists.select(WS, "term", "block", KEY, "dl", "live", F.col("tf").cast("long").alias("tf")),
                     "term-lists")
     named = broadcast_if_small(single.select(WS, "term", "qid", "phrase_no"))
     found = reliable_checkpoint(phrase_hits(longer, index))

@@ -123,8 +123,9 @@ def commit(spark: SparkSession, store: str, changed: DataFrame | None = None, de
     epochs = _visible(done)
     if changed is None and not epochs:
         raise ValueError("nothing is stored yet")
-    ids = [x.select(KEY) for x in (changed, deleted) if x is not None]
-    ids = reliable_checkpoint((ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).distinct())
+    if epochs:  # the first epoch ends no version
+        ids = [x.select(KEY) for x in (changed, deleted) if x is not None]
+        ids = reliable_checkpoint((ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).distinct())
     if changed is not None:
         newest = Window.partitionBy(KEY).orderBy(
             *([F.col("created_at").desc()] if "created_at" in changed.columns else []), F.xxhash64(*changed.columns))
