@@ -17,7 +17,7 @@ from hybridctx.operators.fts import TextIndex, fts_topk
 from hybridctx.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
 from hybridctx.operators.store import filter_types_per_row, live_memories, top_n_per, validate_queries
 from hybridctx.operators.vectors import embed_corpus, vector_topk
-from hybridctx.session import reliable_checkpoint
+from hybridctx.session import collect_references, reliable_checkpoint, written
 
 WS, KEY = "workspace_id", "memory_id"
 
@@ -35,16 +35,22 @@ def fetch_candidates(fused: DataFrame, memories: DataFrame, queries: DataFrame |
     """Join fused ids to live rows of the same workspace; per-query type filter applied here (after the cuts).
 
     The fused side holds at most 2 x 20 rows per query, so its size is bounded by the query count: it is
-    broadcast when the queries are (checked on the cheap query table, not on the fused plan).
+    broadcast when the queries are (checked on the cheap query table, not on the fused plan). It is written first, as it is
+    then read twice: its ids leave out the other memories before these go through the joins and shuffles of their own plan.
     """
     cols = [WS, KEY, "type", "content", "tags", "importance", "created_at"]
     live = live_memories(memories).select(*cols)
+    fused = written(fused, "fused")
     f = fused
     if queries is not None and "types" in queries.columns:
         f = f.join(queries.select("qid", "types"), "qid")
     if broadcast_fused is None:
         broadcast_fused = row_count_at_most(queries.select("qid"), max_broadcast_rows) if queries is not None \
             else row_count_at_most(f, max_broadcast_rows * 2 * K.BRANCH_TOPK)
+    if broadcast_fused:
+        collect_references(memories.sparkSession)
+        # a condition, and not a join, as it comes down to the scan through other joins
+        live = live.where(F.struct(WS, KEY).isin(F.broadcast(fused.select(WS, KEY).distinct())))
     side = F.broadcast(f) if broadcast_fused else f
     j = live.join(side, [WS, KEY])
     return filter_types_per_row(j) if "types" in j.columns else j

@@ -5,9 +5,9 @@ epochs with a marker alone, so a change that broke off between two tables shows
 overwrites them. An epoch holds what changed and nothing else:
 
   memories/epoch=E   the rows as given (the embedding among them)
-  lists/epoch=E      their position lists (operators.fts.position_lists) in segments of rows, each a file sorted by the hash of
-                     workspace and term
-  blocks/epoch=E     bounds and numbers of the lists by block of rows (operators.fts.term_blocks)
+  lists/epoch=E      their position lists (operators.fts.position_lists) in segments of whole blocks of rows, each a file sorted
+                     by the hash of workspace and term
+  blocks/epoch=E     bounds and numbers of the lists by block of rows (operators.fts.term_blocks), without the hash
   docs/epoch=E       (memory_id, workspace_id, dl, live) of the same rows
   ended/epoch=E      (memory_id, epoch): versions of rows that this change replaced or deleted, by the epoch they came in
   stats/epoch=E      (workspace_id, docs, tokens): signed sums, new rows less ended ones
@@ -29,8 +29,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hybridctx.operators.fts import TextIndex, packed_tokens, position_lists, row_blocks, term_blocks, with_blocks
-from hybridctx.session import reliable_checkpoint
+from hybridctx.operators.fts import (BLOCK_ROWS, TextIndex, packed_tokens, position_lists, row_blocks, term_blocks, term_key,
+                                     with_blocks)
+from hybridctx.session import collect_references, reliable_checkpoint
 
 WS, KEY = "workspace_id", "memory_id"
 #: Rows of one page of the lists' files: what a search for a rare term reads at least.
@@ -86,27 +87,46 @@ def _current(spark: SparkSession, store: str, table: str, epochs: list[int]) ->
 
 def _write(df: DataFrame, store: str, table: str, epoch: int) -> None:
     w = df.write.mode("overwrite")
-    if table == "lists":  # positions and terms are written as differences
-        w = w.option("parquet.writer.version", "v2").option("parquet.page.row.count.limit", str(PAGE_ROWS))
+    if table == "memories":  # one file of rows can be read by many tasks
+        w = w.option("parquet.block.size", str(SEGMENT_BYTES))
+    if table in ("lists", "blocks"):  # positions and terms are written as differences
+        w = w.option("parquet.writer.version", "v2").option("compression", "zstd")
+    if table == "lists":
+        w = w.option("parquet.page.row.count.limit", str(PAGE_ROWS))
     w.parquet(f"{store}/{table}/epoch={epoch}")
 
 
 #: Bytes of text in one segment, about: its lists are sorted by one task and are a file of the epoch.
 SEGMENT_BYTES = 8 << 20
 
+#: Segments of a change beyond which its shuffle files and packed rows are worth a collection of the driver's references.
+COLLECT_SEGMENTS = 8
+
 
 def _write_lists(lists: DataFrame, store: str, epoch: int) -> None:
     # the row id splits the range of a term that a hot workspace holds very often
     _write(lists.repartitionByRange("h", KEY).sortWithinPartitions("h", KEY), store, "lists", epoch)
     written = lists.sparkSession.read.parquet(f"{store}/lists/epoch={epoch}")
-    _write(term_blocks(written).repartitionByRange("h").sortWithinPartitions("h"), store, "blocks", epoch)
+    _write_blocks(term_blocks(written).repartitionByRange("h"), store, epoch)
+
+
+def _write_blocks(blocks: DataFrame, store: str, epoch: int) -> None:
+    """The hash is made again when they are read: it would take half of their room."""
+    _write(blocks.sortWithinPartitions("term").drop("h"), store, "blocks", epoch)
 
 
-def _write_segments(t: DataFrame, segments: int, store: str, epoch: int) -> None:
-    """The lists and blocks of packed rows without a shuffle of lists: every partition of rows is a segment, sorted by h in
-    itself, that a search reads its terms' pages of; for the blocks the packed rows are dealt by block."""
+def _write_segments(t: DataFrame, store: str, epoch: int) -> None:
+    """The lists and blocks of packed rows that lie in partitions of whole blocks, without another shuffle: every partition is a
+    segment, its lists sorted by h in itself, that a search reads its terms' pages of."""
     _write(position_lists(t).sortWithinPartitions("h"), store, "lists", epoch)
-    _write(row_blocks(t.repartition(segments, "block")).sortWithinPartitions("h"), store, "blocks", epoch)
+    _write_blocks(row_blocks(t), store, epoch)
+
+
+def _counts(spark: SparkSession, store: str, epoch: int) -> tuple[int, int, int]:
+    """Of the rows of an epoch: their number, the bytes of their texts, the most rows of one id."""
+    size = F.coalesce(F.octet_length("content"), F.lit(0)) + F.coalesce(F.octet_length("tags"), F.lit(0))
+    ids = spark.read.parquet(f"{store}/memories/epoch={epoch}").groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    return tuple(ids.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.sum("size"), F.max("n")))).first())
 
 
 def commit(spark: SparkSession, store: str, changed: DataFrame | None = None, deleted: DataFrame | None = None,
@@ -127,21 +147,27 @@ def commit(spark: SparkSession, store: str, changed: DataFrame | None = None, de
         ids = [x.select(KEY) for x in (changed, deleted) if x is not None]
         ids = reliable_checkpoint((ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).distinct())
     if changed is not None:
-        newest = Window.partitionBy(KEY).orderBy(
-            *([F.col("created_at").desc()] if "created_at" in changed.columns else []), F.xxhash64(*changed.columns))
-        new = changed.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
-        new = new if deleted is None else new.join(deleted.select(KEY).distinct(), KEY, "left_anti")
+        new = changed if deleted is None else changed.join(deleted.select(KEY).distinct(), KEY, "left_anti")
     else:  # the tables of an epoch have the same columns, with or without rows
         new = _read(spark, store, "memories", epochs[-1:]).drop("epoch").where("false")
-    _write(new.select(*(changed.columns if changed is not None else new.columns)), store, "memories", epoch)
+    columns = changed.columns if changed is not None else new.columns
+    _write(new.select(*columns), store, "memories", epoch)
+    rows, in_all, most = _counts(spark, store, epoch)
+    if most > 1:  # only where an id came more than once are whole rows shuffled to find its newest
+        newest = Window.partitionBy(KEY).orderBy(
+            *([F.col("created_at").desc()] if "created_at" in columns else []), F.xxhash64(*columns))
+        _write(new.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").select(*columns), store, "memories", epoch)
+        rows, in_all, _ = _counts(spark, store, epoch)
     new = spark.read.parquet(f"{store}/memories/epoch={epoch}")
-    size = F.coalesce(F.octet_length("content"), F.lit(0)) + F.coalesce(F.octet_length("tags"), F.lit(0))
-    rows, in_all = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     segments = -(-in_all // SEGMENT_BYTES) or 1
-    t = new.select(KEY, WS, "content", "tags", "archived_at").repartition(segments, KEY)
-    t = reliable_checkpoint(with_blocks(packed_tokens(t), rows, epoch))
+    # also where all rows are of one length, a block of long ones stays within some segments' size
+    block_rows = max(min(BLOCK_ROWS, rows * SEGMENT_BYTES // (4 * max(in_all, 1))), 1)
+    t = with_blocks(packed_tokens(new.select(KEY, WS, "content", "tags", "archived_at")), rows, epoch, block_rows)
+    t = reliable_checkpoint(t.repartition(segments, "block"))
+    if segments > COLLECT_SEGMENTS:
+        collect_references(spark)
     docs = t.select(KEY, WS, "dl", "live")
-    _write_segments(t, segments, store, epoch)
+    _write_segments(t, store, epoch)
     _write(docs, store, "docs", epoch)
     sums = docs.select(WS, F.lit(1).alias("d"), F.col("dl").alias("n"))
     if epochs:
@@ -153,6 +179,9 @@ def commit(spark: SparkSession, store: str, changed: DataFrame | None = None, de
     _write(ended, store, "ended", epoch)
     _write(sums.groupBy(WS).agg(F.sum("d").alias("docs"), F.sum("n").alias("tokens")), store, "stats", epoch)
     _mark(spark, store, epoch, "change", batch or "direct")
+    del t, docs, sums, ended  # nothing reads the packed rows any more
+    if segments > COLLECT_SEGMENTS:
+        collect_references(spark)
     return epoch
 
 
@@ -172,7 +201,7 @@ def open_store(spark: SparkSession, store: str) -> TextIndex:
     """The text index of all committed changes, as fts_topk and recall take it."""
     epochs = _visible(commits(spark, store))
     return TextIndex(_read(spark, store, "lists", epochs), read_stats(spark, store), _read(spark, store, "ended", epochs),
-                     _read(spark, store, "blocks", epochs).drop("epoch"))
+                     _read(spark, store, "blocks", epochs).drop("epoch").withColumn("h", term_key()))
 
 
 def current_lists(spark: SparkSession, store: str) -> DataFrame:
